@@ -166,6 +166,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE, large_part: float = LARGE_PART
     `pieces` needs doc_id, piece and length (1 to most); repeated rows are pieces of their own.
     """
     spark = pieces.sparkSession
+    pieces = stored(pieces, "unranked")  # else the texts are encoded twice
     keyed = stored(ranked(pieces, "length", [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns], "rank"), "pieces")
     counts = {r["length"]: r["n"] for r in keyed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `most` rows
     whole = counts.pop(most, 0)
