@@ -9,52 +9,59 @@ from __future__ import annotations
 
 import array
 import functools
+import os
 import re
-from itertools import islice
+from itertools import chain, filterfalse
 
-from tokenizers import Tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept by a worker; beyond it the memory is emptied, which costs time only.
 CACHE_WORDS = 800_000
+#: Characters of text encoded in one go: few enough that its words stay in a core's cache.
+TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
 KEPT_CHARS = 64
 #: White space that some table knows, but for the space and the line feed. (fixed values)
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-SAFE_CUT = re.compile(r"(?<=[!-~¡-ᙿ]) (?=[!-~¡-ᙿ])")
+SAFE_CUT = re.compile(r"(?<=[!-~¡-ᙿ])(?= [!-~¡-ᙿ])")
 
 
 def words_of(text: str) -> list[str]:
     """The text cut before single spaces between two characters that are no white space."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or not text.isascii() and any(c in text for c in OTHER_SPACE[8:]) or any(c in text for c in OTHER_SPACE[:8]):
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or "\0" in text or any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE)):
         return SAFE_CUT.split(text)
-    return text.split(" ") if text else []
+    return text.replace(" ", "\0 ").split("\0")
 
 
 class WordEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
-        self.known: dict[str, bytes] = {}  # of a word after a space
-        self.heads: dict[str, bytes] = {}  # of a word that begins a text
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(words - known.keys())
-        found = self.library.encode_batch_fast([before + x for x in new], add_special_tokens=False)
-        known.update(zip(new, [array.array("I", x.ids).tobytes() for x in found], strict=True))
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
-        cut = [words_of(x) for x in texts]
-        heads = [x.pop(0) if x else "" for x in cut]
-        self._learn(self.heads, set(heads), "")
-        self._learn(self.known, set().union(*cut), " ")
-        get = self.known.__getitem__
-        out = [self.heads[h] + b"".join(map(get, x)) for h, x in zip(heads, cut, strict=True)]
-        for words in (self.known, self.heads):
-            for k in [k for k in islice(reversed(words), 50_000) if len(k) > KEPT_CHARS]:
-                del words[k]
+        out, cut, held = [], [], 0
+        for text in texts:
+            cut.append(words_of(text))
+            held += len(text)
+            if held > TURN_CHARS:
+                out += self._turn(cut)
+                cut, held = [], 0
+        return out + self._turn(cut)
+
+    def _turn(self, cut: list[list[str]]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
+        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[word] = array.array("I", found.ids).tobytes()
+        get = known.__getitem__
+        out = [b"".join(map(get, x)) for x in cut]
+        for word in [x for x in new if len(x) > KEPT_CHARS]:
+            del known[word]
         return out
 
 
