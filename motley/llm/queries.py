@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import packing, simhash, suffix, tokenfile, topk
+from motley.llm import digest, packing, simhash, suffix, tokenfile, topk
 from motley.llm.common import table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edits(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_digest": op3_digest,
     "op4_suffix": op4_suffix,
     "op5_pack": op5_pack,
     "op6_simhash": op6_simhash,
