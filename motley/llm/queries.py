@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import digest, packing, simhash, suffix, tokenfile, topk
+from motley.llm import digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity
 from motley.llm.common import table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edits(table(spark, sf_dir, "documents"))
 
@@ -32,17 +37,33 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_pages": op2_pages,
     "op3_digest": op3_digest,
     "op4_suffix": op4_suffix,
     "op5_pack": op5_pack,
     "op6_simhash": op6_simhash,
+    "op7_pieces": op7_pieces,
+    "op8_toxicity": op8_toxicity,
     "op9_tokens": op9_tokens,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": """

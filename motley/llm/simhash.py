@@ -220,11 +220,11 @@ def most_bits(similarity: float, lanes: int) -> int:
     return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bits: int = 16) -> DataFrame:
-    """doc_id, component_id: documents whose sets of `words`-word shingles have about `similarity` or more in common.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bits: int = 16, key: str = "doc_id") -> DataFrame:
+    """key, component_id: documents whose sets of `words`-word shingles have about `similarity` or more in common.
 
     The similarity is estimated from 64 x lanes bits. Pairs meet if one of the bands of `bits` bits agrees: of
     pairs of similarity 0.8, 0.85 and 0.9 about 91, 98 and 99.7 in a hundred meet by the defaults.
     """
-    found = grouped(fingerprints(docs, words, lanes, distinct=True), "doc_id", band_keys(lanes, bits), most_bits(similarity, lanes))
-    return found.select("doc_id", "component_id")
+    found = grouped(fingerprints(docs, words, lanes, distinct=True, key=key), key, band_keys(lanes, bits), most_bits(similarity, lanes))
+    return found.select(key, "component_id")

@@ -11,13 +11,14 @@ import array
 import functools
 import os
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words kept by a worker; beyond it the memory is emptied, which costs time only.
-CACHE_WORDS = 800_000
+#: Words kept by a worker in each of two generations.
+CACHE_WORDS = 500_000
 #: Characters of text encoded in one go: few enough that its words stay in a core's cache.
 TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
@@ -34,35 +35,59 @@ def words_of(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")
 
 
+class WordMemory:
+    """What a worker knows of words, in two generations of bounded size: when the younger is full, the older is dropped.
+
+    learn gives the values of words not known; a word is learnt again after it was dropped, which costs time only.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], words: int):
+        self.learn, self.words = learn, words
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, texts: list[list[str]], end: bytes = b"") -> list[bytes]:
+        """Of each text, the values of its words and the end, joined."""
+        if len(self.young) > self.words:
+            self.old, self.young = self.young, {}
+        young, new = self.young, []
+        for word in set(filterfalse(young.__contains__, chain.from_iterable(texts))):
+            if (value := self.old.pop(word, None)) is not None:
+                young[word] = value
+            else:
+                new.append(word)
+        young.update(zip(new, self.learn(new), strict=True))
+        get = young.__getitem__
+        out = [b"".join([*map(get, x), end]) for x in texts]
+        for word in [x for x in new if len(x) > KEPT_CHARS]:
+            del young[word]
+        return out
+
+
+def turns(texts: list[str], cut: Callable[[str], list[str]], chars: int) -> Iterator[list[list[str]]]:
+    """The words of the texts, a few texts at a time."""
+    out, held = [], 0
+    for text in texts:
+        out.append(cut(text))
+        held += len(text)
+        if held > chars:
+            yield out
+            out, held = [], 0
+    yield out
+
+
 class WordEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit integers."""
-        out, cut, held = [], [], 0
-        for text in texts:
-            cut.append(words_of(text))
-            held += len(text)
-            if held > TURN_CHARS:
-                out += self._turn(cut)
-                cut, held = [], 0
-        return out + self._turn(cut)
-
-    def _turn(self, cut: list[list[str]]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array.array("I", found.ids).tobytes()
-        get = known.__getitem__
-        out = [b"".join(map(get, x)) for x in cut]
-        for word in [x for x in new if len(x) > KEPT_CHARS]:
-            del known[word]
-        return out
+        self.memory = WordMemory(self._learn, CACHE_WORDS)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Each text's ids and the end, as little-endian unsigned 32-bit integers."""
+        return [x for turn in turns(texts, words_of, TURN_CHARS) for x in self.memory.joined(turn, end)]
 
 
 @functools.lru_cache(2)
