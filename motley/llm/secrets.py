@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motley.llm.common import least_hashed, stored
+
 # What the base patterns are.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -80,8 +82,8 @@ def trained(docs: DataFrame) -> list[float]:
     text = F.coalesce("text", F.lit(""))
     found = docs.select(text.alias("text")).where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     value = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
-    values = found.select(F.explode(value).alias("token")).where(F.length("token") >= 12).distinct().orderBy(F.xxhash64("token"), "token").limit(VALUES)
-    some = docs.select("doc_id", text.alias("text")).orderBy(F.xxhash64("doc_id", F.xxhash64("text")), "doc_id").select("text").limit(WORD_DOCUMENTS)
+    values = least_hashed(stored(found.select(F.explode(value).alias("token")).where(F.length("token") >= 12).distinct(), "values"), VALUES, "token")
+    some = least_hashed(docs.select("doc_id", text.alias("text")), WORD_DOCUMENTS, "doc_id", "text").select("text")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("token"))
     even = {a + b: 1 for a in ALPHABET[:62] for b in ALPHABET[:62]}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import text_slices, texts_of
+from motley.llm.common import least_hashed, text_slices, texts_of
 
 #: The most labelled rows that a model is fitted on: those whose doc_id has the smallest hashes.
 EXAMPLES = 10_000
@@ -80,7 +80,7 @@ def weights_of(counts: Counter, idf: np.ndarray) -> dict[int, float]:
 def labelled(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """doc_id, text, toxic of at most `most` labelled rows outside of the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = least_hashed(known, most, "doc_id")
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `most` small rows
 
 
