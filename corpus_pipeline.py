@@ -18,31 +18,43 @@ from motley.llm import packing, secrets, simhash, suffix, toxicity
 from motley.llm.common import stored, table, tokenizer_path
 
 
+REST = "__rest"
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name of theirs meets one of an operator's."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias(REST)] if rest else []))
+
+
+def _wide(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(REST)[c].alias(c) for c in docs.columns])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(docs.columns)
+    return _wide(toxicity.scored(_narrow(docs), model).where("predicted = 0"), docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    rows = suffix.numbered(docs)
+    rows = suffix.numbered(_narrow(docs))
     kept = simhash.similar_documents(rows, key="sid").where("sid = component_id").select("sid")
-    return rows.join(kept, "sid", "left_semi").select(names)
+    return _wide(rows.join(kept, "sid", "left_semi"), docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.without_repeats(docs)
+    cut = suffix.without_repeats(_narrow(docs))
     # a string may begin or end within a character; what is left of such a character goes too
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    return _counted(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).select(docs.columns))
+    return _counted(_wide(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))), docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(secrets.redacted(docs).select(docs.columns))
+    return _counted(_wide(secrets.redacted(_narrow(docs)), docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
