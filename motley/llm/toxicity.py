@@ -27,6 +27,8 @@ EXAMPLES = 10_000
 TERMS = 4096
 #: A term needs so much chi-square (one degree of freedom) and so many examples.
 CHI_SQUARE, SUPPORT = 30.0, 5
+#: The least share of a term's examples that have the label it goes with; long texts bring much that is only common.
+PURITY = 0.8
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -52,16 +54,23 @@ class Model(NamedTuple):
     maxima: np.ndarray  # terms x blocks
     base: float  # of all examples
     silent: float  # of examples without any term
+    heads: frozenset = frozenset()  # the first letters of all terms
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def counts_of(text: str, terms: dict[str, int] | None = None) -> Counter:
-    """Term counts of a text; of the given terms only, by number."""
+def heads_of(terms: dict[str, int]) -> frozenset:
+    return frozenset(t[: BEGINNINGS[0]] for t in terms)
+
+
+def counts_of(text: str, terms: dict[str, int] | None = None, heads: frozenset = frozenset()) -> Counter:
+    """Term counts of a text; of the given terms only, by number. Words that begin as no term does are passed over."""
     found: Counter = Counter()
     for word, n in Counter(WORDS.findall(text.lower())).items():
+        if heads and word[: BEGINNINGS[0]] not in heads:
+            continue
         for term in (word, *(f"{word[:k]}~" for k in BEGINNINGS if len(word) > k)):
             if terms is None:
                 found[term] += n
@@ -108,19 +117,22 @@ def associated(examples: DataFrame, most: int = TERMS) -> tuple[list[str], int,
     a, b = F.col("bad"), F.col("n") - F.col("bad")
     c, d = F.lit(bad) - F.col("bad"), F.lit(n - bad) - (F.col("n") - F.col("bad"))
     chi = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (F.col("n").cast("double") * F.lit(float(bad)) * F.lit(float(n - bad)) * (F.lit(float(n)) - F.col("n")))
-    kept = found.where((F.col("term") != "") & (F.col("n") >= SUPPORT) & (F.col("n") < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
+    pure = F.greatest(F.col("bad"), F.col("n") - F.col("bad")) >= PURITY * F.col("n")
+    kept = found.where((F.col("term") != "") & (F.col("n") >= SUPPORT) & (F.col("n") < n) & pure).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
     return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()], n, bad
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs; documents."""
 
+    heads = heads_of(terms)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for text in texts_of(part.column("text")):
-                    total[list(counts_of(text, terms))] += 1
+                    total[list(counts_of(text, terms, heads))] += 1
                     total[-1] += 1
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(len(total))), "n": pa.array(total)})
 
@@ -144,7 +156,7 @@ def indexed(examples: list[Example], terms: dict[str, int], idf: np.ndarray, bas
     maxima = np.zeros((len(terms), blocks))
     for t, (i, w) in enumerate(postings):
         np.maximum.at(maxima[t], i // block, w)
-    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), postings, starts, maxima, base, silent)
+    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), postings, starts, maxima, base, silent, heads_of(terms))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -209,7 +221,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for part in text_slices(batch, "text"):
                 rows = []
                 for text in texts_of(part.column("text")):
-                    counts = counts_of(text, model.terms)
+                    counts = counts_of(text, model.terms, model.heads)
                     key = tuple(sorted(counts.items()))
                     if key not in known:
                         if len(known) > 20_000:
