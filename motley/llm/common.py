@@ -73,7 +73,7 @@ def in_order(df: DataFrame, key: str, *ties: str, guests: bool = False) -> DataF
     spark = df.sparkSession
     n = partitions(spark)
     as_double = F.coalesce(F.col(key).cast("double"), F.lit(float("nan")))
-    cuts = sorted({float(x) for x in df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)})
+    cuts = sorted({float(x) for x in df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_k", outputCol="_slot", handleInvalid="keep")
     df = cut.transform(df.withColumn("_k", as_double)).withColumn("slot", F.col("_slot").cast("int")).drop("_k", "_slot")
     guest = F.lit(False)

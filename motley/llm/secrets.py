@@ -26,10 +26,10 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{5,}+"
 
 #: Documents whose words, and distinct values that, train the models at most: those of the smallest hashes.
 WORD_DOCUMENTS, VALUES = 1000, 5000
-#: Added to each count; a part of it is spread evenly over the alphabet.
-SMOOTHING = 0.5
-#: The least ratio of a secret, in all and for each pair of characters (natural logarithm).
-LEAST_RATIO, LEAST_MEAN = 12.0, 0.6
+#: Added to each character's count; the weight of the characters' own chances beside the counts of pairs.
+SMOOTHING, BACK_OFF = 0.5, 2.0
+#: The least ratio of a secret, in all and for each pair of characters, and the most that one pair can say (natural logarithm).
+LEAST_RATIO, LEAST_MEAN, MOST = 20.0, 1.0, 4.0
 
 NONE = "array<struct<start:int,kind:int,end:int>>"
 
@@ -63,13 +63,14 @@ def pair_counts(tokens: DataFrame) -> dict[str, int]:
 
 
 def log_chances(counts: dict[str, int]) -> dict[str, float]:
-    """Log-probability of the second character of each pair, given the first."""
-    n = len(ALPHABET)
+    """Log-probability of the second character of each pair, given the first; pairs not seen fall back on how common the second is."""
+    total = sum(counts.values())
+    common = {b: (sum(counts.get(a + b, 0) for a in ALPHABET) + SMOOTHING) / (total + SMOOTHING * len(ALPHABET)) for b in ALPHABET}
     out = {}
     for a in ALPHABET:
-        total = sum(counts.get(a + b, 0) for b in ALPHABET)
+        row = sum(counts.get(a + b, 0) for b in ALPHABET)
         for b in ALPHABET:
-            out[a + b] = math.log((counts.get(a + b, 0) + SMOOTHING) / (total + SMOOTHING * n))
+            out[a + b] = math.log((counts.get(a + b, 0) + BACK_OFF * common[b]) / (row + BACK_OFF))
     return out
 
 
@@ -89,7 +90,7 @@ def trained(docs: DataFrame) -> list[float]:
     even = {a + b: 1 for a in ALPHABET[:62] for b in ALPHABET[:62]}
     secret = pair_counts(values)
     random, word = log_chances({k: 2 * even.get(k, 0) + secret.get(k, 0) for k in even.keys() | secret.keys()}), log_chances(pair_counts(words))
-    return [random[a + b] - word[a + b] for a in ALPHABET for b in ALPHABET]
+    return [max(-MOST, min(MOST, random[a + b] - word[a + b])) for a in ALPHABET for b in ALPHABET]
 
 
 def ratio(token: Column, table: list[float]) -> Column:
@@ -137,7 +138,8 @@ def said(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of `docs` (doc_id, text). Repeated rows stay."""
     found = with_secrets(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = [(F.size("_base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(said(F.col("_base")), 256).alias("base_sha256"), said(F.col("_spans")).alias("spans"))
 
 

@@ -117,7 +117,8 @@ def associated(examples: DataFrame, most: int = TERMS) -> tuple[list[str], int,
     a, b = F.col("bad"), F.col("n") - F.col("bad")
     c, d = F.lit(bad) - F.col("bad"), F.lit(n - bad) - (F.col("n") - F.col("bad"))
     chi = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (F.col("n").cast("double") * F.lit(float(bad)) * F.lit(float(n - bad)) * (F.lit(float(n)) - F.col("n")))
-    pure = F.greatest(F.col("bad"), F.col("n") - F.col("bad")) >= PURITY * F.col("n")
+    share = F.col("bad") / F.col("n")
+    pure = F.when(share > bad / n, share).otherwise(1 - share) >= PURITY
     kept = found.where((F.col("term") != "") & (F.col("n") >= SUPPORT) & (F.col("n") < n) & pure).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
     return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()], n, bad
 
