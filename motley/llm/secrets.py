@@ -26,6 +26,10 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{5,}+"
 
 #: Documents whose words, and distinct values that, train the models at most: those of the smallest hashes.
 WORD_DOCUMENTS, VALUES = 1000, 5000
+#: The texts that must have a word for it to be ordinary.
+WORD_TEXTS = 2
+#: How often each character counts as seen beside itself in ordinary words: rules and filling are runs of one character.
+RUNS = 5
 #: Added to each character's count; the weight of the characters' own chances beside the counts of pairs.
 SMOOTHING, BACK_OFF = 0.5, 2.0
 #: The least ratio of a secret, in all and for each pair of characters, and the most that one pair can say (natural logarithm).
@@ -78,7 +82,8 @@ def trained(docs: DataFrame) -> list[float]:
     """The log-likelihood ratio of each pair of characters, random strings over ordinary words, row by row of the alphabet.
 
     Random strings are the values of base spans of all of `docs`, at most VALUES different ones; a corpus without any
-    leaves them even over letters and digits. Words are those of WORD_DOCUMENTS documents, outside of base spans.
+    leaves them even over letters and digits. Words are those of WORD_DOCUMENTS documents, outside of base spans, that stand
+    in WORD_TEXTS different texts or more: a random string stands in one, and must not count as a word.
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select(text.alias("text")).where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
@@ -86,10 +91,13 @@ def trained(docs: DataFrame) -> list[float]:
     values = least_hashed(stored(found.select(F.explode(value).alias("token")).where(F.length("token") >= 12).distinct(), "values"), VALUES, "token")
     some = least_hashed(docs.select("doc_id", text.alias("text")), WORD_DOCUMENTS, "doc_id", "text").select("text")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = some.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("token"))
+    each = some.distinct().select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))).alias("token"))
+    shared = each.groupBy("token").count().where(F.col("count") >= WORD_TEXTS)
+    words = shared.select(F.explode(F.array_repeat("token", F.col("count").cast("int"))).alias("token"))  # as often as texts have it
     even = {a + b: 1 for a in ALPHABET[:62] for b in ALPHABET[:62]}
-    secret = pair_counts(values)
-    random, word = log_chances({k: 2 * even.get(k, 0) + secret.get(k, 0) for k in even.keys() | secret.keys()}), log_chances(pair_counts(words))
+    secret, ordinary = pair_counts(values), pair_counts(words)
+    random = log_chances({k: 2 * even.get(k, 0) + secret.get(k, 0) for k in even.keys() | secret.keys()})
+    word = log_chances(ordinary | {a + a: ordinary.get(a + a, 0) + RUNS for a in ALPHABET})
     return [max(-MOST, min(MOST, random[a + b] - word[a + b])) for a in ALPHABET for b in ALPHABET]
 
 
