@@ -1,38 +1,52 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once a worker.
 
-A byte-level BPE splits a text before it merges, and always splits before a single space that stands
-between two characters that are no white space. Texts are cut there and nowhere else, so the ids of the
-words, joined, are the ids of the text.
+A byte-level BPE splits a text before it merges, and always splits before a single space or line feed that
+stands between two characters that are no white space. Texts are cut there and nowhere else, so the ids of the
+words, joined, are the ids of the text. For the same reason many new words are learnt as one text: each id that
+begins with a space or a line feed begins a word.
 """
 
 from __future__ import annotations
 
-import array
 import functools
 import os
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept by a worker in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Characters of text encoded in one go: few enough that its words stay in a core's cache.
 TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
 KEPT_CHARS = 64
 #: White space that some table knows, but for the space and the line feed. (fixed values)
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-SAFE_CUT = re.compile(r"(?<=[!-~¡-ᙿ])(?= [!-~¡-ᙿ])")
+SAFE_CUT = re.compile(r"(?<=[!-~¡-ᙿ])(?=[ \n][!-~¡-ᙿ])")
+#: New words learnt as one text.
+LEARNT_TOGETHER = 2000
+#: What a space and a line feed are in the vocabulary. (fixed values)
+SPACE, LINE_FEED = "Ġ", "Ċ"
 
 
 def words_of(text: str) -> list[str]:
-    """The text cut before single spaces between two characters that are no white space."""
+    """The text cut before single spaces and line feeds between two characters that are no white space."""
     if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or "\0" in text or any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE)):
         return SAFE_CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+    cut = text.replace(" ", "\0 ")
+    if "\n" in text and "\n\n" not in text and text[0] != "\n" != text[-1]:
+        cut = cut.replace("\n", "\0\n")
+    return cut.split("\0")
+
+
+def stands_apart(word: str) -> bool:
+    """Whether its only white space is one space or line feed in front."""
+    return word[:1] in (" ", "\n") and [word[1:]] == word.split()
 
 
 class WordMemory:
@@ -81,9 +95,26 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
         self.memory = WordMemory(self._learn, CACHE_WORDS)
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in (SPACE, LINE_FEED)]] = True
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        apart = [x for x in words if x[:1] in (" ", "\n")]
+        if "".join(apart).split() != [x[1:] for x in apart]:
+            apart = list(filter(stands_apart, apart))
+        known: dict[str, bytes] = {}
+        for i in range(0, len(apart), LEARNT_TOGETHER):
+            some = apart[i : i + LEARNT_TOGETHER]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            starts, held = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+            known.update(zip(some, map(held.__getitem__, map(slice, starts, [*starts[1:], len(held)])), strict=True))
+        rest = [x for x in words if x not in known]
+        known.update(zip(rest, self._alone(rest), strict=True))
+        return [known[x] for x in words]
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Each text's ids and the end, as little-endian unsigned 32-bit integers."""
