@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept by a worker in each of two generations.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 #: Characters of text encoded in one go: few enough that its words stay in a core's cache.
 TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
@@ -64,12 +64,10 @@ class WordMemory:
         """Of each text, the values of its words and the end, joined."""
         if len(self.young) > self.words:
             self.old, self.young = self.young, {}
-        young, new = self.young, []
-        for word in set(filterfalse(young.__contains__, chain.from_iterable(texts))):
-            if (value := self.old.pop(word, None)) is not None:
-                young[word] = value
-            else:
-                new.append(word)
+        young, old = self.young, self.old
+        unseen = set(filterfalse(young.__contains__, chain.from_iterable(texts)))
+        young.update({x: old.pop(x) for x in unseen & old.keys()} if old else {})
+        new = list(filterfalse(young.__contains__, unseen))
         young.update(zip(new, self.learn(new), strict=True))
         get = young.__getitem__
         out = [b"".join([*map(get, x), end]) for x in texts]
