@@ -288,6 +288,37 @@ def test_similar_documents(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_set_links_lose_none():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, size=60, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate((b[: int(rng.integers(46, 61))], rng.integers(0, 2**63, size=int(rng.integers(0, 9)), dtype=np.uint64)))) for b in base for _ in range(12)]
+    prints = np.array([[simhash.majority(simhash.mixed(h + np.uint64(i))) for i in range(8)] for h in sets], np.uint64)
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i], sets[j]) >= 0.8]
+    i, j = simhash.similar_links(prints, [x.tobytes() for x in sets], simhash.most_bits(0.8, 8), 0.8)
+    assert set(zip(i, j, strict=True)) <= set(want) and 0 < len(want) < 36 * 35 / 2
+    roots = [simhash.forest(len(sets), *(np.array(x) for x in zip(*pairs, strict=True))).tolist() for pairs in (zip(i, j, strict=True), want)]
+    assert roots[0] == roots[1]
+
+
+def test_similar_documents_against_brute_force(spark):
+    # pairs of two texts that share 5-word shingles to known parts, from under to over the bound
+    rows, want, at = [], {}, 0
+    for part in (0.7, 0.75, 0.78, 0.79, 0.8, 0.82, 0.85, 0.9):
+        for i in range(60):
+            alone = round(100 * (1 - part))
+            shared = [f"s{at}x{k}" for k in range(round(200 * part) + 4)]
+            texts = [shared + [f"{side}{at}x{k}" for k in range(alone)] for side in "ab"]
+            sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+            alike = len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+            assert alike == (part >= 0.8)
+            rows += [(2 * at, " ".join(texts[0])), (2 * at + 1, " ".join(texts[1]))]
+            want |= {2 * at: 2 * at, 2 * at + 1: 2 * at + (not alike)}
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == want
+
+
 # 7
 
 
