@@ -2,8 +2,9 @@
 
 A page is a run of blocks, each with its path of block tags from the root. Per path, text length, punctuation and
 link text are summed over its blocks; their ratios to the number of blocks, fused and smoothed over neighbouring
-blocks, tell content paths from the rest, so a short paragraph stays with the long ones of its path. Menus, forms,
-adverts, comments and the like are known by their tags, roles and class words and are no blocks at all.
+blocks, tell content paths from the rest, so a short paragraph stays with the long ones of its path. That a path stands
+in an article element is one more feature. With a content block stays what else its element's parent, or the article
+element around it, holds: headings, lists, short entries. Menus, forms, adverts, comments and the like are known by their tags, roles and class words and are no blocks at all.
 """
 
 from __future__ import annotations
@@ -44,10 +45,13 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^'
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…，。！？；：、]")
 
-#: Paths outside of an article element need this part of the best path's smoothed score.
+#: Content paths have this part of the best path's smoothed score.
 THRESHOLD = 0.2
-#: Of several article elements, those with this part of the longest one's text count.
-ARTICLE_PART = 0.25
+#: Blocks in an article element have so many times their score.
+ARTICLE_WEIGHT = 4
+#: Tags of text within a content block's parent that stay with it.
+FLOW = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: More link text than this part of a path makes it a list of links.
 LINK_PART = 0.6
 
@@ -57,6 +61,7 @@ class Block(NamedTuple):
     text: str
     links: int
     article: int  # number of the outermost article element it stands in; 0 if none
+    inside: tuple[int, ...]  # numbers of the path's elements
 
 
 class Element(NamedTuple):
@@ -64,17 +69,19 @@ class Element(NamedTuple):
     label: str
     noise: bool
     article: int
+    number: int
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, what is marked as no article left out. Unclosed and stray tags do no harm."""
-    stack, out, held, links = [Element("", "", False, 0)], [], [], [0]
-    articles, at = 0, 0
+    stack, out, held, links = [Element("", "", False, 0, 0)], [], [], [0]
+    articles, elements, at = 0, 0, 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append(Block(tuple(e.label for e in stack[1:] if e.name not in INLINE), text, min(links[0], len(text)), stack[-1].article))
+            path = [e for e in stack[1:] if e.name not in INLINE]
+            out.append(Block(tuple(e.label for e in path), text, min(links[0], len(text)), stack[-1].article, tuple(e.number for e in path)))
         held.clear()
         links[0] = 0
 
@@ -136,34 +143,43 @@ def blocks(page: str) -> list[Block]:
             article = articles
         if tag[3].endswith("/") and name not in INLINE and name not in CLOSES_P:
             continue
-        stack.append(Element(name, f"{name}.{said['class']}" if said.get("class") else name, noise, article))
+        elements += 1
+        stack.append(Element(name, f"{name}.{said['class']}" if said.get("class") else name, noise, article, elements))
     say(page[at:])
     flush()
     return out
 
 
 def chosen(found: list[Block]) -> list[bool]:
-    """Which blocks are content, by the ratios of their paths."""
+    """Which blocks are content, by the ratios of their paths, and by what they stand with."""
     sums = defaultdict(lambda: np.zeros(4))
     for b in found:
         sums[b.path] += (1, len(b.text), len(PUNCTUATION.findall(b.text)), b.links)
     n, length, marks, links = np.array([sums[b.path] for b in found]).T
     linked = links / np.maximum(length, 1)
-    fused = length / n * (1 + marks / n) * (1 - linked)
+    fused = length / n * (1 + marks / n) * (1 - linked) * np.where([b.article > 0 for b in found], ARTICLE_WEIGHT, 1)
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(fused)), kernel, "full")[2:-2]
     smooth = np.convolve(fused, kernel, "full")[2:-2] / weight
     score = np.sqrt(fused * smooth)
-    own = np.array([b.article for b in found])
-    sizes = np.bincount(own, weights=[len(b.text) for b in found])
-    if len(sizes) > 1 and sizes[1:].max() >= 0.05 * sizes.sum():  # the page says where its article is
-        main = np.flatnonzero(sizes >= ARTICLE_PART * sizes[1:].max())
-        heading = np.array([b.path[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") if b.path else False for b in found])
-        return list(np.isin(own, main[main > 0]) & ((linked <= LINK_PART) | heading))
     best = {}
     for b, s in zip(found, score, strict=True):
         best[b.path] = max(best.get(b.path, 0.0), s)
-    return [best[b.path] >= THRESHOLD * score.max() and x <= LINK_PART for b, x in zip(found, linked, strict=True)]
+    content = [best[b.path] >= THRESHOLD * score.max() and x <= LINK_PART for b, x in zip(found, linked, strict=True)]
+    articles = {b.article for b, x in zip(found, content, strict=True) if x and b.article}
+    parents = {b.inside[-2] for b, x in zip(found, content, strict=True) if x and len(b.inside) > 1 and b.path[-2].split(".")[0] not in ("body", "html")}
+
+    def beside(b: Block) -> bool:
+        """In the parent of a content block, with tags of text only between."""
+        for label, number in zip(reversed(b.path), reversed(b.inside), strict=True):
+            if number in parents:
+                return True
+            if label.split(".")[0] not in FLOW:
+                return False
+        return False
+
+    heading = [bool(b.path) and b.path[-1].split(".")[0] in HEADINGS for b in found]
+    return [x or (b.article in articles or beside(b)) and (part <= LINK_PART or h) for b, x, part, h in zip(found, content, linked, heading, strict=True)]
 
 
 def main_text(page: str) -> str:

@@ -108,6 +108,18 @@ def test_pages_by_paths_alone():
     assert pages.main_text(html.escape("<p>a")) == "<p>a"
 
 
+def test_pages_with_several_or_small_articles():
+    entry = "<article><h2>{0}</h2><p>{1}</p></article>"
+    long, short = "A long entry, with commas, that goes on, as entries do, for quite some time. " * 8, "Short entry, done."
+    page = "<body>" + entry.format("One", long) + entry.format("Two", short) + entry.format("Three", short) + "<div>Imprint</div></body>"
+    assert pages.main_text(page) == f"One {long.strip()} Two {short} Three {short}"
+    # a small article element does not outdo the text that the scores find
+    page = f"<body><article><p>Teaser.</p></article><div><h2>Title</h2><p>{long}</p><ul><li>Item</li></ul><p>{long}</p></div><div><a>Home</a></div></body>"
+    assert pages.main_text(page) == f"Title {long.strip()} Item {long.strip()}"
+    page = f"<body><article><p>Teaser, eight words of it, and no more.</p></article><div class=text><p>{long[:400]}</p></div></body>"
+    assert long[:400].strip() in pages.main_text(page)
+
+
 # 3
 
 
