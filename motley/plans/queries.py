@@ -257,6 +257,22 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return Fr.nearest_rows(frames.where("order % 100 = 1"), frames.where("order % 100 = 0"), "block")
 
 
+@query("j10_knn_vote_all")
+def j10_all(spark: SparkSession, d: str) -> DataFrame:
+    """The vote of each vector's ten nearest others, over all vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("label") % 2).alias("block"))
+    near = Fr.nearest_values(e, e, "block", "x", "vec_id", "label", 11)
+    others = e.select(F.col("vec_id").alias("key"), "block", "x").join(near, ["block", "x"]).where("key != id")
+    return Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
+
+
+@query("j11_nearest_hamming_all")
+def j11_all(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of odd orders against those of even orders: every frame takes part."""
+    frames = lineitem_frames(spark, d).withColumn("order", F.floor(F.col("frame_id") / 8)).withColumn("block", F.lit(0))
+    return Fr.nearest_rows(frames.where("order % 2 = 1"), frames.where("order % 2 = 0"), "block")
+
+
 @query("j12_label_lookup", "SELECT d.doc_id, coalesce(l.toxic, -1) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import motley.plans.queries  # noqa: F401
 from motley.functions import columns as C
 from motley.operators import clustering as Cl
 from motley.operators import distributions as D
@@ -16,6 +17,8 @@ from motley.operators import models as M
 from motley.operators import ordered as O
 from motley.operators import sampling as G
 from motley.plans import analyses as A
+from motley.plans.registry import QUERIES
+from motley.sources.tables import lineitem_frames
 
 
 def small_model(sizes=(2, 3, 4), seed=1):
@@ -170,3 +173,29 @@ def test_reference_integrity(spark):
     refs = spark.createDataFrame([("a1", "gone", "essential"), ("a2", "keep", "optional"), ("a2", "gone", "optional"), ("a3", "gone", "optional"), ("a3", "gone2", "optional")], "owner string, ref string, kind string")
     known = spark.createDataFrame([("keep",)], "ref string")
     assert sorted(r[0] for r in Fr.orphans(refs, known, "owner", "ref", "kind").collect()) == ["a1", "a3"]
+
+
+@pytest.mark.parametrize("slots", [1, 4, 32])
+def test_nearest_values(spark, slots):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 4)), float(rng.integers(0, 60)) / 8 if i % 3 else 1.0) for i in range(300)]
+    df = spark.createDataFrame([(i, b, x, b % 2) for i, b, x in rows], "id long, label int, x double, block int")
+    near = Fr.nearest_values(df, df, "block", "x", "id", "label", 6, slots)
+    others = df.select(F.col("id").alias("key"), "block", "x").join(near, ["block", "x"]).where("key != id")
+    got = {r["key"]: r["label"] for r in Fr.vote(others, "key", 5).collect()}
+    want = {}
+    for i, b, x in rows:
+        best = sorted((abs(x - y), j, c) for j, c, y in rows if j != i and c % 2 == b % 2)[:5]
+        votes = [c for _, _, c in best]
+        want[i] = min(votes, key=lambda c: (-votes.count(c), c))
+    assert got == want
+
+
+def test_whole_tables_take_part(spark):
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["j10_knn_vote_all"](spark, d).count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
+    frames = [(r["frame_id"] // 8, r["frame_id"], tuple(r["labels"])) for r in lineitem_frames(spark, d).collect()]
+    refs = {f[2] for f in frames if f[0] % 2 == 0}
+    least = {v: min(sum(a != b for a, b in zip(v, r, strict=True)) for r in refs) for v in {f[2] for f in frames}}
+    got = sorted((r["frame_id"], r["distance"]) for r in QUERIES["j11_nearest_hamming_all"](spark, d).collect())
+    assert got == sorted((f[1], least[f[2]]) for f in frames if f[0] % 2 == 1)
