@@ -1,8 +1,8 @@
 """Pseudolikelihood fits of pairwise models.
 
 The objective is a sum over frames, so Spark counts equal frames first: what a step reads is a row per different frame
-with its count. Up to LOCAL of them are held by the driver; beyond that, each step is a job in which every partition
-sums its part of the gradient, and only sums travel.
+with its count, kept in executors' storage over the steps. Each step is a job in which every partition sums its part of the
+gradient; only sums, a number per parameter, travel.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from motley.operators.models import Arrays
 
-#: Different frames that the driver may hold.
-LOCAL = 200_000
-
 
 class Settings(NamedTuple):
     steps: int = 200
@@ -81,17 +78,14 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
 
 
 def _objective(counted: DataFrame, layout: Layout):
-    if counted.limit(LOCAL + 1).count() <= LOCAL:
-        local = counted.toPandas()  # LOCAL rows at most
-        rows, n = np.array(local["labels"].tolist(), int).reshape(len(local), len(layout.sizes)), local["n"].to_numpy(float)
-        return n.sum(), lambda theta: loss_and_gradient(layout, theta, rows, n)
+    """(frames, objective of the parameters). `counted` is read at every step; a lost part of it is counted again."""
     total = counted.agg(F.sum("n")).first()[0]
 
-    def spread(theta: np.ndarray) -> tuple[float, np.ndarray]:
+    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros(len(theta) + 1)
             for b in batches:
-                loss, grad = loss_and_gradient(layout, theta, np.array(b["labels"].tolist(), int), b["n"].to_numpy(float))
+                loss, grad = loss_and_gradient(layout, theta, np.array(b["labels"].tolist(), int).reshape(len(b), len(layout.sizes)), b["n"].to_numpy(float))
                 out += np.concatenate(([loss], grad))
             yield pd.DataFrame({"i": range(len(out)), "v": out})
 
@@ -99,7 +93,7 @@ def _objective(counted: DataFrame, layout: Layout):
         flat = np.array([sums[i] for i in range(len(theta) + 1)])
         return flat[0], flat[1:]
 
-    return total, spread
+    return total, objective
 
 
 def centred(model: Arrays) -> Arrays:
@@ -121,10 +115,12 @@ def fit(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], setti
     """
     layout = Layout(sizes, edges)
     frozen = layout.pack(base) if base else 0.0
-    total, objective = _objective(distinct_frames(frames), layout)
+    counted = distinct_frames(frames).persist()
+    total, objective = _objective(counted, layout)
     if not total:
         raise ValueError("no frames to fit")
-    held = _objective(distinct_frames(validation), layout) if validation is not None else None
+    other = distinct_frames(validation).persist() if validation is not None else None
+    held = _objective(other, layout) if other is not None else None
     theta = np.zeros(sum(sizes) + sum(sizes[r] * sizes[s] for r, s in edges))
     m, v, best, losses = np.zeros_like(theta), np.zeros_like(theta), (math.inf, theta), []
     for t in range(1, settings.steps + 1):
@@ -141,9 +137,12 @@ def fit(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], setti
         shrink = lambda x, by: x * max(0.0, 1 - by / max(float(np.linalg.norm(x)), 1e-12))
         model = Arrays([shrink(x, rate * settings.field) for x in model.h], {e: shrink(x, rate * settings.block) for e, x in model.j.items()})
         theta = layout.pack(centred(model))
+    for df in (counted, other):
+        if df is not None:
+            df.unpersist()
     return layout.unpack(best[1]), losses
 
 
 def in_validation(frame_id: Column, share: float, seed: int = 0) -> Column:
-    """A split that does not depend on order."""
-    return F.pmod(F.xxhash64(F.lit(seed), frame_id), F.lit(1_000_000)) < int(share * 1_000_000)
+    """A split that does not depend on order (E13, T9): by the first 32 bits of a digest of seed and frame."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), frame_id.cast("string"))), 1, 8) < F.lit(f"{int(share * (1 << 32)):08x}")

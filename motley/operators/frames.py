@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.columns import finite, mismatches
+from motley.operators.ordered import placed
 
 
 def assigned(labels: Column) -> Column:
@@ -56,24 +57,21 @@ def only_states(df: DataFrame, column: str, wanted: list) -> DataFrame:
 
 def thinned(df: DataFrame, key: str | None, order: str, most: int) -> DataFrame:
     """Every (n // most)-th row of each key, in order."""
-    by = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_i", F.row_number().over(by.orderBy(order)) - 1)
-    return rows.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_n", "_i")
+    rows = placed(df, [key] if key else [], order, [])
+    return rows.where(F.col("place") % F.greatest(F.lit(1), F.floor(F.col("place_all") / most)) == 0).select(*df.columns)
 
 
 def evenly_spread(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """At most `most` rows of each key at even distances, the first and last among them."""
-    by = Window.partitionBy(key)
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_i", F.row_number().over(by.orderBy(order)) - 1)
+    rows, i, n = placed(df, [key], order, []), F.col("place"), F.col("place_all")
     # row i is kept if it is floor(j * (n - 1) / (most - 1)) for a whole j
-    j = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
-    hit = F.floor(j * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
-    return rows.where((F.col("_n") <= most) | hit).drop("_n", "_i")
+    hit = F.floor(F.ceil(i * (most - 1) / (n - 1)) * (n - 1) / (most - 1)) == i
+    return rows.where((n <= most) | hit).select(*df.columns)
 
 
 def hashed_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same ones each time (F8). A take-ordered: no full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), id_column), id_column).limit(n)
+    """n rows without replacement, the same ones each time (F8): those of the smallest digests of seed and id. A take-ordered."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string"))), id_column).limit(n)
 
 
 def has_values(values: Column) -> Column:
@@ -129,12 +127,19 @@ def latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
-    """left's frame_id with the fewest mismatches to a row of `right` in its block (J11). Label vectors that occur in a block are
-    compared once each, in an array, and the distances joined back: the alphabets bound their number, not the rows."""
-    refs = right.select(block, "labels").distinct().groupBy(block).agg(F.collect_list("labels").alias("_refs"))
+def nearest_rows(left: DataFrame, right: DataFrame, block: str, most: int = 4096) -> DataFrame:
+    """left's frame_id with the fewest mismatches to a row of `right` in its block.
+
+    Label vectors that occur in a block are compared once each, in arrays of about `most` of them, and the distances joined back;
+    a block of more is several arrays, so none grows with the rows.
+    """
+    refs = right.select(block, "labels").distinct()
+    chunks = refs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_chunks"))  # a row per block
+    dealt = refs.join(chunks, block).withColumn("_chunk", F.pmod(F.xxhash64("labels"), F.col("_chunks")).cast("int"))
+    arrays = dealt.groupBy(block, "_chunk").agg(F.collect_list("labels").alias("_refs"))
+    asked = left.select(block, "labels").distinct().join(chunks, block).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     near = F.array_min(F.transform("_refs", lambda r: mismatches(F.col("labels"), r)))
-    found = left.select(block, "labels").distinct().join(refs, block).select(F.col(block).alias("_block"), F.col("labels").alias("_labels"), near.alias("distance"))
+    found = asked.join(arrays, [block, "_chunk"]).groupBy(F.col(block).alias("_block"), F.col("labels").alias("_labels")).agg(F.min(near).alias("distance"))
     return left.join(found, (F.col(block) == F.col("_block")) & F.col("labels").eqNullSafe(F.col("_labels"))).select(block, "frame_id", "distance")
 
 

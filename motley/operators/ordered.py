@@ -1,16 +1,49 @@
 """Ordered aggregates: ranks, curves, thresholds, top-k, histograms.
 
-Windows run within keys. Where a whole table is one order (a curve of a few points, counts of bins), it is aggregated first.
+An order of many rows is dealt by ranges of its value (`running`), so a key with most of the rows is many tasks, not one.
+Windows run within keys of few rows, or over counts.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.columns import interpolated
 
 
+def running(df: DataFrame, keys: list[str], value: str, ties: list[str], weights: dict[str, Column]) -> DataFrame:
+    """df with, for each weight, `name`: its sum over the rows of the key that come before by value and ties, and `name_all`: over all.
+
+    Values are cut into as many ranges as there are shuffle partitions; sums of the ranges, a row a key and range, are added to those
+    within a range. Null values come last. Only the cut points reach the driver.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col(value).cast("double")
+    cuts = sorted({float(x) for x in df.select(number.alias("_x")).where("_x is not null and not isnan(_x)").approxQuantile("_x", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slot", handleInvalid="keep")
+    rows = cut.transform(df.withColumn("_x", F.coalesce(number, F.lit(float("nan"))))).drop("_x")
+    rows = rows.withColumns({f"_w{i}": w for i, w in enumerate(weights.values())})
+    names = list(weights)
+    sums = rows.groupBy(*keys, "_slot").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = by.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_run_key{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_run_slot"), *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(names))], *[F.sum(f"_s{i}").over(by).alias(f"_a{i}") for i in range(len(names))])
+    on = F.col("_slot") == F.col("_run_slot")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_run_key{i}"))
+    within = Window.partitionBy(*keys, "_slot").orderBy(F.col(value).asc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.coalesce(F.sum(f"_w{i}").over(within), F.lit(0)).alias(f"_o{i}") for i in range(len(names))]
+    out = rows.select(*df.columns, "_slot", *own).join(sums, on)
+    return out.select(*df.columns, *[(F.col(f"_o{i}") + F.col(f"_b{i}")).alias(n) for i, n in enumerate(names)], *[F.col(f"_a{i}").alias(f"{n}_all") for i, n in enumerate(names)])
+
+
+def placed(df: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
+    """df with place (from 0, by value and ties within the key) and place_all: the key's rows."""
+    return running(df, keys, value, ties, {"place": F.lit(1).cast("long")})
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
     """keys, bin, density over shared bins from low to high, the last one closed (A8); values outside count nowhere. Empty bins have no row."""
     width = (high - low) / bins
@@ -27,16 +60,16 @@ def cumulative(df: DataFrame, keys: list[str], at: str, n: str) -> DataFrame:
 
 
 def mean_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with rank: ties share the mean of their ranks."""
-    by = Window.partitionBy(*keys)
-    return df.withColumn("rank", F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """df with rank: ties share the mean of their ranks (W3). Ranks run over counts of values, then go back to the rows."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running(counts, keys, value, [], {"_before": F.col("_n")})
+    return df.join(ranks.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias("rank")), [*keys, value])
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """keys, auc by rank sums (W4); null if a class is empty. Scores are counted per value first, so ranks run over values, not rows."""
     counts = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(counts, keys, score, [], {"_before": F.col("n")}).withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"), F.sum(F.col("rank") * F.col("pos")).alias("sum"))
     value = (F.col("sum") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
     return sums.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), value).alias("auc"))
@@ -44,14 +77,13 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
 
 def roc(df: DataFrame, keys: list[str], score: str, label: str, tie: str) -> DataFrame:
     """keys, step, fpr, tpr by falling score, a point per row, (0, 0) first."""
-    by = Window.partitionBy(*keys)
-    order = by.orderBy(F.desc(score), tie)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
     y = F.col(label).cast("long")
-    rate = lambda x: F.sum(x).over(run) / F.sum(x).over(by)
-    rows = df.select(*keys, F.row_number().over(order).cast("long").alias("step"), rate(1 - y).alias("fpr"), rate(y).alias("tpr"))
+    rows = df.select(*keys, (-F.col(score)).alias("_down"), tie, y.alias("_y"))
+    run = running(rows, keys, "_down", [tie], {"_n": F.lit(1).cast("long"), "_pos": F.col("_y"), "_neg": 1 - F.col("_y")})
+    rate = lambda n, own: (F.col(n) + own) / F.when(F.col(f"{n}_all") > 0, F.col(f"{n}_all"))
+    points = run.select(*keys, (F.col("_n") + 1).alias("step"), rate("_neg", 1 - F.col("_y")).alias("fpr"), rate("_pos", F.col("_y")).alias("tpr"))
     first = df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return rows.unionByName(first)
+    return points.unionByName(first)
 
 
 def trapezoid(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -84,10 +116,9 @@ def top_k(df: DataFrame, keys: list[str], value: Column, tie: str, k: int) -> Da
 
 def percentile_rank(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """df with fast and slow: 1 - place / (n - 1) by rising value, and the rest to 1; alone, 1 and 0."""
-    by = Window.partitionBy(*keys)
-    n, place = F.count(F.lit(1)).over(by), F.row_number().over(by.orderBy(value, tie)) - 1
-    fast = F.when(n > 1, 1 - place / (n - 1)).otherwise(1.0)
-    return df.withColumn("fast", fast).withColumn("slow", 1 - F.col("fast"))
+    n = F.col("place_all")
+    fast = F.when(n > 1, 1 - F.col("place") / (n - 1)).otherwise(1.0)
+    return placed(df, keys, value, [tie]).withColumn("fast", fast).withColumn("slow", 1 - F.col("fast")).drop("place", "place_all")
 
 
 def window_distribution(df: DataFrame, keys: list[str], order: str, label: str, reach: int) -> DataFrame:
@@ -130,21 +161,33 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
 
 
 def mid_rank(df: DataFrame, references: DataFrame, keys: list[str], value: str, eps: float = 1e-9) -> DataFrame:
-    """df with percentile: the share of the key's reference values below, half of the equal ones added."""
-    sums = references.groupBy(*keys).agg(F.collect_list(value).alias("_refs"))  # a bounded set of reference samples
-    x = F.col(value)
-    score = F.aggregate("_refs", F.lit(0.0), lambda s, r: s + F.when(r < x - eps, 1.0).when(r <= x + eps, 0.5).otherwise(0.0))
-    return df.join(sums, keys, "left").withColumn("percentile", score / F.size("_refs")).drop("_refs")
+    """df with percentile: the share of the key's reference values below, half of the equal ones added (W16); null without references.
+
+    Each row asks twice, a little below its value and a little above; questions and references are one order, dealt by ranges.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    ask = lambda shift, kind: F.struct((F.col(value) + F.lit(shift)).alias("_at"), F.lit(kind).alias("_kind"))
+    asked = rows.select(*keys, "_row", F.explode(F.array(ask(-eps, 0), ask(eps, 2))).alias("_q")).select(*keys, "_row", "_q.*", F.lit(0).cast("long").alias("_ref"))
+    refs = references.where(F.col(value).isNotNull()).select(*keys, F.lit(None).cast("long").alias("_row"), F.col(value).alias("_at"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_ref"))
+    found = running(asked.unionByName(refs), keys, "_at", ["_kind"], {"_below": F.col("_ref")}).where("_kind != 1")
+    per = found.groupBy("_row").agg((F.sum("_below") / 2).alias("_sum"), F.max("_below_all").alias("_all"))
+    return rows.join(per, "_row").withColumn("percentile", F.col("_sum") / F.when(F.col("_all") > 0, F.col("_all"))).drop("_row", "_sum", "_all")
 
 
 def deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, median, mad: median absolute deviation; where it is 0 the standard deviation, where that is too, 1."""
-    middle = df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median"), F.stddev_pop(value).alias("_std"))
+    middle = quantiles(df, keys, value, (0.5,)).toDF(*keys, "median").join(df.groupBy(*keys).agg(F.stddev_pop(value).alias("_std")), keys)
     far = df.join(middle, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    out = far.groupBy(*keys, "median", "_std").agg(F.expr("percentile(_d, 0.5)").alias("_mad"))
+    out = quantiles(far, [*keys, "median", "_std"], "_d", (0.5,)).toDF(*keys, "median", "_std", "_mad")
     return out.select(*keys, "median", F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_std") > 0, F.col("_std")).otherwise(1.0).alias("mad"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """keys, q25, q50, ...: by linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.expr(f"percentile(`{value}`, {q})").alias(f"q{round(q * 100):02d}") for q in at])
+    """keys, q25, q50, ...: by linear interpolation (A7); nulls do not count. From running counts of values, so no task holds a key's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    run = running(counts, keys, value, [], {"_before": F.col("_n")})
+    place = lambda q: F.lit(q) * (F.col("_before_all") - 1)
+    held = lambda i: F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_n")), F.col(value)))
+    ends = [x.alias(f"_{k}{j}") for j, q in enumerate(at) for k, x in (("low", held(F.floor(place(q)))), ("high", held(F.ceil(place(q)))), ("part", F.max(place(q) - F.floor(place(q)))))]
+    out = run.groupBy(*keys).agg(*ends)
+    return out.select(*keys, *[(F.col(f"_low{j}") + (F.col(f"_high{j}") - F.col(f"_low{j}")) * F.col(f"_part{j}")).alias(f"q{round(q * 100):02d}") for j, q in enumerate(at)])

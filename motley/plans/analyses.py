@@ -239,12 +239,12 @@ def n1(spark: SparkSession, d: str) -> DataFrame:
     return Cl.state_sensitivity(angles, "active")
 
 
-@query("d7_frame_vectors", "SELECT label AS state_id, vec_id AS frame_index, 16 AS n FROM embeddings")
+@query("d7_frame_vectors", "SELECT label AS state_id, vec_id AS frame_index, 64 AS n FROM embeddings")
 def d7(spark: SparkSession, d: str) -> DataFrame:
     return Fe.frame_vectors(embedding_angles(spark, d)).select("state_id", "frame_index", F.size("vector").alias("n"))
 
 
-@query("d4_common_sites", "SELECT label AS state_id, vec_id AS frame_index, CAST(s AS INTEGER) AS site FROM embeddings, range(4) t(s) WHERE label IN (0, 1)")
+@query("d4_common_sites", "SELECT label AS state_id, vec_id AS frame_index, CAST(s AS INTEGER) AS site FROM embeddings, range(16) t(s) WHERE label IN (0, 1)")
 def d4(spark: SparkSession, d: str) -> DataFrame:
     return Fe.common_sites(embedding_angles(spark, d), [0, 1]).select("state_id", "frame_index", "site")
 

@@ -34,7 +34,7 @@ def lineitem_frames(spark: SparkSession, sf_dir: str, gaps: bool = False) -> Dat
     return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("long").alias("sample_id"), frame.alias("frame_id"), F.array(*labels).alias("labels"))
 
 
-def embedding_angles(spark: SparkSession, sf_dir: str, sites: int = 4) -> DataFrame:
+def embedding_angles(spark: SparkSession, sf_dir: str, sites: int = 16) -> DataFrame:
     """state_id, frame_index, site, angles: four components of each vector a site, times 2 pi, in [0, 2 pi)."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
     sliced = F.transform(F.sequence(F.lit(0), F.lit(sites - 1)), lambda s: F.transform(F.slice("embedding", s * 4 + 1, 4), lambda x: F.pmod(x.cast("double") * 2 * F.pi(), 2 * F.pi())))

@@ -93,14 +93,6 @@ def test_gradient_and_recovery(spark):
     assert losses[-1] < losses[0] and all(np.abs(got.j[e] - want.j[e]).max() < 0.15 for e in want.j)
 
 
-def test_spread_gradient_equals_local(spark, monkeypatch):
-    frames = spark.createDataFrame([([i % 2, i % 3],) for i in range(30)], "labels array<int>")
-    local, a = Fi.fit(frames, [2, 3], [(0, 1)], Fi.Settings(steps=3))
-    monkeypatch.setattr(Fi, "LOCAL", 2)
-    spread, b = Fi.fit(frames, [2, 3], [(0, 1)], Fi.Settings(steps=3))
-    assert np.allclose(a, b) and np.allclose(local.j[0, 1], spread.j[0, 1])
-
-
 def test_samples_without_valid_frames_are_skipped(spark):
     rows = [("md1", 0, [0, 0]), ("md1", 1, [1, 1]), ("sa1", 0, [0, 0]), ("sa1", 1, [1, 1]), ("sa1", 2, [0, 1])]
     frames = spark.createDataFrame(rows, "sample_id string, frame_id long, labels array<int>")
