@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset: on one machine, a folder of our own;
+    on a cluster an error, as what is written there would be lost with its executor."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="motley-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -100,5 +104,17 @@ def least_hashed(df: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """A public tokenizer's file; MOTLEY_TOKENIZERS may name another folder."""
-    return os.path.join(os.environ.get("MOTLEY_TOKENIZERS", "/opt/tokenizers"), name)
+    """A public tokenizer's file."""
+    return public_tokenizers.path(name)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the memory that its arrays no longer use goes back to the system: workers stay for later stages."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return work

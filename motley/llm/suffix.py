@@ -1,18 +1,23 @@
 """Removal of repeated byte strings over a whole corpus, by prefix-free parsing.
 
-A rolling hash of 32 bytes sets triggers: the trigger of a 100-byte string is the least hash in it, so equal
-strings have equal triggers at equal places. The string starts that share a trigger follow each other; together
-with the 100 bytes they reach they are a phrase, and a document is the sequence of its phrases. The dictionary
-holds each distinct phrase once, with its first place in the corpus.
-
-Sorting the dictionary by trigger, then phrase, then place puts every string start of the corpus in an order in
-which equal 100-byte strings are neighbours, without a row per byte:
-- a phrase that was seen before repeats in all its strings;
-- a trigger seen in one phrase only repeats in none;
-- phrases that share a trigger but differ (the ends of repeated passages) are the only ones whose strings are
-  sorted one by one.
-Only equality of the first 100 bytes matters here, so the order within a trigger is that of 64-bit hashes, not of
-letters. Two different strings are taken as equal with a chance of about 2^-56 for a pair.
+A rolling hash of 32 bytes sets triggers: the trigger of a 100-byte string is the least hash in it (the first of equals), so
+equal strings have equal triggers at equal places. The string starts that share a trigger follow each other; with the
+bytes they reach they are a phrase, and a document is the sequence of its phrases. Phrases are dealt by trigger:
+- the dictionary keeps each phrase once, by its first place; the others of its kind repeat in all their strings;
+- a trigger of one phrase only repeats in none;
+- of a trigger of several phrases (the ends of repeated passages) the bytes are sent, and put in corpus order:
+  1. every phrase is cut at its trigger. The distinct left parts, the trigger their end, are the dictionary; its suffix
+     array comes of prefix doubling. A suffix that ends in its trigger is no proper beginning of another one.
+  2. what follows the trigger is a suffix of the parse. Those are sorted, with the length each has in common with the next.
+  3. a string start is a suffix of a left part and what follows the trigger: sorted by the rank of the one, then of the
+     other, all starts stand in the order of their letters. Neighbours with equal suffix and enough in common after
+     the trigger are equal strings; all but the first of them in the corpus repeat.
+
+An order of all letters is made of one trigger's phrases, or some triggers' at once, never of the whole corpus: equal strings have
+equal triggers, so no neighbours are missed. A trigger of more phrases than a task should hold (a line that a third of the
+documents have) has its strings sent by their hashes instead, merged where they are made.
+
+Phrases are compared by 64-bit hashes. Two different ones are taken as equal with a chance of about 2^-56 for a pair.
 """
 
 from __future__ import annotations
@@ -22,22 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import in_order, partitions, stored, text_slices
+from motley.llm.common import in_order, partitions, released, stored, text_slices
 from motley.llm.simhash import mixed
 
 LENGTH = 100
 TRIGGER = 32
 #: Bytes hashed at once; longer documents are taken in pieces that overlap by a string.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Phrases a task gathers before it merges equal ones and sends them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
+#: The most phrases of one trigger that are put in order at once, and the bytes of several triggers' phrases.
+TOGETHER, TOGETHER_BYTES = 1 << 14, 2 << 20
 ROOT = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8
 
 PHRASES = "trigger long, phrase long, sid long, place long"
-SPANS = "kind int, sid long, first long, last long"
+SPANS = "kind int, sid long, first long, last long, lead long"
 
 
 @functools.lru_cache(1)
@@ -182,11 +190,11 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
         if got.n:
             yield got.merged()
 
-    return docs.select("sid", "text").mapInArrow(run, PHRASES)
+    return docs.select("sid", "text").mapInArrow(released(run), PHRASES)
 
 
 def strings(docs: DataFrame, length: int) -> DataFrame:
-    """The single strings of the phrases in `docs` (sid, text, spans: first and last start)."""
+    """The single strings of the phrases of kind 2 in `docs` (sid, text, spans: kind, first and last start, lead)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Gathered(length)
@@ -194,7 +202,8 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
             spans = batch.column("spans")
             for i, (sid, blob) in enumerate(zip(batch.column("sid").to_pylist(), blobs_of(batch.column("text")), strict=True)):
                 own = spans[i].values
-                first, last = own.field("first").to_numpy(), own.field("last").to_numpy()
+                chosen = own.field("kind").to_numpy() == 2
+                first, last = own.field("first").to_numpy()[chosen], own.field("last").to_numpy()[chosen]
                 counts = last - first + 1
                 at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
                 for base in range(0, len(blob), PIECE):
@@ -209,54 +218,174 @@ def strings(docs: DataFrame, length: int) -> DataFrame:
         if got.n:
             yield got.merged()
 
-    return docs.select("sid", "text", "spans").mapInArrow(run, PHRASES)
+    return docs.select("sid", "text", "spans").mapInArrow(released(run), PHRASES)
 
 
-def repeats(phrases: DataFrame, length: int) -> DataFrame:
-    """Kind 0: spans of bytes that repeat earlier ones. Kind 1: first and last start of phrases that share a trigger with
-    another one, each phrase by its first place. Works through the sorted phrases in a stream; holds one row between batches."""
+def phrase_bytes(docs: DataFrame, length: int) -> DataFrame:
+    """trigger, sid, first, lead, bytes (to the end of the last string) of the phrases of kind 1 in `docs` (sid, text, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans")
+            for i, (sid, blob) in enumerate(zip(batch.column("sid").to_pylist(), blobs_of(batch.column("text")), strict=True)):
+                own = spans[i].values
+                chosen = own.field("kind").to_numpy() == 1
+                first, last, lead = (own.field(c).to_numpy()[chosen].tolist() for c in ("first", "last", "lead"))
+                if first:
+                    keys = [xxhash.xxh64_intdigest(blob[a + k : a + k + TRIGGER]) for a, k in zip(first, lead, strict=True)]
+                    bodies = [blob[a : b + length] for a, b in zip(first, last, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"trigger": np.array(keys, np.uint64).view(np.int64), "sid": np.full(len(first), sid, np.int64), "first": np.array(first, np.int64), "lead": np.array(lead, np.int64), "bytes": pa.array(bodies, pa.binary())})
+
+    return docs.select("sid", "text", "spans").mapInArrow(run, "trigger long, sid long, first long, lead long, bytes binary")
+
+
+def suffix_ranks(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text begins, rank of the suffix at each place): of suffixes of the texts, as far as `length` bytes tell them
+    apart; equal ones share a rank. Ranks of 8 bytes are doubled until they reach."""
+    sizes = np.array([len(x) for x in texts])
+    data = np.frombuffer(b"".join(x + bytes(8) for x in texts), np.uint8)
+    base = np.cumsum(sizes + 8) - sizes - 8
+    at = np.arange(len(data))
+    left = np.repeat(base + sizes, sizes + 8) - at  # bytes up to the text's end
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(7, np.uint8))), 8)
+    rank = np.unique(np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64), return_inverse=True)[1].astype(np.int64)
+    reach = 8
+    while reach < length:
+        after = np.where(left > reach, rank[np.minimum(at + reach, len(data) - 1)] + 1, 0)
+        rank = np.unique(rank << 32 | after, return_inverse=True)[1].astype(np.int64)
+        reach *= 2
+    return base, rank
+
+
+def ordered_repeats(sid: np.ndarray, first: np.ndarray, lead: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document, start, end of merged spans: all but the first of equal strings in these phrases, by their order in the corpus."""
+    m, after = len(bodies), length - TRIGGER  # bytes that a string has besides its trigger
+    sizes = np.array([len(x) for x in bodies])
+    count = sizes - length + 1
+    # the dictionary: distinct left parts and the ranks of their suffixes
+    number: dict[bytes, int] = {}
+    part = np.array([number.setdefault(x[: k + TRIGGER], len(number)) for x, k in zip(bodies, lead.tolist(), strict=True)])
+    base, rank = suffix_ranks(list(number), length)
+    # the parse: what follows the trigger, sorted, and how much neighbours have in common
+    width = -(-after // 8) * 8
+    follows = np.frombuffer(b"".join(x[k + TRIGGER :].ljust(width, b"\0") for x, k in zip(bodies, lead.tolist(), strict=True)), np.uint8).reshape(m, width)
+    by = np.lexsort(follows.view(">u8").astype(np.uint64).T[::-1])
+    place = np.empty(m, np.int64)
+    place[by] = np.arange(m)
+    same = follows[by[1:]] == follows[by[:-1]]
+    common = np.where(same.all(axis=1), width, same.argmin(axis=1)) if m > 1 else np.zeros(0, np.int64)
+    kind = np.zeros((after + 1, m), np.int32)  # by the bytes that must agree after the trigger: neighbours that do
+    for need in range(1, after + 1):
+        np.cumsum(common < need, out=kind[need, 1:])
+    # all string starts, in corpus order
+    phrase = np.repeat(np.arange(m), count)
+    at = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
+    before = rank[base[part[phrase]] + at]
+    order = np.argsort(before << 32 | place[phrase], kind="stable")
+    phrase, at, before = phrase[order], at[order], before[order]
+    alike = kind[after - (lead[phrase] - at), place[phrase]]
+    new = np.concatenate(([True], (before[1:] != before[:-1]) | (alike[1:] != alike[:-1])))
+    turn = np.empty(m, np.int64)
+    turn[np.lexsort((first + lead, sid))] = np.arange(m)
+    earliest = np.minimum.reduceat(turn[phrase], np.flatnonzero(new))
+    again = turn[phrase] != earliest[np.cumsum(new) - 1]
+    start = (first[phrase] + at)[again]
+    (doc, start), end = merge_spans(sid[phrase][again], start, start + length)
+    return doc, start, end
+
+
+def ordered(phrases: DataFrame, length: int) -> DataFrame:
+    """Spans of kind 0 of `phrases` (of phrase_bytes): whole triggers at a time are put in corpus order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+
+        def found() -> pa.RecordBatch:
+            sid, first, lead, bodies = zip(*held, strict=True)
+            doc, start, end = ordered_repeats(*(np.array(x, np.int64) for x in (sid, first, lead)), list(bodies), length)
+            return pa.RecordBatch.from_pydict({"kind": np.zeros(len(doc), np.int32), "sid": doc, "first": start, "last": end, "lead": np.zeros(len(doc), np.int64)})
+
+        for batch in batches:
+            for trigger, *row in zip(*(batch.column(c).to_pylist() for c in ("trigger", "sid", "first", "lead", "bytes")), strict=True):
+                if trigger != last and size > TOGETHER_BYTES:
+                    yield found()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[-1])
+                last = trigger
+        if held:
+            yield found()
+
+    n = partitions(phrases.sparkSession)
+    return phrases.repartition(n, "trigger").sortWithinPartitions("trigger").mapInArrow(released(run), SPANS)
+
+
+def repeats(phrases: DataFrame, length: int, together: int = TOGETHER) -> DataFrame:
+    """Kind 0: spans of bytes that repeat earlier ones. Kind 1: first and last start of phrases that share a trigger with another
+    one, each phrase by its first place; kind 2: those of a trigger of more than `together` phrases. Works through the sorted
+    phrases in a stream; holds the phrases of one trigger, `together` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = phrase = None  # of the row before
-        known, held = False, None  # whether the trigger has two phrases; else its only phrase's row
+        held: list[tuple[np.ndarray, ...]] = []  # different phrases of the trigger that is not done
+        n, over = 0, False
+        out: list[tuple] = []
+
+        def add(rows: tuple[np.ndarray, ...]) -> None:
+            nonlocal held, n, over
+            held.append(rows)
+            n += len(rows[0])
+            over = over or n > together
+            if over:
+                out.extend((2, *x) for x in held)
+                held = []
+
+        def close() -> None:
+            nonlocal held, n, over
+            if n > 1:
+                out.extend((1, *x) for x in held)
+            held, n, over = [], 0, False
+
+        def batch_of() -> pa.RecordBatch:
+            none = np.zeros(0, np.int64)
+            kinds, *columns = zip(*[(np.full(len(x[1]), x[0], np.int32), *x[1:]) for x in [*out, (0, none, none, none, none)]], strict=True)
+            out.clear()
+            return pa.RecordBatch.from_pydict(dict(zip(("kind", "sid", "first", "last", "lead"), map(np.concatenate, (kinds, *columns)), strict=True)))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             sent = batch.column("trigger").is_null().to_numpy(zero_copy_only=False)
-            out = [(0, batch.column("sid").to_numpy()[sent], batch.column("place").to_numpy()[sent], batch.column("phrase").to_numpy()[sent])]
+            ready = [batch.column(c).to_numpy()[sent] for c in ("sid", "place", "phrase")]
+            out.append((0, *ready, np.zeros(len(ready[0]), np.int64)))
             rows = batch.filter(pa.array(~sent))
             if rows.num_rows:
                 t, p, sid, place = (rows.column(c).to_numpy() for c in ("trigger", "phrase", "sid", "place"))
-                low, high = place >> 16, (place >> 16) + (place & 255)
+                low, high, lead = place >> 16, (place >> 16) + (place & 255), place >> 8 & 255
                 new_key = np.concatenate(([key is None or t[0] != key], t[1:] != t[:-1]))
                 new = new_key | np.concatenate(([phrase is None or p[0] != phrase], p[1:] != p[:-1]))
-                out.append((0, sid[~new], low[~new], high[~new] + length))
-                group = np.cumsum(new_key) - (1 if new_key[0] else 0)  # group 0 goes on from the batch before, if it does
-                goes_on = not new_key[0]
-                distinct = np.bincount(group, weights=new, minlength=group[-1] + 1).astype(int)
-                if goes_on:
-                    distinct[0] += 2 if known else held is not None
-                many = distinct > 1
-                if held is not None and goes_on and many[0]:
-                    out.append((1, *held))
-                    held = None
-                elif not goes_on:
-                    held = None
-                first = np.flatnonzero(new & many[group])
-                out.append((1, sid[first], low[first], high[first]))
-                end = group[-1]
-                if many[end]:
-                    known, held = True, None
-                elif end > 0 or not goes_on:
-                    k = np.flatnonzero(new & (group == end))[:1]
-                    known, held = False, (sid[k], low[k], high[k])
+                out.append((0, sid[~new], low[~new], high[~new] + length, lead[~new]))
+                once = np.flatnonzero(new)
+                group = np.cumsum(new_key)[once]  # 0 goes on from the batch before
+                pick = lambda at: (sid[at], low[at], high[at], lead[at])  # noqa: E731, B023
+                if (goes_on := once[group == 0]).size:
+                    add(pick(goes_on))
+                end = int(np.count_nonzero(new_key))
+                if end:
+                    close()
+                    counts = np.bincount(group, minlength=end + 1)[group]
+                    whole = (group > 0) & (group < end)
+                    out.append((1, *pick(once[whole & (counts > 1) & (counts <= together)])))
+                    out.append((2, *pick(once[whole & (counts > together)])))
+                    add(pick(once[group == end]))
                 key, phrase = t[-1], p[-1]
-            kinds, *columns = zip(*[(np.full(len(x[1]), x[0], np.int32), *x[1:]) for x in out], strict=True)
-            yield pa.RecordBatch.from_pydict(dict(zip(("kind", "sid", "first", "last"), map(np.concatenate, (kinds, *columns)), strict=True)))
+            yield batch_of()
+        close()
+        yield batch_of()
 
     n = partitions(phrases.sparkSession)
     dealt = phrases.repartition(n, F.coalesce("trigger", F.xxhash64("sid", "place")))
-    return dealt.sortWithinPartitions("trigger", "phrase", "sid", "place").mapInArrow(run, SPANS)
+    return dealt.sortWithinPartitions("trigger", "phrase", "sid", "place").mapInArrow(released(run), SPANS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -268,19 +397,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(in_order(docs, "doc_id", "text").drop("slot").withColumn("sid", F.monotonically_increasing_id()), "numbered")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """sid, spans (array of first, last; end exclusive; not merged): the bytes of `docs` (sid, text) in strings of `length`
     bytes that start earlier too. Rows without any do not appear."""
     if not TRIGGER < length < 256:
         raise ValueError(f"a length between {TRIGGER} and 256 is needed")
-    found = stored(repeats(parse(docs, length), length), "phrases")
-    span = F.collect_list(F.struct("first", "last")).alias("spans")
-    mixed_up = found.where("kind = 1").groupBy("sid").agg(span)  # a document's spans are fewer than its bytes
-    single = stored(repeats(strings(docs.join(mixed_up, "sid"), length), length).where("kind = 0"), "strings")
-    return found.where("kind = 0").unionByName(single).groupBy("sid").agg(span)
+    found = stored(repeats(parse(docs, length), length, together), "phrases")
+    own = F.collect_list(F.struct("kind", "first", "last", "lead")).alias("spans")
+    texts = docs.join(found.where("kind > 0").groupBy("sid").agg(own), "sid")  # a document's spans are fewer than its bytes
+    rest = ordered(phrase_bytes(texts, length), length).unionByName(repeats(strings(texts, length), length).where("kind = 0"))
+    rest = stored(rest, "strings")
+    return found.where("kind = 0").unionByName(rest).groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """Every row of `docs` (doc_id, text, any others) with kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
     A byte goes if it lies in a string of `length` bytes that also starts earlier in the input: in a smaller doc_id, or
@@ -289,7 +419,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = numbered(docs)
     names = [c for c in docs.columns if c != "sid"]
-    joined = docs.join(repeated_spans(docs.select("sid", "text"), length).withColumnRenamed("spans", "_spans"), "sid", "left")
+    joined = docs.join(repeated_spans(docs.select("sid", "text"), length, together).withColumnRenamed("spans", "_spans"), "sid", "left")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +437,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in counts)], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.select(*names, "_spans").mapInArrow(cut, f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.select(*names, "_spans").mapInArrow(released(cut), f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    found = without_repeats(docs.select("doc_id", "text"), length)
+def digests(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+    found = without_repeats(docs.select("doc_id", "text"), length, together)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from motley.llm import components, digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity
 from motley.llm.common import least_hashed, tokenizer_path
@@ -191,12 +192,40 @@ def test_repeats(spark, docs, monkeypatch, piece):
     suffix.powers.cache_clear()
 
 
-def test_repeats_of_random_texts(spark):
+@pytest.mark.parametrize("together", [suffix.TOGETHER, 3])
+def test_repeats_of_random_texts(spark, together):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") if rng.random() < 0.02 else "a" for _ in range(rng.randrange(0, 900))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = [(i, *x) for i, x in enumerate(brute_repeats(texts, 100))]
-    assert sorted(tuple(r) for r in suffix.digests(df).collect()) == want
+    assert sorted(tuple(r) for r in suffix.digests(df, together=together).collect()) == want
+
+
+def test_corpus_order():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    base, rank = suffix.suffix_ranks(texts, 100)
+    places = [(i, k) for i, t in enumerate(texts) for k in range(len(t))]
+    got = sorted(places, key=lambda p: (rank[base[p[0]] + p[1]], p))
+    assert got == sorted(places, key=lambda p: (texts[p[0]][p[1] :], p))
+    # phrases of one trigger, cut anywhere around it: all equal strings but the first of each
+    trigger, length = b"T" * 32, 100
+    sides = [[bytes(rng.choice(b"xy") for _ in range(68)) for _ in range(3)] for _ in range(2)]
+    rows = []
+    for sid in range(60):
+        lead, count = rng.randrange(20, 69), rng.randrange(1, 15)
+        drawn = bytes(rng.choice(b"xy") for _ in range(80))
+        body = (drawn[:30] + rng.choice(sides[0])[:38])[-lead:] + trigger + rng.choice(sides[1])[:50] + drawn[30:]
+        rows.append((sid, 1000 - 7 * sid, lead, body[: min(count, lead + 1) - 1 + length]))
+    sid, first, lead, bodies = (list(x) for x in zip(*rows, strict=True))
+    doc, start, end = suffix.ordered_repeats(np.array(sid), np.array(first), np.array(lead), bodies, length)
+    seen, want = set(), set()
+    for s, f, _, body in rows:
+        for k in range(len(body) - length + 1):
+            if body[k : k + length] in seen:
+                want |= {(s, f + k + i) for i in range(length)}
+            seen.add(body[k : k + length])
+    assert {(d, i) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True) for i in range(a, b)} == want and want
 
 
 def test_repeats_of_nothing(empty):
@@ -222,10 +251,10 @@ def check_packing(rows, most):
 def test_packing(spark, docs):
     rows = packing.pack_documents(docs, BYTE_BPE).collect()
     check_packing(rows, 2048)
-    encoder = WordEncoder(BYTE_BPE)
+    library = Tokenizer.from_file(BYTE_BPE)
     want = []
     for d, t in TEXTS:
-        ids = encoder.library.encode(t or "", add_special_tokens=False).ids + [0]
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         first = (len(ids) - 1) % 2048 + 1
         cuts = [0, *range(first, len(ids), 2048), len(ids)]
         want += [(d, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -348,8 +377,16 @@ def test_pieces(spark, docs):
 def test_encoders_equal_the_libraries(text):
     merge = sentencepieces.merge_encoder(PIECE_BPE)
     assert merge.encode([text])[0].tolist() == merge.library.encode(text, add_eos=True)
-    words_ = WordEncoder(BYTE_BPE)
-    assert np.frombuffer(words_.encode([text])[0], "<u4").tolist() == words_.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WordEncoder(BYTE_BPE).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_library_as_it_is_loaded():
+    rng, library, encoder = random.Random(9), Tokenizer.from_file(BYTE_BPE), WordEncoder(BYTE_BPE)
+    parts = ["<|endoftext|>", " <|endoftext|>", "<|endoftext|", "a", " b", "  ", "\n", "\t", "über", " naïve", "\u00a0", "日本", "🙂", "'s", " don't", "1234", " 56", ",", ".\n\n", "\u200b", "é\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(20_000)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(encoder.encode(texts), want, strict=True))
 
 
 # 8
@@ -395,7 +432,7 @@ def test_nearest_examples_are_exact():
 
 def test_token_files(spark, docs):
     order = sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    library, want, at = WordEncoder(BYTE_BPE).library, [], 0
+    library, want, at = Tokenizer.from_file(BYTE_BPE), [], 0
     for d, t in order:
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
