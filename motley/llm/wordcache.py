@@ -3,7 +3,7 @@
 A byte-level BPE splits a text before it merges, and always splits before a single space or line feed that
 stands between two characters that are no white space. Texts are cut there and nowhere else, so the ids of the
 words, joined, are the ids of the text. For the same reason many new words are learnt as one text: each id that
-begins with a space or a line feed begins a word.
+begins with a space or a line feed begins a word. Texts with the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept by a worker in each of two generations.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters of text encoded in one go: few enough that its words stay in a core's cache.
 TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
@@ -91,7 +91,7 @@ def turns(texts: list[str], cut: Callable[[str], list[str]], chars: int) -> Iter
 class WordEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.memory = WordMemory(self._learn, CACHE_WORDS)
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -116,6 +116,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Each text's ids and the end, as little-endian unsigned 32-bit integers."""
+        whole = [i for i, x in enumerate(texts) if any(s in x for s in self.special)]  # the library cuts these out before words are cut
+        if whole:
+            known = dict(zip(whole, self._alone([texts[i] for i in whole]), strict=True))
+            rest = iter(self.encode([x for i, x in enumerate(texts) if i not in known], end))
+            return [known[i] + end if i in known else next(rest) for i in range(len(texts))]
         return [x for turn in turns(texts, words_of, TURN_CHARS) for x in self.memory.joined(turn, end)]
 
 
