@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,6 +95,49 @@ def in_order(df: DataFrame, key: str, *ties: str, guests: bool = False) -> DataF
     return df.repartitionById(len(cuts) + 2, "slot").sortWithinPartitions("slot", guest, F.col(key).asc_nulls_last(), *ties)
 
 
+def spread(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """big joined with small on key. `small` has each key once, with n: how many rows of big have it.
+
+    Keys of more than their share of the rows (a quarter of a task's) go to several tasks, by the hash of `by`; they are fewer than four
+    times the tasks, and only they are repeated in small. n is left out of the result; `small` is read three times, so give a stored table.
+    """
+    share = max(1, (small.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(big.sparkSession)))
+    hot = [(r[key], -(-r["n"] // share)) for r in small.where(F.col("n") > share).select(key, "n").collect()]  # under 4 * partitions rows
+    small = small.drop("n")
+    if not hot:
+        return big.join(small, key)
+    known = F.broadcast(big.sparkSession.createDataFrame(hot, f"`{key}` {small.schema[key].dataType.simpleString()}, _copies int"))
+    copies = F.coalesce("_copies", F.lit(1))
+    a = big.join(known, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), copies)).drop("_copies")
+    b = small.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("_copies")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
+def streamed(rows: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `work` makes of whole groups of equal keys (no nulls): rows come sorted, so no group is gathered before it is read.
+
+    work gets some rows and where their groups begin, and the number of rows last; a task holds one Arrow batch and one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.concat_batches([rest, batch]) if rest is not None else batch
+            columns = [batch.column(k).to_numpy() for k in keys]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            bounds = np.concatenate(([0], new))
+            if len(new):
+                yield from work(batch.slice(0, int(bounds[-1])), bounds)
+            rest = batch.slice(int(bounds[-1]))
+        if rest is not None:
+            yield from work(rest, np.array([0, rest.num_rows]))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(released(run), schema)
+
+
 def least_hashed(df: DataFrame, most: int, *by: str) -> DataFrame:
     """At most `most` rows, those of the smallest hashes of `by`: the same ones each time. A threshold on the hash leaves about
     four times as many before they are ordered, so what meets in one task does not grow with the input."""
