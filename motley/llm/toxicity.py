@@ -3,7 +3,12 @@
 Texts are TF-IDF vectors over the terms (words and word beginnings) that labelled examples show to go with a label.
 The examples with such terms stand in an inverted index whose postings are cut into ranges of examples (blocks), with
 the greatest weight of each term in each block. For a text, blocks are visited by the sum of their maxima and left out
-once that falls below the k-th cosine, so the k nearest are exact. Their votes, weighted by closeness, give the score.
+once that falls below the k-th cosine, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by a
+rising curve: how often examples with such votes of the others have the label. Examples with the very text asked about do
+not vote, so no row's own label enters its score, and equal texts have equal scores.
+
+Terms that go with no label are left out: a long text has hundreds of them, and its nearest examples by all words would be
+those of its subject or language, whatever the label.
 """
 
 from __future__ import annotations
@@ -16,15 +21,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import least_hashed, text_slices, texts_of
+from motley.llm.common import least_hashed, released, stored, text_slices, texts_of
 
 #: The most labelled rows that a model is fitted on: those whose doc_id has the smallest hashes.
 EXAMPLES = 10_000
-#: The most terms of a model: those most associated with a label.
-TERMS = 4096
 #: A term needs so much chi-square (one degree of freedom) and so many examples.
 CHI_SQUARE, SUPPORT = 30.0, 5
 #: The least share of a term's examples that have the label it goes with; long texts bring much that is only common.
@@ -35,6 +39,8 @@ BLOCK = 64
 #: The weight of the base rate beside the votes, which are at most 1 each.
 PRIOR_WEIGHT = 0.5
 FOLDS = 5
+#: Steps of the votes by which the curve is made.
+STEPS = 32
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -42,6 +48,7 @@ class Example(NamedTuple):
     doc_id: int
     toxic: int
     weights: dict[int, float]
+    text: int = 0  # hash of its text
 
 
 class Model(NamedTuple):
@@ -55,6 +62,9 @@ class Model(NamedTuple):
     base: float  # of all examples
     silent: float  # of examples without any term
     heads: frozenset = frozenset()  # the first letters of all terms
+    same: dict[int, list[int]] = {}  # examples by the hash of their text
+    votes: np.ndarray = np.array([0.0, 1.0])  # the calibrated chance of the label at these shares of votes
+    chances: np.ndarray = np.array([0.0, 1.0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,14 +96,19 @@ def weights_of(counts: Counter, idf: np.ndarray) -> dict[int, float]:
     return {t: x / norm for t, x in raw.items()} if norm else {}
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled rows outside of the held-out fold."""
+    """doc_id, text, toxic of at most `most` labelled doc_ids outside of the held-out fold, written once; of a repeated doc_id the least text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = least_hashed(known, most, "doc_id")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `most` small rows
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # at most `most` small rows
+    return stored(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "examples")
 
 
-def associated(examples: DataFrame, most: int = TERMS) -> tuple[list[str], int, int]:
+def associated(examples: DataFrame) -> tuple[list[str], int, int]:
     """The terms that go with a label, of examples with doc_id, text, toxic; examples, toxic examples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +135,7 @@ def associated(examples: DataFrame, most: int = TERMS) -> tuple[list[str], int,
     share = F.col("bad") / F.col("n")
     pure = F.when(share > bad / n, share).otherwise(1 - share) >= PURITY
     kept = found.where((F.col("term") != "") & (F.col("n") >= SUPPORT) & (F.col("n") < n) & pure).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()], n, bad
+    return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").select("term").collect()], n, bad  # of EXAMPLES texts at most
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -157,11 +172,29 @@ def indexed(examples: list[Example], terms: dict[str, int], idf: np.ndarray, bas
     maxima = np.zeros((len(terms), blocks))
     for t, (i, w) in enumerate(postings):
         np.maximum.at(maxima[t], i // block, w)
-    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), postings, starts, maxima, base, silent, heads_of(terms))
+    same: dict[int, list[int]] = {}
+    for i, e in enumerate(examples):
+        same.setdefault(e.text, []).append(i)
+    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), postings, starts, maxima, base, silent, heads_of(terms), same)
+
+
+def rising(bins: list[tuple[float, int, int]], base: float) -> tuple[np.ndarray, np.ndarray]:
+    """(share of votes, chance of the label) of bins (mean share, examples, toxic examples): the nearest rising curve, by joining
+    neighbours that fall. A bin counts one example more, of the base rate."""
+    joined: list[list[float]] = []  # weight, sum of labels, from, to
+    for x, n, bad in sorted(bins):
+        joined.append([n + 1, bad + base, x, x])
+        while len(joined) > 1 and joined[-2][1] / joined[-2][0] >= joined[-1][1] / joined[-1][0]:
+            w, s, _, to = joined.pop()
+            joined[-1][0] += w
+            joined[-1][1] += s
+            joined[-1][3] = to
+    points = [(x, s / w) for w, s, a, b in joined for x in ((a, b) if b > a else (a,))]
+    return np.array([x for x, _ in points]), np.array([y for _, y in points])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from labelled rows outside of the held-out fold; document frequencies from all of `docs`."""
+    """A model from labelled rows outside of the held-out fold; document frequencies from all of `docs`, which is read twice."""
     examples = labelled(docs, labels)
     found, n, bad = associated(examples)
     terms = {t: i for i, t in enumerate(found)}
@@ -171,18 +204,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [counts_of(x, terms) for x in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int64()), pa.array([list(c.keys()) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int64()), pa.array([list(c.keys()) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())), pa.array([text_hash(x) for x in texts_of(batch.column("text"))], pa.int64())], ["doc_id", "toxic", "terms", "counts", "hash"])
 
-    rows = examples.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic long, terms array<long>, counts array<long>").where(F.size("terms") > 0).orderBy("doc_id", "terms", "counts").collect() if terms else []
-    known = [Example(r["doc_id"], r["toxic"], weights_of(Counter(dict(zip(r["terms"], r["counts"], strict=True))), idf)) for r in rows]  # EXAMPLES at most
+    rows = examples.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic long, terms array<long>, counts array<long>, hash long").where(F.size("terms") > 0).orderBy("doc_id", "terms", "counts").collect() if terms else []
+    known = [Example(r["doc_id"], r["toxic"], weights_of(Counter(dict(zip(r["terms"], r["counts"], strict=True))), idf), r["hash"]) for r in rows]  # EXAMPLES at most
     base = bad / n if n else 0.0
     told = sum(e.toxic for e in known)
     silent = (bad - told + base) / (n - len(known) + 1) if n else 0.0
-    return indexed(known, terms, idf, base, silent)
-
-
-def nearest(model: Model, query: dict[int, float], k: int = NEIGHBOURS, block: int = BLOCK) -> list[tuple[int, float]]:
-    """(example, cosine) of the k nearest with a term in common, ties to the smaller doc_id."""
+    model = indexed(known, terms, idf, base, silent)
+    step = F.floor(F.col("score") * STEPS)
+    votes = scored(examples, model).where(F.size("evidence") > 0).groupBy(step).agg(F.avg("score").alias("x"), F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")) if known else None
+    bins = [(r["x"], r["n"], r["bad"]) for r in votes.collect()] if known else []  # a row a step
+    if not bins:
+        return model
+    shares, chances = rising(bins, base)
+    return model._replace(votes=shares, chances=chances)
+
+
+def nearest(model: Model, query: dict[int, float], k: int = NEIGHBOURS, block: int = BLOCK, out: frozenset = frozenset()) -> list[tuple[int, float]]:
+    """(example, cosine) of the k nearest with a term in common, but for those in `out`; ties to the smaller doc_id."""
     terms, weights = list(query), np.array(list(query.values()))
     bounds = weights @ model.maxima[terms]
     best: list[tuple[float, int]] = []
@@ -193,20 +233,21 @@ def nearest(model: Model, query: dict[int, float], k: int = NEIGHBOURS, block: i
         for t, w in zip(terms, weights, strict=True):
             s = slice(model.starts[t, b], model.starts[t, b + 1])
             scores[model.postings[t][0][s] - b * block] += w * model.postings[t][1][s]
-        met = np.flatnonzero(scores)
+        met = [i for i in np.flatnonzero(scores).tolist() if b * block + i not in out]
         best = sorted(best + [(-round(float(scores[i]), 12), int(b * block + i)) for i in met])[:k]
     return [(i, -s) for s, i in best]
 
 
-def score_of(model: Model, counts: Counter, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]]]:
-    """A text's score and its evidence: doc_id, cosine and label of its nearest examples."""
+def score_of(model: Model, counts: Counter, k: int = NEIGHBOURS, out: frozenset = frozenset()) -> tuple[float, list[tuple[int, float, int]]]:
+    """A text's score and its evidence: doc_id, cosine and label of its nearest examples, but for those in `out`."""
     query = weights_of(counts, model.idf)
-    found = nearest(model, query, k) if query else []
+    found = nearest(model, query, k, out=out) if query else []
     if not found:
         return model.silent, []
     votes = np.array([s * s for _, s in found])
     labels = model.toxic[[i for i, _ in found]]
-    score = (float(votes @ labels) + PRIOR_WEIGHT * model.base) / (float(votes.sum()) + PRIOR_WEIGHT)
+    share = (float(votes @ labels) + PRIOR_WEIGHT * model.base) / (float(votes.sum()) + PRIOR_WEIGHT)
+    score = float(np.interp(share, model.votes, model.chances))
     return min(1.0, max(0.0, score)), [(int(model.doc_ids[i]), s, int(model.toxic[i])) for i, s in found]
 
 
@@ -223,15 +264,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 rows = []
                 for text in texts_of(part.column("text")):
                     counts = counts_of(text, model.terms, model.heads)
-                    key = tuple(sorted(counts.items()))
+                    own = frozenset(model.same.get(text_hash(text), ()) if counts else ())
+                    key = (own, *sorted(counts.items()))
                     if key not in known:
-                        if len(known) > 20_000:
+                        if len(known) > 5_000:
                             known.clear()
-                        known[key] = score_of(model, counts)
+                        known[key] = score_of(model, counts, out=own)
                     rows.append(known[key])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s for s, _ in rows], pa.float64()), pa.array([int(s >= 0.5) for s, _ in rows], pa.int32()), pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in rows], evidence)], [*names, "score", "predicted", "evidence"])
 
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    return docs.mapInArrow(released(run), f"{kinds}, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
