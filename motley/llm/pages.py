@@ -2,9 +2,13 @@
 
 A page is a run of blocks, each with its path of block tags from the root. Per path, text length, punctuation and
 link text are summed over its blocks; their ratios to the number of blocks, fused and smoothed over neighbouring
-blocks, tell content paths from the rest, so a short paragraph stays with the long ones of its path. That a path stands
-in an article element is one more feature. With a content block stays what else its element's parent, or the article
-element around it, holds: headings, lists, short entries. Menus, forms, adverts, comments and the like are known by their tags, roles and class words and are no blocks at all.
+blocks, tell content paths from the rest, so a short paragraph stays with the long ones of its path. Two more features
+weigh on a path's score: that it stands in an article element, and that a class or id on it speaks of adverts, comments and
+the like. Paths whose score is a part of the best are content. With a content block stays what else its element's parent, or
+the article element around it, holds: headings, lists, short entries. Menus, asides, forms, footers and what is hidden, by
+their tags and roles, are no blocks at all.
+
+A page is read once from front to back, whatever its faults; paths are numbers in a tree of paths.
 """
 
 from __future__ import annotations
@@ -35,20 +39,22 @@ ROLES = frozenset("navigation banner contentinfo search complementary dialog ale
 
 #: Words of class and id attributes that mark what is no article. (fixed values)
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|side|rail|menu\w*|nav\w*|breadcrumb\w*|"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|menu\w*|nav\w*|breadcrumb\w*|"
     r"footer\w*|masthead|topbar|header|site-?header|page-?header|comment\w*|repl(?:y|ies)|disqus\w*|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|more-?stories|teaser\w*|newsletter\w*|subscri\w*|signup|"
-    r"login|popup\w*|modal\w*|overlay\w*|widget\w*|pagination|pager|toolbar|tags|tagcloud|skip\w*|copyright|legal|disclaimer\w*|outbrain|taboola)(?=$|[\s_-])",
+    r"login|popup\w*|modal\w*|overlay\w*|widget\w*|pagination|pager|toolbar|tagcloud|skip\w*|copyright|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: a > in quotes does not end it.
+REST = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…，。！？；：、]")
 
 #: Content paths have this part of the best path's smoothed score.
 THRESHOLD = 0.2
-#: Blocks in an article element have so many times their score.
-ARTICLE_WEIGHT = 4
+#: Blocks in an article element have so many times their score, those under a class word of NOISE so little of it.
+ARTICLE_WEIGHT, NOISE_WEIGHT = 4, 1 / 1000
 #: Tags of text within a content block's parent that stay with it.
 FLOW = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,59 +63,103 @@ LINK_PART = 0.6
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    path: int  # number of its path
     text: str
     links: int
     article: int  # number of the outermost article element it stands in; 0 if none
-    inside: tuple[int, ...]  # numbers of the path's elements
+    marked: bool  # whether a class word speaks of no article
+    element: int  # its innermost block element
 
 
 class Element(NamedTuple):
     name: str
-    label: str
     noise: bool
+    marked: bool
     article: int
-    number: int
+    block: int  # number of itself, or of the block element around an inline one
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    names: list[str]  # of block elements; the first is the root
+    parents: list[int]
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, what is marked as no article left out. Unclosed and stray tags do no harm."""
-    stack, out, held, links = [Element("", "", False, 0, 0)], [], [], [0]
-    articles, elements, at = 0, 0, 0
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Where each tag begins and ends, its name (empty for comments and declarations), whether it closes, and its attributes.
+
+    Tags before a place that is sent are passed over. Every part of the page is looked at a bounded number of times.
+    """
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            tag = (start, end, "", False, "")
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start) + 1
+            if not end:
+                return
+            tag = (start, end, "", False, "")
+        else:
+            name = NAME.match(page, start + 1)
+            if not name:
+                at = start + 1
+                continue
+            rest = REST.match(page, name.end()) if quotes else None
+            quotes = quotes and rest is not None  # an open quote reaches the end: from here on quotes mean nothing
+            end = rest.end() if rest else page.find(">", name.end()) + 1
+            if not end:
+                return
+            tag = (start, end, name[2].lower(), bool(name[1]), page[name.end() : end - 1])
+        skip = yield tag
+        at = max(end, skip or 0)
+
+
+def blocks(page: str) -> Page:
+    """The page's blocks in order, what its tags mark as no article left out. Unclosed and stray tags do no harm."""
+    stack, out, held, links, at = [Element("", False, False, 0, 0)], [], [], 0, 0
+    names, parents, paths, tree = [""], [-1], [0], {}
+    opened: dict[str, int] = defaultdict(int)  # elements of each name on the stack
+    articles = 0
 
     def flush() -> None:
+        nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            path = [e for e in stack[1:] if e.name not in INLINE]
-            out.append(Block(tuple(e.label for e in path), text, min(links[0], len(text)), stack[-1].article, tuple(e.number for e in path)))
+            top = stack[-1]
+            out.append(Block(paths[top.block], text, min(links, len(text)), top.article, top.marked, top.block))
         held.clear()
-        links[0] = 0
+        links = 0
 
     def pop(to: int) -> None:
         if any(e.name not in INLINE for e in stack[to:]):
             flush()
+        for e in stack[to:]:
+            opened[e.name] -= 1
         del stack[to:]
 
     def say(raw: str) -> None:
+        nonlocal links
         if raw and not stack[-1].noise:
-            text = entities.unescape(raw) if "&" in raw else raw
-            held.append(text)
+            held.append(entities.unescape(raw) if "&" in raw else raw)
             if any(e.name == "a" for e in stack[-4:]):
-                links[0] += len(text.strip())
+                links += len(held[-1].strip())
 
-    for tag in TOKEN.finditer(page):
-        if tag.start() < at:
+    tags, skip = tags_of(page), None
+    while True:
+        try:
+            start, end, name, closes, attributes = tags.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        say(page[at:start])
+        at = end
+        if not name:
             continue
-        say(page[at : tag.start()])
-        at = tag.end()
-        if not tag[2]:
-            continue
-        name = tag[2].lower()
-        if tag[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    pop(i)
-                    break
+        if closes:
+            if opened[name]:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         if name in VOID:
             if name == "hr":
@@ -118,12 +168,12 @@ def blocks(page: str) -> list[Block]:
                 held.append(" " if name != "wbr" else "")
             continue
         if name in RAW:
-            if not tag[3].endswith("/"):
+            if not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = skip = close.end() if close else len(page)
             continue
         ends = {"p"} if name in CLOSES_P else SAME_LEVEL.get(name, ())
-        if ends:
+        if any(opened[x] for x in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in ends:
                     pop(i)
@@ -132,59 +182,84 @@ def blocks(page: str) -> list[Block]:
                     break
         if name not in INLINE:
             flush()
-        said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag[3])} if tag[3] else {}
-        top = stack[-1]
-        main = name in MAIN or said.get("role", "").lower() == "main" or said.get("itemprop", "").lower() == "articlebody"
+        said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+        top, role = stack[-1], said.get("role", "").lower()
+        main = name in MAIN or role == "main" or said.get("itemprop", "").lower() == "articlebody"
         words = f"{said.get('class', '')} {said.get('id', '')}"
-        noise = top.noise or name in OUTSIDE or name == "header" and not top.article or said.get("role", "").lower() in ROLES or (name not in ("body", "html") and len(words) > 1 and bool(NOISE.search(words)) and not main) or bool(tag[3] and HIDDEN.search(tag[3]))
+        noise = top.noise or name in OUTSIDE or name == "header" and not top.article or role in ROLES or bool(attributes and HIDDEN.search(attributes))
+        marked = top.marked or name not in ("body", "html") and not main and len(words) > 1 and bool(NOISE.search(words))
         article = top.article
-        if main and not noise and (not article or name == "article" and stack[-1].name == "main"):
+        if main and not noise and (not article or name == "article" and top.name == "main"):
             articles += 1
             article = articles
-        if tag[3].endswith("/") and name not in INLINE and name not in CLOSES_P:
+        if attributes.endswith("/") and name not in INLINE and name not in CLOSES_P:
             continue
-        elements += 1
-        stack.append(Element(name, f"{name}.{said['class']}" if said.get("class") else name, noise, article, elements))
+        block = top.block
+        if name not in INLINE:
+            label = f"{name}.{said['class']}" if said.get("class") else name
+            names.append(name)
+            parents.append(block)
+            paths.append(tree.setdefault((paths[block], label), len(tree) + 1))
+            block = len(names) - 1
+        opened[name] += 1
+        stack.append(Element(name, noise, marked, article, block))
     say(page[at:])
     flush()
-    return out
+    return Page(out, names, parents)
 
 
-def chosen(found: list[Block]) -> list[bool]:
-    """Which blocks are content, by the ratios of their paths, and by what they stand with."""
+def scores(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """(score of each block's path, share of link text in it): length, punctuation and links a block of the path, weighed, and smoothed
+    over neighbouring blocks; a path has the best of its blocks' scores."""
     sums = defaultdict(lambda: np.zeros(4))
     for b in found:
         sums[b.path] += (1, len(b.text), len(PUNCTUATION.findall(b.text)), b.links)
     n, length, marks, links = np.array([sums[b.path] for b in found]).T
     linked = links / np.maximum(length, 1)
-    fused = length / n * (1 + marks / n) * (1 - linked) * np.where([b.article > 0 for b in found], ARTICLE_WEIGHT, 1)
+    weight = np.where([b.article > 0 for b in found], ARTICLE_WEIGHT, 1) * np.where([b.marked for b in found], NOISE_WEIGHT, 1)
+    fused = length / n * (1 + marks / n) * (1 - linked) * weight
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    weight = np.convolve(np.ones(len(fused)), kernel, "full")[2:-2]
-    smooth = np.convolve(fused, kernel, "full")[2:-2] / weight
-    score = np.sqrt(fused * smooth)
-    best = {}
+    smooth = np.convolve(fused, kernel, "full")[2:-2] / np.convolve(np.ones(len(fused)), kernel, "full")[2:-2]
+    score, best = np.sqrt(fused * smooth), {}
     for b, s in zip(found, score, strict=True):
         best[b.path] = max(best.get(b.path, 0.0), s)
-    content = [best[b.path] >= THRESHOLD * score.max() and x <= LINK_PART for b, x in zip(found, linked, strict=True)]
+    return np.array([best[b.path] for b in found]), linked
+
+
+def chosen(page: Page) -> list[bool]:
+    """Which blocks are content, by the ratios of their paths, and by what they stand with."""
+    found, names, parents = page.blocks, page.names, page.parents
+    score, linked = scores(found)
+    content = [s >= THRESHOLD * score.max() and x <= LINK_PART for s, x in zip(score, linked, strict=True)]
     articles = {b.article for b, x in zip(found, content, strict=True) if x and b.article}
-    parents = {b.inside[-2] for b, x in zip(found, content, strict=True) if x and len(b.inside) > 1 and b.path[-2].split(".")[0] not in ("body", "html")}
+    holders = {parents[b.element] for b, x in zip(found, content, strict=True) if x and b.element and names[parents[b.element]] not in ("", "body", "html")}
+    near: dict[int, bool] = {0: False}
 
-    def beside(b: Block) -> bool:
+    def beside(element: int) -> bool:
         """In the parent of a content block, with tags of text only between."""
-        for label, number in zip(reversed(b.path), reversed(b.inside), strict=True):
-            if number in parents:
-                return True
-            if label.split(".")[0] not in FLOW:
-                return False
-        return False
+        way = []
+        while element not in near:
+            if element in holders or names[element] not in FLOW:
+                near[element] = element in holders
+                break
+            way.append(element)
+            element = parents[element]
+        near.update(dict.fromkeys(way, near[element]))
+        return near[element]
+
+    def stays(b: Block, links: float) -> bool:
+        if b.marked:
+            return False
+        if b.article in articles:
+            return True
+        return beside(b.element) and (links <= LINK_PART or names[b.element] in HEADINGS)
 
-    heading = [bool(b.path) and b.path[-1].split(".")[0] in HEADINGS for b in found]
-    return [x or (b.article in articles or beside(b)) and (part <= LINK_PART or h) for b, x, part, h in zip(found, content, linked, heading, strict=True)]
+    return [x or stays(b, part) for b, x, part in zip(found, content, linked, strict=True)]
 
 
-def main_text(page: str) -> str:
-    found = blocks(page)
-    return " ".join(b.text for b, x in zip(found, chosen(found), strict=True) if x) if found else ""
+def main_text(html: str) -> str:
+    page = blocks(html)
+    return " ".join(b.text for b, x in zip(page.blocks, chosen(page), strict=True) if x) if page.blocks else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
