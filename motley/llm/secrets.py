@@ -1,14 +1,17 @@
 """Secret scans with Spark's own functions only.
 
 Patterns give the base spans. Two Markov models of neighbouring characters, of random strings and of ordinary words,
-are trained from labelled samples: values of base spans against words of the corpus. A further run of token characters
-is a secret if its log-likelihood ratio is high enough. All work on rows is in DataFrame functions; the driver holds the
-two tables of character pairs, whose size is that of the alphabet squared.
+are trained from labelled samples: values of base spans against words of the corpus. A further run of token characters, cut
+where a base span begins or ends, is a secret if its log-likelihood ratio is high enough. All work on rows is in DataFrame
+functions; the driver holds the two tables of character pairs, whose size is that of the alphabet squared.
+
+Lists of spans and redacted texts are put together in blocks, so that a long text with many secrets is not copied for each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: A base span, or as the third group a run of 16 token characters or more that begins where a run does or a base span ends.
+TOKEN = rf"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{{12,}})|{ACCESS}|{HEX}|(?:\G|(?<![A-Za-z0-9+/_=-]))(?=[A-Za-z0-9+/_=-]{{16}})((?:(?!(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{12}}|{ACCESS}|{HEX})[A-Za-z0-9+/_=-]){{16,}}+)"""
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{5,}+"
 
 #: Documents whose words, and distinct values that, train the models at most: those of the smallest hashes.
@@ -35,25 +39,43 @@ SMOOTHING, BACK_OFF = 0.5, 2.0
 #: The least ratio of a secret, in all and for each pair of characters, and the most that one pair can say (natural logarithm).
 LEAST_RATIO, LEAST_MEAN, MOST = 20.0, 1.0, 4.0
 
+#: Matches, and characters of a text, that are worked on together.
+BLOCK, TEXT_BLOCK = 256, 4096
+
 NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans (start, kind, end; in code points) of the leftmost non-overlapping matches; with `least`, of those whose second
-    group has so many characters."""
+def placed(text: Column, pattern: str, kind: int, group: int, fields: str, value: Callable[[Column], dict[str, Column]]) -> Column:
+    """An array of (start, kind, end, ... of `value`) of the leftmost non-overlapping matches for which value's "kept" is true, in code
+    points. `value` is given the match's `group`; `fields` are the types of what it adds."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, F.length)
-    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x) >= least) if least else F.transform(found, lambda x: F.lit(True))
-    each = F.arrays_zip(F.transform(parts, F.length).alias("gap"), sizes.alias("size"), kept.alias("kept"))  # one more gap than matches
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
+    each = F.arrays_zip(F.transform(parts, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("said"))  # one more gap than matches
+    none = F.array().cast(f"array<struct<start:int,kind:int,end:int{fields}>>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["kept"], F.lit(False)), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["size"], F.lit(0))
+        more = value(x["said"])
+        kept = more.pop("kept")
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[c.alias(n) for n, c in more.items()])
+        return F.struct(end.alias("at"), F.when(x["size"].isNotNull() & kept, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def moved(x: Column, by: Column) -> Column:
+        return F.transform(x, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), *[s[n].alias(n) for n in value(F.lit("")) if n != "kept"]))
+
+    def summed(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, BLOCK), begin, step))
 
-    return F.when(text.rlike(pattern), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NONE))
+    blocks = F.transform(F.array(each), summed)[0]  # the matches are found once, not for each block
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<start:int,kind:int,end:int{fields}>>>").alias("out"))
+    whole = F.aggregate(blocks, start, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], moved(x["out"], acc["at"])).alias("out")), lambda acc: F.flatten(acc["out"]))
+    return F.when(text.rlike(pattern), whole).otherwise(none)
+
+
+def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """Spans (start, kind, end) of the matches; with `least`, of those whose second group has so many characters."""
+    return placed(text, pattern, kind, 2 if least else 0, "", lambda x: {"kept": F.length(x) >= least})
 
 
 def base_spans(text: Column) -> Column:
@@ -112,16 +134,15 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(place, F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
-def markov_spans(text: Column, base: Column, table: list[float]) -> Column:
+def markov_spans(text: Column, table: list[float]) -> Column:
     """Spans of token characters that touch no base span and that the models take for random."""
-    found = spans(text, TOKEN, 3)
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    found = placed(text, TOKEN, 3, 3, ",token:string", lambda x: {"kept": F.length(x) >= 16, "token": x})
 
     def random(s: Column) -> Column:
-        total = ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), table)
+        total = ratio(s["token"], table)
         return (total >= LEAST_RATIO) & (total >= LEAST_MEAN * (s["end"] - s["start"] - 1))
 
-    return F.filter(free, random)
+    return F.transform(F.filter(found, random), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def with_secrets(docs: DataFrame) -> DataFrame:
@@ -133,7 +154,7 @@ def with_secrets(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return (
         docs.withColumn("_base", F.array_sort(base_spans(text)))
-        .withColumn("_spans", F.array_sort(F.concat("_base", markov_spans(text, F.col("_base"), table))))
+        .withColumn("_spans", F.array_sort(F.concat("_base", markov_spans(text, table))))
     )
 
 
@@ -153,11 +174,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with each secret in `text` replaced by `mark`; overlapping spans are one. Other rows and columns stay as they are."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def hidden(part: Column, i: Column) -> Column:
+        first = i * TEXT_BLOCK
+        near = F.filter("_spans", lambda s: (s["end"] > first) & (s["start"] < first + TEXT_BLOCK))
+        between = lambda a, b: F.substring(part, a - first + 1, F.greatest(b - a, F.lit(0)))
+
+        def step(acc: Column, s: Column) -> Column:
+            more = F.when(s["start"] >= acc["at"], F.concat(between(acc["at"], s["start"]), F.lit(mark))).otherwise("")
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], before).otherwise(F.lit(""))).alias("out"))
+        return F.aggregate(near, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], between(acc["at"], first + TEXT_BLOCK)))
 
-    whole = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    whole = F.concat_ws("", F.transform(parts, hidden))
     return with_secrets(docs).withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))).drop("_base", "_spans")
