@@ -41,7 +41,7 @@ PIECE = 1 << 20
 #: Phrases a task gathers before it merges equal ones and sends them on.
 GATHERED = 1 << 19
 #: The most phrases of one trigger that are put in order at once, and the bytes of several triggers' phrases.
-TOGETHER, TOGETHER_BYTES = 1 << 14, 2 << 20
+TOGETHER, TOGETHER_BYTES = 1 << 11, 2 << 20
 ROOT = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8
 
 PHRASES = "trigger long, phrase long, sid long, place long"
@@ -410,12 +410,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETH
     return found.where("kind = 0").unionByName(rest).groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def whole_characters(blob: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the bytes at its ends that belong to characters which it cuts."""
+    while start < end and blob[start] & 0xC0 == 0x80:
+        start += 1
+    if end < len(blob) and blob[end] & 0xC0 == 0x80:
+        while end > start and blob[end] & 0xC0 == 0x80:
+            end -= 1
+    return start, end
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER, whole: bool = False) -> DataFrame:
     """Every row of `docs` (doc_id, text, any others) with kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
     A byte goes if it lies in a string of `length` bytes that also starts earlier in the input: in a smaller doc_id, or
     earlier in the same document. Strings never cross documents. A null text is empty; of rows with one doc_id, the one
-    with the smaller text comes first; null doc_ids come last. Texts shorter than `length` stay whole.
+    with the smaller text comes first; null doc_ids come last. Texts shorter than `length` stay whole. With `whole`, what is left of a
+    character that a removed span cut goes from `kept` too (the counts do not tell), so it is text as before.
     """
     docs = numbered(docs)
     names = [c for c in docs.columns if c != "sid"]
@@ -432,8 +443,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGET
                     continue
                 first, last = own.field("first").to_numpy(), own.field("last").to_numpy()
                 (_, a), b = merge_spans(np.zeros(len(first), np.int64), first, last)
-                kept = b"".join(blob[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(blob)], strict=True))
-                rows.append((kept, len(blob), len(blob) - len(kept), len(a)))
+                left = list(zip([0, *b.tolist()], [*a.tolist(), len(blob)], strict=True))
+                removed = len(blob) - sum(y - x for x, y in left)
+                kept = b"".join(blob[x:y] for x, y in (map(lambda span: whole_characters(blob, *span), left) if whole else left))  # noqa: B023
+                rows.append((kept, len(blob), removed, len(a)))
             kept, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in counts)], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
