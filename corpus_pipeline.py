@@ -42,14 +42,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = suffix.numbered(_narrow(docs))
-    kept = simhash.similar_documents(rows, key="sid").where("sid = component_id").select("sid")
-    return _wide(rows.join(kept, "sid", "left_semi"), docs)
+    return _wide(rows.join(simhash.kept_documents(rows, key="sid"), "sid", "left_semi"), docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.without_repeats(_narrow(docs))
-    # a string may begin or end within a character; what is left of such a character goes too
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    cut = suffix.without_repeats(_narrow(docs), whole=True)
+    left = F.col("kept").cast("string")
     return _counted(_wide(cut.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))), docs))
 
 
