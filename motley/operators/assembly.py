@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -347,3 +351,47 @@ def entropy_score(df: DataFrame, keys: list[str], chance: str, label: str, eps:
     sums = df.groupBy(*keys).agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("_ce"), F.avg(y.cast("double")).alias("_y"))
     h = -(F.col("_y") * F.ln("_y") + (1 - F.col("_y")) * F.ln(1 - F.col("_y")))
     return sums.select(*keys, F.when((F.col("_y") > 0) & (F.col("_y") < 1), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - F.col("_ce")) / h))).alias("score"))
+
+
+def alignment(a: list[str], b: list[str], match: float = 2.0, mismatch: float = -1.0, first_gap: float = -2.0, next_gap: float = -0.1) -> list[tuple[int, int]]:
+    """Places of two sequences that a best global alignment puts side by side, gaps of n costing first_gap + (n - 1) next_gap. Of equal
+    ones, that which ends in a pair, then in a gap of the second."""
+    n, m = len(a), len(b)
+    worst = float("-inf")
+    score = np.full((3, n + 1, m + 1), worst)  # ends in a pair, in a gap of b, in a gap of a
+    score[0, 0, 0] = 0.0
+    score[1, 1:, 0] = first_gap + next_gap * np.arange(n)
+    score[2, 0, 1:] = first_gap + next_gap * np.arange(m)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            score[0, i, j] = score[:, i - 1, j - 1].max() + (match if a[i - 1] == b[j - 1] else mismatch)
+            score[1, i, j] = max(score[0, i - 1, j] + first_gap, score[2, i - 1, j] + first_gap, score[1, i - 1, j] + next_gap)
+            score[2, i, j] = max(score[0, i, j - 1] + first_gap, score[1, i, j - 1] + first_gap, score[2, i, j - 1] + next_gap)
+    i, j, out = n, m, []
+    kind = int(score[:, n, m].argmax())
+    while i or j:
+        now = score[kind, i, j]
+        if kind == 0:
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+            kind = int(score[:, i, j].argmax())
+        else:
+            i, j = (i - 1, j) if kind == 1 else (i, j - 1)
+            cost = [next_gap if k == kind else first_gap for k in range(3)]
+            kind = int(np.argmin([abs(score[k, i, j] + cost[k] - now) if score[k, i, j] > worst else np.inf for k in range(3)])) if i or j else 0
+    return out[::-1]
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """pair, mobile_place, reference_place of residues of the same name that the alignment of a pair's sequences puts side by side.
+
+    `pairs`: pair, mobile, reference (arrays of names). Pairs are rows: each is aligned where it is, its own two sequences in memory.
+    """
+    kind = pairs.schema["pair"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, i, j) for p, a, b in zip(batch["pair"], batch["mobile"], batch["reference"], strict=True) for i, j in alignment(list(a), list(b)) if a[i] == b[j]]
+            yield pd.DataFrame(rows, columns=["pair", "mobile_place", "reference_place"])
+
+    return pairs.where("mobile is not null and reference is not null").select("pair", "mobile", "reference").mapInPandas(run, f"pair {kind}, mobile_place int, reference_place int")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.operators.frames import evenly_spread
+from motley.operators.ordered import auc
 
 TURN = 2 * np.pi
 
@@ -218,6 +219,12 @@ def slow_coordinates(df: DataFrame, keys: list[str], order: str, values: str, la
     return mean, white @ vectors[:, top], values_[top]
 
 
+def transition_shares(pairs: DataFrame) -> DataFrame:
+    """a, b, n, p: counts of pairs (from, to), and their share of all with that start."""
+    counts = pairs.groupBy(F.col("from").alias("a"), F.col("to").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a")))  # a row per pair of states
+
+
 def transition_matrix(df: DataFrame, keys: list[str], order: str, state: str, lag: int, states: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Counts of state pairs `lag` rows apart, and the reversible transition matrix of most likelihood."""
     by = Window.partitionBy(*keys).orderBy(order)
@@ -252,50 +259,101 @@ def macrostates(transition: np.ndarray, k: int) -> np.ndarray:
     return np.argmin(((y[:, None, :] - y[corners][None]) ** 2).sum(axis=2), axis=1)
 
 
-def intrinsic_dimension(x: np.ndarray, share: float = 0.9) -> float:
+def intrinsic_dimension(covariance: np.ndarray, n: int, share: float = 0.9) -> float:
     """Principal components that hold `share` of the variance; NaN for under five rows or none."""
-    if len(x) < 5:
+    if n < 5:
         return float("nan")
-    v = np.sort(np.clip(np.linalg.eigvalsh(np.atleast_2d(np.cov(x.T))), 0, None))[::-1]
+    v = np.sort(np.clip(np.linalg.eigvalsh(np.atleast_2d(covariance)), 0, None))[::-1]
     return float(np.searchsorted(np.cumsum(v) / v.sum(), share - 1e-12) + 1) if v.sum() > 0 else float("nan")
 
 
-def separation(x: np.ndarray, y: np.ndarray, folds: int, fold: np.ndarray, steps: int = 200) -> float:
-    """2 * (AUC - 0.5), at least 0, of a cross-validated logistic regression (E15, M14); NaN if a class is too small."""
-    folds = min(folds, int(min(y.sum(), (1 - y).sum())))
-    if folds < 2:
-        return float("nan")
-    score, fold = np.zeros(len(y)), fold % folds
-    for f in range(folds):
-        train = fold != f
-        if not train.any() or train.all():
-            continue
-        mean, std = x[train].mean(0), x[train].std(0)
-        z = np.column_stack(((x - mean) / np.where(std > 0, std, 1), np.ones(len(x))))
-        w = np.zeros(z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z[train] @ w, -30, 30)))
-            w -= 0.5 * (z[train].T @ (p - y[train]) / train.sum() + 1e-3 * w)
-        score[~train] = z[~train] @ w
-    order = pd.Series(score).rank().to_numpy()
-    pos, neg = y.sum(), (1 - y).sum()
-    return float(np.clip(2 * ((order[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg) - 0.5), 0, 1))
+def site_dimensions(angles: DataFrame, share: float = 0.9) -> DataFrame:
+    """site, n, dimension over all rows of each site (A13): sums of products are made in Spark, a row per pair of components; what a
+    task gathers of a site is one matrix of the width of its angles."""
+    pair = F.expr("flatten(transform(sequence(0, size(angles) - 1), i -> transform(sequence(i, size(angles) - 1), j -> struct(i AS i, j AS j, angles[i] AS x, angles[j] AS y))))")
+    sums = angles.select("site", F.inline(pair)).groupBy("site", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("x", "y").alias("c"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = int(pdf["i"].max()) + 1
+        c = np.zeros((w, w))
+        c[pdf["i"], pdf["j"]] = c[pdf["j"], pdf["i"]] = pdf["c"].fillna(0.0)
+        n = int(pdf["n"].max())
+        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "n": [n], "dimension": [intrinsic_dimension(c, n, share)]})
+
+    return sums.groupBy("site").applyInPandas(work, f"site {angles.schema['site'].dataType.simpleString()}, n long, dimension double")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """mean, deviation and weights (the last one of the constant) of a logistic regression of scaled columns."""
+    mean, std = x.mean(0), x.std(0)
+    std = np.where(std > 0, std, 1.0)
+    z = np.column_stack(((x - mean) / std, np.ones(len(x))))
+    w = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w -= 0.5 * (z.T @ (p - y) / len(y) + 1e-3 * w)
+    return mean, std, w
 
 
 def state_sensitivity(angles: DataFrame, active: str, folds: int = 5, most: int = 5000, circular: bool = False) -> DataFrame:
-    """site, n, dimension, score (N1): how well each site's angles tell rows with `active` = 1 from the rest. Rows of a site
-    beyond `most` are spread evenly; folds follow the frame, so results do not vary. Best first; no score counts 0."""
-    rows = evenly_spread(angles.select("site", "frame_index", "angles", F.col(active).cast("int").alias("y")), "site", "frame_index", most)
+    """site, n, dimension, score (N1, E15, M14): how well each site's angles tell rows with `active` = 1 from the rest. Best first; no
+    score counts 0.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
+    score is 2 * (AUC - 0.5), at least 0, over all rows, each scored by the regression of the other folds; n and dimension are of all
+    rows too. Only the regressions, one a site and fold, are fitted on at most `most` evenly spread rows of a site. Folds follow the
+    frame, so results do not vary; a site with a class of under two rows has no score.
+    """
+    values = F.concat(F.transform("angles", F.cos), F.transform("angles", F.sin)) if circular else F.col("angles")
+    fold = F.pmod(F.crc32(F.col("frame_index").cast("string").cast("binary")), F.lit(folds)).cast("int")
+    rows = angles.select("site", "frame_index", values.alias("angles"), F.col(active).cast("int").alias("y"), fold.alias("fold"))
+    kind = angles.schema["site"].dataType.simpleString()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.array(pdf["angles"].tolist(), float), pdf["y"].to_numpy()
-        x = _embedded(x) if circular else x
-        fold = np.zeros(len(y), int)
-        for c in (0, 1):
-            fold[y == c] = np.arange((y == c).sum())
-        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "n": [len(y)], "dimension": [intrinsic_dimension(x)], "score": [separation(x, y, folds, fold)]})
+        out = []
+        for f in range(folds):
+            train = (pdf["fold"] != f).to_numpy()
+            if 0 < y[train].sum() < train.sum():
+                mean, std, w = logistic(x[train], y[train])
+                out.append((pdf["site"].iloc[0], f, mean.tolist(), std.tolist(), w.tolist()))
+        return pd.DataFrame(out, columns=["site", "fold", "mean", "std", "w"])
+
+    models = evenly_spread(rows, "site", "frame_index", most).groupBy("site").applyInPandas(fit, f"site {kind}, fold int, mean array<double>, std array<double>, w array<double>")
+    scaled = F.zip_with(F.zip_with("angles", "mean", lambda a, m: a - m), "std", lambda a, d: a / d)
+    score = F.aggregate(F.zip_with(scaled, F.slice("w", 1, F.size("w") - 1), lambda a, w: a * w), F.element_at("w", -1), lambda s, x: s + x)
+    scored = rows.join(F.broadcast(models), ["site", "fold"]).select("site", "y", score.alias("score"))  # models: a row per site and fold
+    told = auc(scored, ["site"], "score", "y").select("site", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * (F.col("auc") - 0.5))).alias("score"))
+    enough = rows.groupBy("site").agg((F.least(F.sum("y"), F.count(F.lit(1)) - F.sum("y")) >= 2).alias("enough"))
+    out = site_dimensions(rows).join(told, "site", "left").join(enough, "site").select("site", "n", "dimension", F.when(F.col("enough"), F.col("score")).alias("score"))
+    return out.orderBy(F.desc(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0))), "site")
+
+
+def silhouette(centres: np.ndarray, labels: np.ndarray) -> float:
+    """The mean silhouette of a few points; of a point alone in its cluster 0."""
+    d = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
+    names, out = np.unique(labels), []
+    for i, own in enumerate(labels):
+        inside = labels == own
+        if inside.sum() < 2:
+            out.append(0.0)
+            continue
+        a = d[i, inside].sum() / (inside.sum() - 1)
+        b = min(d[i, labels == c].mean() for c in names if c != own)
+        out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    return float(np.mean(out))
 
-    kind = angles.schema["site"].dataType.simpleString()
-    out = rows.groupBy("site").applyInPandas(work, f"site {kind}, n long, dimension double, score double")
-    return out.orderBy(F.desc(F.nanvl(F.col("score"), F.lit(0.0))), "site")
+
+def chosen_states(micro: DataFrame, values: str, least: int = 1, most: int = 4, seed: int = 0) -> tuple[int, dict[int, float]]:
+    """How many macro states the centres of micro states fall into, by silhouette (C11): (best number, score of each). One state scores 0.
+
+    `micro`: micro and an array column; means are made in Spark, a row per micro state.
+    """
+    long = micro.select("micro", F.posexplode(values).alias("dim", "x")).groupBy("micro", "dim").agg(F.avg("x").alias("x"))
+    rows = long.groupBy("micro").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("c")).orderBy("micro").select("c.x")
+    centres = np.array([r["x"] for r in rows.collect()], float)  # a row per micro state
+    found = micro.sparkSession.createDataFrame([(c.tolist(),) for c in centres], "c array<double>")
+    scores = {}
+    for k in range(least, min(most, len(centres)) + 1):
+        labels = np.array([r["micro"] for r in microstates(found, "c", k, seed).collect()]) if k > 1 else np.zeros(len(centres), int)
+        scores[k] = 0.0 if k == 1 else silhouette(centres, labels) if len(set(labels.tolist())) > 1 else float("-inf")
+    return max(scores, key=lambda k: (scores[k], -k)), scores

@@ -1,7 +1,8 @@
-"""Sampling from pairwise models: one task per chain, chains in a table.
+"""Sampling from pairwise models: chains are rows of a table, and move together, an Arrow batch at a time.
 
-A chain is sequential and small (a configuration, a model), so Spark spreads chains, not sweeps. Each chain's generator
-starts from its own seed, so a lost task gives the same samples again. Random streams differ from other programs'.
+A chain is sequential and small (a configuration), so Spark spreads chains, not sweeps; within a task all chains of a batch make the
+same step at once. Every random number is a hash of the chain's seed, the step and the site: a chain gives the same samples
+whatever batch or task it is in, and again after an executor is lost. Random streams differ from other programs'.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from motley.operators.models import Arrays
 from motley.operators.ordered import percentile_rank
 
 SAMPLES = "chain_index int, draw int, labels array<int>, energy double"
+#: Odd multipliers of the hash that random numbers are made of. (fixed values)
+MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
 def chains(spark: SparkSession, n: int, seed: int, betas: list[float] | None = None) -> DataFrame:
@@ -30,57 +33,78 @@ def split_draws(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
+def uniform(seeds: np.ndarray, *at: int) -> np.ndarray:
+    """A number in [0, 1) for each seed at a step: a hash, not a stream."""
+    x = np.asarray(seeds).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for n in (0, *at):
+            x = x * np.uint64(STEP) + np.uint64(n + 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(MIX_A)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(MIX_B)
+            x = x ^ x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
 class Sampler:
-    """Conditional energies of single sites, with each site's neighbours at hand."""
+    """Steps of many configurations (rows of labels) at once, with each site's neighbours at hand."""
 
     def __init__(self, model: Arrays):
-        self.h = model.h
+        self.h, self.pairs = model.h, model.j
         self.near: list[list[tuple[int, np.ndarray]]] = [[] for _ in model.h]
-        self.pairs = model.j
         for (r, s), v in model.j.items():
             self.near[r].append((s, v))
             self.near[s].append((r, v.T))
 
     def local(self, x: np.ndarray, i: int) -> np.ndarray:
-        out = self.h[i].copy()
+        """Energy of each label of site i, given the rest: rows x labels."""
+        out = np.tile(np.asarray(self.h[i], float), (len(x), 1))
         for other, v in self.near[i]:
-            out += v[:, x[other]]
+            out += v[:, x[:, other]].T
         return out
 
-    def energy(self, x: np.ndarray) -> float:
-        return float(sum(v[k] for v, k in zip(self.h, x, strict=True)) + sum(v[x[r], x[s]] for (r, s), v in self.pairs.items()))
-
-    def sweep(self, x: np.ndarray, beta: float, rng: np.random.Generator) -> None:
-        """A Gibbs sweep in random site order (G1)."""
-        for i in rng.permutation(len(x)):
-            w = -beta * self.local(x, i)
-            p = np.cumsum(np.exp(w - w.max()))
-            x[i] = min(int(np.searchsorted(p, rng.random() * p[-1], side="right")), len(p) - 1)
-
-    def metropolis(self, x: np.ndarray, beta: float, rng: np.random.Generator) -> None:
+    def energy(self, x: np.ndarray) -> np.ndarray:
+        x = np.atleast_2d(x)
+        out = sum((np.asarray(v)[x[:, i]] for i, v in enumerate(self.h)), np.zeros(len(x)))
+        return sum((v[x[:, r], x[:, s]] for (r, s), v in self.pairs.items()), out)
+
+    def sweep(self, x: np.ndarray, beta: np.ndarray, seeds: np.ndarray, t: int) -> None:
+        """A Gibbs sweep (G1): every site of every row once, from a site that moves on with t."""
+        n = x.shape[1]
+        for j in range(n):
+            i = (t + j) % n
+            w = -np.reshape(beta, (-1, 1)) * self.local(x, i)
+            p = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            x[:, i] = np.minimum((p <= (uniform(seeds, t, i) * p[:, -1])[:, None]).sum(axis=1), p.shape[1] - 1)
+
+    def metropolis(self, x: np.ndarray, beta: np.ndarray, seeds: np.ndarray, t: int) -> None:
         """A Metropolis sweep on labels (G7): another label for each site in turn."""
-        for i in rng.permutation(len(x)):
-            if len(self.h[i]) > 1:
-                new = (x[i] + 1 + rng.integers(len(self.h[i]) - 1)) % len(self.h[i])
+        rows, n = np.arange(len(x)), x.shape[1]
+        for j in range(n):
+            i = (t + j) % n
+            k = len(self.h[i])
+            if k > 1:
+                new = (x[:, i] + 1 + (uniform(seeds, t, i, 0) * (k - 1)).astype(int)) % k
                 e = self.local(x, i)
-                if rng.random() < np.exp(min(0.0, -beta * (e[new] - e[x[i]]))):
-                    x[i] = new
+                taken = uniform(seeds, t, i, 1) < np.exp(np.minimum(0.0, -np.asarray(beta) * (e[rows, new] - e[rows, x[:, i]])))
+                x[:, i] = np.where(taken, new, x[:, i])
 
-    def start(self, rng: np.random.Generator, fields_only: bool = False, beta: float = 1.0) -> np.ndarray:
-        """A uniform configuration, or one drawn from the fields alone."""
-        if not fields_only:
-            return np.array([rng.integers(len(v)) for v in self.h])
-        p = [np.exp(-beta * (v - v.min())) for v in self.h]
-        return np.array([rng.choice(len(v), p=v / v.sum()) for v in p])
+    def start(self, seeds: np.ndarray, fields_only: bool = False, beta: float = 1.0) -> np.ndarray:
+        """Uniform configurations, or ones drawn from the fields alone."""
+        columns = []
+        for i, v in enumerate(self.h):
+            p = np.cumsum(np.exp(-beta * (np.asarray(v) - np.min(v)))) if fields_only else np.arange(1.0, len(v) + 1)
+            columns.append(np.minimum((p[None, :] <= (uniform(seeds, 65_535, i) * p[-1])[:, None]).sum(axis=1), len(v) - 1))
+        return np.stack(columns, axis=1)
 
 
-def _per_chain(table: DataFrame, draw: Callable[[pd.Series], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
+def _moved(table: DataFrame, move: Callable[[pd.DataFrame], Iterator[dict]], schema: str) -> DataFrame:
+    """What `move` yields for batches of rows: columns of equal length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, chain in batch.iterrows():
-                yield pd.DataFrame(list(draw(chain)), columns=names)
+            if len(batch):
+                for out in move(batch):
+                    yield pd.DataFrame({k: list(v) if getattr(v, "ndim", 1) > 1 else v for k, v in out.items()})
 
     return table.mapInPandas(run, schema)
 
@@ -88,15 +112,15 @@ def _per_chain(table: DataFrame, draw: Callable[[pd.Series], Iterator[tuple]], s
 def gibbs(table: DataFrame, model: Arrays, n: int, burn_in: int = 50, thinning: int = 2) -> DataFrame:
     """chain_index, draw, labels, energy: n draws of each chain (G1)."""
 
-    def draw(chain: pd.Series) -> Iterator[tuple]:
-        sampler, rng = Sampler(model), np.random.default_rng(int(chain["seed"]))
-        x = sampler.start(rng)
+    def move(chains_: pd.DataFrame) -> Iterator[dict]:
+        sampler, seeds = Sampler(model), chains_["seed"].to_numpy()
+        x = sampler.start(seeds)
         for t in range(burn_in + n * thinning):
-            sampler.sweep(x, chain["beta"], rng)
+            sampler.sweep(x, chains_["beta"].to_numpy(), seeds, t)
             if t >= burn_in and (t - burn_in) % thinning == thinning - 1:
-                yield int(chain["chain_index"]), (t - burn_in) // thinning, x.tolist(), sampler.energy(x)
+                yield {"chain_index": chains_["chain_index"].to_numpy(), "draw": np.full(len(x), (t - burn_in) // thinning), "labels": x.copy(), "energy": sampler.energy(x)}
 
-    return _per_chain(table, draw, SAMPLES)
+    return _moved(table, move, SAMPLES)
 
 
 def replica_exchange(table: DataFrame, model: Arrays, betas: list[float], rounds: int, burn_in: int = 0, sweeps: int = 2) -> DataFrame:
@@ -105,24 +129,26 @@ def replica_exchange(table: DataFrame, model: Arrays, betas: list[float], rounds
     burn_in = min(burn_in, max(0, rounds - 1))
     schema = "chain_index int, draw int, replica int, beta double, labels array<int>, energy double, swaps long, trials long"
 
-    def draw(chain: pd.Series) -> Iterator[tuple]:
-        sampler, rng = Sampler(model), np.random.default_rng(int(chain["seed"]))
-        x, swaps, trials = [sampler.start(rng) for _ in betas], 0, 0
+    def move(chains_: pd.DataFrame) -> Iterator[dict]:
+        sampler, seeds, r, c = Sampler(model), chains_["seed"].to_numpy(), len(betas), len(chains_)
+        own = (seeds[:, None] * 1_000_003 + np.arange(r)[None, :]).ravel()  # a seed for each replica of each chain
+        beta, x = np.tile(betas, c), sampler.start(own)
+        swaps, trials = np.zeros(c, np.int64), np.zeros(c, np.int64)
         for t in range(rounds):
-            for replica, beta in zip(x, betas, strict=True):
-                for _ in range(sweeps):
-                    sampler.sweep(replica, beta, rng)
-            e = [sampler.energy(r) for r in x]
-            for i in range(t % 2, len(betas) - 1, 2):
+            for k in range(sweeps):
+                sampler.sweep(x, beta, own, t * sweeps + k)
+            e = sampler.energy(x).reshape(c, r)
+            rows = x.reshape(c, r, -1)
+            for i in range(t % 2, r - 1, 2):
                 trials += 1
-                if np.log(rng.random()) < (betas[i] - betas[i + 1]) * (e[i] - e[i + 1]):
-                    x[i], x[i + 1], e[i], e[i + 1] = x[i + 1], x[i], e[i + 1], e[i]
-                    swaps += 1
+                taken = np.log(np.maximum(uniform(seeds, t, i, 7), 1e-300)) < (betas[i] - betas[i + 1]) * (e[:, i] - e[:, i + 1])
+                swaps += taken
+                rows[taken, i], rows[taken, i + 1] = rows[taken, i + 1].copy(), rows[taken, i].copy()
+                e[taken, i], e[taken, i + 1] = e[taken, i + 1].copy(), e[taken, i].copy()
             if t >= burn_in:
-                for i, beta in enumerate(betas):
-                    yield int(chain["chain_index"]), t - burn_in, i, beta, x[i].tolist(), e[i], swaps, trials
+                yield {"chain_index": np.repeat(chains_["chain_index"].to_numpy(), r), "draw": np.full(c * r, t - burn_in), "replica": np.tile(np.arange(r), c), "beta": beta, "labels": x.copy(), "energy": e.ravel().copy(), "swaps": np.repeat(swaps, r), "trials": np.repeat(trials, r)}
 
-    return _per_chain(table, draw, schema)
+    return _moved(table, move, schema)
 
 
 def acceptance(samples: DataFrame) -> DataFrame:
@@ -138,9 +164,9 @@ def schedule(kind: str, low: float, high: float, n: int, custom: list[float] | N
     return np.geomspace(low, high, n) if kind == "geometric" else np.linspace(low, high, n)
 
 
-def projected(bit_slices: list[np.ndarray]) -> list[int]:
-    """The first greatest bit of each site's slice (repair by argmax)."""
-    return [int(np.argmax(x)) for x in bit_slices]
+def projected(bits: np.ndarray) -> np.ndarray:
+    """The first greatest bit of a site's slice, for each row (repair by argmax)."""
+    return np.atleast_2d(bits).argmax(axis=1)
 
 
 def annealed(table: DataFrame, model: Arrays, sweeps: int, low: float = 0.1, high: float = 5.0, kind: str = "geometric", penalty: float = 0.0, start: str = "uniform") -> DataFrame:
@@ -151,27 +177,27 @@ def annealed(table: DataFrame, model: Arrays, sweeps: int, low: float = 0.1, hig
     """
     betas = schedule(kind, low, high, sweeps)
 
-    def draw(chain: pd.Series) -> Iterator[tuple]:
-        sampler, rng = Sampler(model), np.random.default_rng(int(chain["seed"]))
-        x, valid = sampler.start(rng, start == "fields"), True
+    def move(chains_: pd.DataFrame) -> Iterator[dict]:
+        sampler, seeds = Sampler(model), chains_["seed"].to_numpy()
+        x, valid = sampler.start(seeds, start == "fields"), np.ones(len(chains_), bool)
         if not penalty:
-            for beta in betas:
-                sampler.metropolis(x, beta, rng)
+            for t, beta in enumerate(betas):
+                sampler.metropolis(x, beta, seeds, t)
         else:
-            b = [np.eye(len(v))[k] for v, k in zip(model.h, x, strict=True)]
-            for beta in betas:
+            bits = [np.eye(len(v))[x[:, i]] for i, v in enumerate(model.h)]
+            for t, beta in enumerate(betas):
                 for i, v in enumerate(model.h):
                     for k in range(len(v)):
-                        field = v[k] + sum(m[k] @ b[other] for other, m in sampler.near[i])
-                        others, step = b[i].sum() - b[i][k], 1 - 2 * b[i][k]
-                        change = step * field + penalty * ((others + b[i][k] + step - 1) ** 2 - (others + b[i][k] - 1) ** 2)
-                        if rng.random() < np.exp(min(0.0, -beta * change)):
-                            b[i][k] += step
-            valid = all(row.sum() == 1 for row in b)
-            x = np.array(projected(b))
-        yield int(chain["chain_index"]), 0, x.tolist(), sampler.energy(x), bool(valid)
+                        field = v[k] + sum((bits[other] @ m[k] for other, m in sampler.near[i]), np.zeros(len(x)))
+                        flip = 1 - 2 * bits[i][:, k]
+                        total = bits[i].sum(axis=1)
+                        change = flip * field + penalty * ((total + flip - 1) ** 2 - (total - 1) ** 2)
+                        bits[i][:, k] += flip * (uniform(seeds, t, i, k, 3) < np.exp(np.minimum(0.0, -beta * change)))
+            valid = np.all([b.sum(axis=1) == 1 for b in bits], axis=0)
+            x = np.stack([projected(b) for b in bits], axis=1)
+        yield {"chain_index": chains_["chain_index"].to_numpy(), "draw": np.zeros(len(x), int), "labels": x, "energy": sampler.energy(x), "valid": valid}
 
-    return _per_chain(table, draw, SAMPLES + ", valid boolean")
+    return _moved(table, move, SAMPLES + ", valid boolean")
 
 
 def restart_pool(samples: DataFrame, k: int) -> DataFrame:
@@ -182,15 +208,15 @@ def restart_pool(samples: DataFrame, k: int) -> DataFrame:
 def relaxed(frames: DataFrame, model: Arrays, sweeps: int, beta: float = 1.0, seed: int = 0) -> DataFrame:
     """frame_id, sweep, labels (N8): Gibbs sweeps from each start frame; sweep 0 is the frame itself."""
 
-    def draw(row: pd.Series) -> Iterator[tuple]:
-        sampler, rng = Sampler(model), np.random.default_rng([seed, int(row["frame_id"])])
-        x = np.array(row["labels"], int)
-        yield int(row["frame_id"]), 0, x.tolist()
+    def move(rows: pd.DataFrame) -> Iterator[dict]:
+        sampler, ids = Sampler(model), rows["frame_id"].to_numpy()
+        x, seeds = np.array(rows["labels"].tolist(), int), ids * 1_000_003 + seed
+        yield {"frame_id": ids, "sweep": np.zeros(len(x), int), "labels": x.copy()}
         for t in range(1, sweeps + 1):
-            sampler.sweep(x, beta, rng)
-            yield int(row["frame_id"]), t, x.tolist()
+            sampler.sweep(x, beta, seeds, t)
+            yield {"frame_id": ids, "sweep": np.full(len(x), t), "labels": x.copy()}
 
-    return _per_chain(frames.select("frame_id", "labels"), draw, "frame_id long, sweep int, labels array<int>")
+    return _moved(frames.select("frame_id", "labels"), move, "frame_id long, sweep int, labels array<int>")
 
 
 def flips(relaxation: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
@@ -201,4 +227,3 @@ def flips(relaxation: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
     first = long.groupBy("frame_id", "site").agg(F.coalesce(F.min(F.when(F.col("differs") == 1, F.col("sweep"))), F.lit(sweeps + 1)).alias("t"))
     means = first.groupBy("site").agg(F.avg("t").alias("mean_first_flip")).withColumn("_all", F.lit(0))
     return share, percentile_rank(means, ["_all"], "mean_first_flip", "site").drop("_all", "slow")
-

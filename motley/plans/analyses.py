@@ -210,14 +210,14 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n8_relaxation")
 def n8(spark: SparkSession, d: str) -> DataFrame:
-    starts = lineitem_frames(spark, d).dropDuplicates(["frame_id"]).orderBy(F.xxhash64("frame_id")).limit(20)  # a stated number of starts
+    starts = lineitem_frames(spark, d).dropDuplicates(["frame_id"])
     return G.flips(G.relaxed(starts, _small_model(spark, d), 10), 10)[1]
 
 
 @query("n9_completion")
 def n9(spark: SparkSession, d: str) -> DataFrame:
     frames, a, b = _sides(spark, d)
-    starts = frames.where(F.col("sample_id").isin(SIDES["a"])).dropDuplicates(["frame_id"]).orderBy(F.xxhash64("frame_id")).limit(20)
+    starts = frames.where(F.col("sample_id").isin(SIDES["a"])).dropDuplicates(["frame_id"])
     pull = M.blended(b, a, 1.0, -1.0, shared_only=True).h.withColumn("weight", F.lit(1.0))
     target = D.pooled(frames, SIDES, SIZES).where("side = 'b'").drop("side")
     return completion(starts, M.arrays(a), pull, [0.0, 1.0], 5, target, SIZES)
@@ -225,12 +225,12 @@ def n9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c3_frozen_clusters")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.linkage_labels(x, 3), 200)
+    return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.linkage_labels(x, 3))
 
 
 @query("c1_density_peaks")
 def c1(spark: SparkSession, d: str) -> DataFrame:
-    return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.density_peaks(x)[0], 200)
+    return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.density_peaks(x)[0])
 
 
 @query("n1_state_sensitivity")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motley.functions import columns as C
 from motley.functions.columns import rounded
 from motley.operators import assembly as A
+from motley.operators import clustering as Cl
 from motley.operators import distributions as D
 from motley.operators import frames as Fr
 from motley.operators import models as M
@@ -457,3 +458,24 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     labels = e.where("vec_id % 3 != 0").select(F.col("label").alias("state_id"), F.col("vec_id").alias("frame_index"), "site", (F.col("vec_id") % 4).cast("int").alias("label"))
     coordinates = e.where("vec_id % 5 != 0").select(F.col("label").alias("state_id"), F.col("vec_id").alias("frame_index"), "site", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("xyz"), *[F.array(*_points(n)).alias(f"{c}_points") for c, n in (("phi", 1), ("psi", 13), ("chi1", 25))])
     return A.backmapped(labels, coordinates).select("state_id", "frame_index", "site", "label", rounded(F.col("x"), 5).alias("x"), rounded(F.col("phi"), 5).alias("phi"), rounded(F.col("psi"), 5).alias("psi"))
+
+
+@query("a13_dimension_variance", ANGLES + " SELECT site, max(n) AS n, round(sum(v), 4) AS variance FROM (SELECT site, dim, count(*) AS n, var_samp(x) AS v FROM angle GROUP BY ALL) GROUP BY site")
+def a13v(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and total variance of each site, the sum of the eigenvalues that the dimension is counted from."""
+    long = embedding_angles(spark, d).select("site", "frame_index", F.posexplode("angles").alias("dim", "x"))
+    return long.groupBy("site", "dim").agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("v")).groupBy("site").agg(F.max("n").alias("n"), rounded(F.sum("v"), 4).alias("variance"))
+
+
+@query("a13_dimensions")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    return Cl.site_dimensions(embedding_angles(spark, d))
+
+
+@query("j7_aligned_residues")
+def j7(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents' first words as residue names, aligned: places of the one beside places of the other."""
+    names = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 30)
+    docs = table(spark, d, "documents").select("doc_id", F.transform(names, lambda w: F.upper(F.substring(w, 1, 1))).alias("residues"))
+    pairs = docs.select(F.col("doc_id").alias("pair"), F.col("residues").alias("mobile")).join(docs.select((F.col("doc_id") - 1).alias("pair"), F.col("residues").alias("reference")), "pair")
+    return A.aligned(pairs)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +103,25 @@ def only_sources(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     if missing := sorted(set(wanted) - have):
         raise ValueError(f"no such sources: {missing}")
     return df.where(F.col(column).isin(wanted))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that driver and executors share, under spark.checkpoint.dir; where that is unset, on one machine, one of our own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="motley-")
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/motley-{uuid.uuid4().hex}/{name}"
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """Rows as JSON records, some files."""
+    df.write.mode("append").json(path)
+
+
+def replaced(spark: SparkSession, path: str, version: str, change: Callable[[DataFrame], DataFrame], new_version: str) -> DataFrame:
+    """A stored version read, changed and written as a new one; the old one stays as it is."""
+    return spark.read.parquet(write_table(change(spark.read.parquet(f"{path}/version={version}")), path, version=new_version))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import motley.plans.queries  # noqa: F401
 from motley.functions import columns as C
+from motley.operators import assembly as Asm
 from motley.operators import clustering as Cl
 from motley.operators import distributions as D
 from motley.operators import features as Fe
@@ -38,7 +39,7 @@ def test_gauge_keeps_energy_differences(spark):
     zero = M.arrays(M.zero_sum(M.tables(spark, model)))
     assert all(abs(v.sum()) < 1e-9 for v in zero.h)
     assert all(np.abs(v.sum(axis=0)).max() < 1e-9 and np.abs(v.sum(axis=1)).max() < 1e-9 for v in zero.j.values())
-    gaps = [G.Sampler(model).energy(np.array(x)) - G.Sampler(zero).energy(np.array(x)) for x in M.exact_chances(model)]
+    gaps = [float((G.Sampler(model).energy(np.array(x)) - G.Sampler(zero).energy(np.array(x)))[0]) for x in M.exact_chances(model)]
     assert max(gaps) - min(gaps) < 1e-9
     mine = Fi.centred(model)
     assert all(np.allclose(a, b) for a, b in zip(mine.h, zero.h, strict=True)) and all(np.allclose(mine.j[e], zero.j[e]) for e in zero.j)
@@ -65,9 +66,9 @@ def test_samplers_follow_the_exact_chances(spark):
 
 def test_annealing_finds_the_least_energy(spark):
     model = small_model((2, 2, 2))
-    least = min(G.Sampler(model).energy(np.array(x)) for x in M.exact_chances(model))
+    least = min(float(G.Sampler(model).energy(np.array(x))[0]) for x in M.exact_chances(model))
     assert abs(G.restart_pool(G.annealed(G.chains(spark, 6, 3), model, 150), 1).first()["energy"] - least) < 1e-9
-    assert G.projected([np.array([0, 1]), np.array([0, 1, 1])]) == [1, 1]
+    assert G.projected(np.array([[0, 1, 1], [0, 0, 0], [0, 0, 1]])).tolist() == [1, 0, 2]
     assert len(G.schedule("geometric", 0.1, 5.0, 4)) == 4 and list(G.schedule("custom", 0, 0, 0, [1.0, 2.0])) == [1.0, 2.0]
 
 
@@ -94,31 +95,37 @@ def test_gradient_and_recovery(spark):
 
 
 def test_samples_without_valid_frames_are_skipped(spark):
-    rows = [("md1", 0, [0, 0]), ("md1", 1, [1, 1]), ("sa1", 0, [0, 0]), ("sa1", 1, [1, 1]), ("sa1", 2, [0, 1])]
+    rows = [("run", i, [i % 3, (i + 1) % 2]) for i in range(6)] + [("void", i, [2, i % 2]) for i in range(4)] + [("part", 0, [0, 1]), ("part", 1, [1, 1]), ("part", 2, [2, 0])]
     frames = spark.createDataFrame(rows, "sample_id string, frame_id long, labels array<int>")
-    bad = spark.createDataFrame([("sa1", i) for i in range(3)], "sample_id string, frame_id long")
-    distances, skipped = A.compared_samples(frames, bad, [2, 2], [(0, 1)], ["md1"], ["sa1"])
-    assert distances.count() == 0
-    assert [tuple(r) for r in skipped.collect()] == [("sa1", "all_frames_invalid", 3, 0, 3)]
-
-
-def test_lambda_sweep_shapes(spark):
-    data = {"ref-a": [[0, 0], [0, 1], [0, 0]], "ref-b": [[1, 1], [1, 0], [1, 1]], "cmp-md": [[0, 1], [1, 1], [0, 1]], "cmp-potts": [[1, 0], [1, 0], [0, 0]], "l0": [[1, 1], [1, 0], [1, 1]], "l1": [[0, 0], [0, 1], [0, 0]]}
-    frames = spark.createDataFrame([(s, i, x) for s, v in data.items() for i, x in enumerate(v)], "sample_id string, frame_id long, labels array<int>")
-    lambdas = spark.createDataFrame([("l0", 0.0), ("l1", 1.0)], "sample_id string, lambda double")
-    refs = ["ref-a", "ref-b", "cmp-md", "cmp-potts"]
-    out, best = A.lambda_sweep(D.marginals(frames, [2, 2]), D.joints(frames, [2, 2], [(0, 1)]), lambdas, refs)
-    got = {(r["reference"], r["sample_id"]): r["distance"] for r in out.collect()}
-    assert len(got) == 8 and abs(got["ref-a", "l1"]) < 1e-9 and abs(got["ref-b", "l0"]) < 1e-9
-    assert {r["reference"]: r["lambda"] for r in best.collect()}["ref-a"] == 1.0
+    bad = spark.createDataFrame([("void", i) for i in range(4)] + [("part", 2)], "sample_id string, frame_id long")
+    distances, skipped = A.compared_samples(frames, bad, [3, 2], [(0, 1)], ["run"], ["void", "part"])
+    got = distances.collect()
+    assert [(r["reference"], r["sample"]) for r in got] == [("run", "part")]
+    # site 0: thirds against halves of the first two labels; site 1: halves against the second label alone
+    js = lambda p, q: sum((x * math.log(2 * x / (x + y)) if x else 0) + (y * math.log(2 * y / (x + y)) if y else 0) for x, y in zip(p, q, strict=True)) / 2
+    assert abs(got[0]["node"] - (js([1 / 3] * 3, [0.5, 0.5, 0]) + js([0.5, 0.5], [0, 1])) / 2) < 1e-6
+    assert [tuple(r) for r in skipped.collect()] == [("void", "all_frames_invalid", 4, 0, 4)]
+
+
+def test_lambda_sweep_finds_its_own_samples(spark):
+    rng = np.random.default_rng(3)
+    chances = {"left": 0.1, "middle": 0.5, "right": 0.9}
+    rows = [(s, i, [int(rng.random() < p), int(rng.random() < p)]) for s, p in chances.items() for i in range(400)]
+    rows += [(f"at{x}", i, [int(rng.random() < x / 10), int(rng.random() < x / 10)]) for x in (1, 5, 9) for i in range(400)]
+    frames = spark.createDataFrame(rows, "sample_id string, frame_id long, labels array<int>")
+    lambdas = spark.createDataFrame([(f"at{x}", x / 10) for x in (1, 5, 9)], "sample_id string, lambda double")
+    parts = D.marginals(frames, [2, 2]), D.joints(frames, [2, 2], [(0, 1)])
+    out, best = A.lambda_sweep(*parts, lambdas, list(chances))
+    assert out.count() == 9 and out.where("distance < -1e-9").count() == 0
+    assert {r["reference"]: r["lambda"] for r in best.collect()} == {"left": 0.1, "middle": 0.5, "right": 0.9}
     with pytest.raises(ValueError):
-        A.lambda_sweep(D.marginals(frames, [2, 2]), D.joints(frames, [2, 2], [(0, 1)]), lambdas, refs[:2])
+        A.lambda_sweep(*parts, lambdas, ["left", "right"])
 
 
-def test_informative_columns_of_angles(spark):
-    rows = [(0, [0.1, -1.2, 3.05, 0.0, 0.0]), (0, [0.3, -1.0, 3.10, 0.0, 0.0]), (1, [0.0, float("nan")])]
+def test_informative_columns(spark):
+    rows = [(7, [0.0, 2.5, None, float("inf")]), (7, [0.0, 0.0, 1e-15, -4.0]), (8, [0.0, float("nan")]), (9, [float("nan"), float("nan")])]
     got = Fr.informative_columns(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v")
-    assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 3), (8, 0)]  # 8 has no other than zeros, 9 no number at all
 
 
 def test_policies(spark):
@@ -191,3 +198,90 @@ def test_whole_tables_take_part(spark):
     least = {v: min(sum(a != b for a, b in zip(v, r, strict=True)) for r in refs) for v in {f[2] for f in frames}}
     got = sorted((r["frame_id"], r["distance"]) for r in QUERIES["j11_nearest_hamming_all"](spark, d).collect())
     assert got == sorted((f[1], least[f[2]]) for f in frames if f[0] % 2 == 1)
+
+
+def test_sensitivity_ranks_sites(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        y = int(i % 3 == 0)
+        rows += [(0, i, [float(rng.normal(2.0 * y)), float(rng.normal())], y), (1, i, [float(rng.normal(0.5 * y)), float(rng.normal())], y), (2, i, [0.25, 0.25], y)]
+    df = spark.createDataFrame(rows, "site int, frame_index long, angles array<double>, y int")
+    got = {r["site"]: r for r in Cl.state_sensitivity(df, "y", most=150).collect()}
+    assert got[0]["score"] > 0.6 > got[1]["score"] > 0.1 and got[2]["score"] < 0.05 and all(r["n"] == 400 for r in got.values())
+    assert got[0]["dimension"] == 2 and got[2]["dimension"] is None  # no variance
+    assert all(r["score"] is None for r in Cl.state_sensitivity(df.withColumn("y", (F.col("frame_index") == 5).cast("int")), "y").collect())
+
+
+def test_number_of_states_by_silhouette(spark):
+    rng = np.random.default_rng(12)
+    rows = [(m, [float(x) for x in np.array([m // 4 * 5.0, m % 4 * 0.2]) + rng.normal(size=2) * 0.01]) for m in range(12) for _ in range(5)]
+    best, scores = Cl.chosen_states(spark.createDataFrame(rows, "micro int, v array<double>"), "v", 1, 5)
+    assert best == 3 and scores[1] == 0.0 and scores[3] > scores[2]
+
+
+def brute_alignment(a, b):
+    def score(i, j, kind):
+        if i == len(a) and j == len(b):
+            return 0.0
+        out = []
+        if i < len(a) and j < len(b):
+            out.append((2.0 if a[i] == b[j] else -1.0) + score(i + 1, j + 1, 0))
+        if i < len(a):
+            out.append((-0.1 if kind == 1 else -2.0) + score(i + 1, j, 1))
+        if j < len(b):
+            out.append((-0.1 if kind == 2 else -2.0) + score(i, j + 1, 2))
+        return max(out)
+
+    return score(0, 0, 0)
+
+
+def test_alignment():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        a, b = ([str(x) for x in rng.integers(0, 3, rng.integers(0, 6))] for _ in range(2))
+        pairs = Asm.alignment(a, b)
+        total, i, j, kind = 0.0, 0, 0, 0
+        for x, y in [*pairs, (len(a), len(b))]:
+            for gap, length in ((1, x - i), (2, y - j)):
+                total += (-2.0 - 0.1 * (length - 1)) if length else 0.0
+            total += 0 if x == len(a) else (2.0 if a[x] == b[y] else -1.0)
+            i, j = x + 1, y + 1
+        assert abs(total - brute_alignment(a, b)) < 1e-9, (a, b, pairs)
+
+
+def test_assembled_rows(spark):
+    rows = [("p", 1, [0, 2], None, 30), ("p", 2, [1, 0], None, 31), ("q", 1, [2, 2], "s9", 40)]
+    frames = spark.createDataFrame(rows, "sample_id string, frame_id long, labels array<int>, frame_state_id string, frame_index long")
+    meta = spark.createDataFrame([("p", "md_eval", "s1"), ("q", "md_eval", "s2"), ("r", "potts_sampling", "s3")], "sample_id string, type string, state_id string")
+    got = sorted(map(tuple, Asm.assembled(frames, meta, ["q", "p", "q"]).collect()))
+    assert got == [(0, "q", 1, [2, 2], "s9", 40), (1, "p", 1, [0, 2], "s1", 30), (1, "p", 2, [1, 0], "s1", 31)]
+    gap = frames.withColumn("frame_index", F.when(F.col("sample_id") == "p", F.col("frame_index")))
+    assert {r["frame_index"] for r in Asm.assembled(gap, meta, ["q", "p"]).collect()} == {None}
+    for wrong in (["x"], ["r"], []):
+        with pytest.raises(ValueError):
+            Asm.assembled(frames, meta, wrong)
+
+
+def test_states_are_matched_once(spark):
+    states = spark.createDataFrame([("s1", "open", False), ("s2", "open", True), ("closed", "shut", True)], "state_id string, name string, selected boolean")
+    old = spark.createDataFrame([("a", "open"), ("b", "closed"), ("c", "open")], "old_id string, label string")
+    assert sorted(map(tuple, Asm.matched_states(old, states).collect())) == [("a", "s2"), ("b", "closed"), ("c", "s1")]
+    odd = spark.createDataFrame([("a", "x"), ("b", "y")], "old_id string, label string")
+    assert sorted(map(tuple, Asm.matched_states(odd, states).collect())) == [("a", "closed"), ("b", "s2")]
+    with pytest.raises(ValueError):
+        Asm.matched_states(old.withColumn("label", F.concat("label", F.lit("!"))), states)
+
+
+def test_orders_dealt_by_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 3)) if i % 11 else None, float(rng.integers(0, 12)) if i % 7 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, k int, v double")
+    got = {r["id"]: (r["place"], r["place_all"]) for r in O.placed(df, ["k"], "v", ["id"]).collect()}
+    for k in (None, 0, 1, 2):
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2] is None, r[2] or 0.0, r[0]))
+        assert [got[r[0]] for r in own] == [(i, len(own)) for i in range(len(own))]
+    quart = {r["k"]: tuple(r)[1:] for r in O.quantiles(df.where("k is not null"), ["k"], "v").collect()}
+    for k in range(3):
+        own = [r[2] for r in rows if r[1] == k and r[2] is not None]
+        assert np.allclose(quart[k], np.quantile(own, [0.25, 0.5, 0.75]))
