@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.llm.common import partitions, stored, text_slices, texts_of
-from motley.llm.wordcache import word_encoder
+from motley.llm.common import partitions, released, stored, text_slices, texts_of
+from motley.llm.wordcache import CACHE_WORDS, word_encoder
 
 SEQUENCE = 2048
 END_ID = 0
@@ -43,11 +43,11 @@ def cut_lengths(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, most) for s in range(first, n, most))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, end_id: int = END_ID, words: int = CACHE_WORDS) -> DataFrame:
     """A row per piece of each document's ids (the tokenizer's, then the end id). A null or empty text is the end id alone."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = word_encoder(tokenizer, words), int(end_id).to_bytes(4, "little")
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = defaultdict(list)
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, end_id: int =
                             rows[k].append(v)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "piece": pa.array(rows["piece"], pa.int32()), **{k: pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32")}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(encode), PIECES)
 
 
 def group_sizes(counts: dict[int, int], groups: int) -> list[tuple[int, int]]:
@@ -222,6 +222,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE, large_part: float = LARGE_PART
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_slot", "rank")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, most: int = SEQUENCE) -> DataFrame:
-    """Every document of `docs` (doc_id, text) packed; other columns play no part. An empty table gives no rows."""
-    return pack(pieces(docs, tokenizer, most), most)
+def pack_documents(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, words: int = CACHE_WORDS) -> DataFrame:
+    """Every document of `docs` (doc_id, text) packed; other columns play no part. An empty table gives no rows. A worker keeps the ids
+    of `words` words in memory, twice."""
+    return pack(pieces(docs, tokenizer, most, words=words), most)

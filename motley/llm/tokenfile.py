@@ -2,8 +2,9 @@
 
 A dataset is a Parquet table written by Spark with a row per shard. A shard's ids stand as 16 bit-planes,
 most significant first; below each plane its zeros come before its ones, in order. Each plane has a count
-of ones before every block of 512 bits, so access, counting and occurrence lookup read a few bytes of each
-plane. A shard also has its documents' ids and lengths in order.
+of ones before every block of 512 bits, so access, counting and occurrence lookup look at a few bytes of each
+plane (of a shard that is in memory: a Parquet cell is read whole). A shard also has its documents' ids and lengths in order.
+`occurrences` counts and finds an id in all shards by rank and select; reading back whole documents goes plane by plane.
 """
 
 from __future__ import annotations
@@ -41,15 +42,12 @@ class WaveletMatrix:
         for k in range(PLANES - 1, -1, -1):
             ones = (now & np.uint16(1 << k)) != 0
             bits = np.packbits(ones)
-            lows, highs = np.flatnonzero(~ones), np.flatnonzero(ones)
+            low, high = now[~ones], now[ones]
             sums = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.uint32) if len(bits) else np.zeros(0, np.uint32)
             ranks.append(np.concatenate(([0], np.cumsum(sums)[:-1])).astype("<u4").tobytes() if len(sums) else b"")
             planes.append(bits.tobytes())
-            zeros.append(len(lows))
-            below = np.empty_like(now)
-            np.take(now, lows, out=below[: len(lows)], mode="clip")
-            np.take(now, highs, out=below[len(lows) :], mode="clip")
-            now = below
+            zeros.append(len(low))
+            now = np.concatenate((low, high))
         return cls(len(values), zeros, planes, ranks)
 
     def _bit(self, plane: int, i: int) -> int:
@@ -112,8 +110,8 @@ class WaveletMatrix:
             p = PLANES - 1 - k
             ones = np.unpackbits(self.planes[p], count=self.n).view(bool)
             above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[p]]
-            above[ones] = now[self.zeros[p] :] | np.uint16(1 << k)
+            above[np.flatnonzero(~ones)] = now[: self.zeros[p]]
+            above[np.flatnonzero(ones)] = now[self.zeros[p] :] | np.uint16(1 << k)
             now = above
         return now
 
@@ -185,6 +183,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return found.join(offsets, ["slot", "shard"]).select("doc_id", (F.col("base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def occurrences(spark: SparkSession, path: str, value: int, most: int = 100) -> DataFrame:
+    """slot, shard, n, places: how often an id stands in each shard (rank), and where it does first, `most` places at most (select)."""
+    files = spark.read.schema(SHARDS).parquet(path)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                m = WaveletMatrix(row["n_ids"], np.frombuffer(row["zeros"], "<i8").tolist(), row["planes"], row["ranks"])
+                n = m.count(value)
+                yield pa.RecordBatch.from_pydict({"slot": pa.array([row["slot"]], pa.int32()), "shard": pa.array([row["shard"]], pa.int32()), "n": pa.array([n], pa.int64()), "places": pa.array([[m.select(value, k) for k in range(min(n, most))]], pa.list_(pa.int64()))})
+
+    return files.mapInArrow(find, "slot int, shard int, n long, places array<long>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, name: str = "tokens") -> DataFrame:
     """Writes the ids under the shared folder and reads them back. An empty table gives no rows."""
     spark = docs.sparkSession

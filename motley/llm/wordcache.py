@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept by a worker in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Characters of text encoded in one go: few enough that its words stay in a core's cache.
 TURN_CHARS = 200_000
 #: Longer words are encoded but not kept.
@@ -89,10 +89,10 @@ def turns(texts: list[str], cut: Callable[[str], list[str]], chars: int) -> Iter
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS):
         self.library = Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.memory = WordMemory(self._learn, CACHE_WORDS)
+        self.memory = WordMemory(self._learn, words)
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token[0] in (SPACE, LINE_FEED)]] = True
@@ -124,7 +124,7 @@ class WordEncoder:
         return [x for turn in turns(texts, words_of, TURN_CHARS) for x in self.memory.joined(turn, end)]
 
 
-@functools.lru_cache(2)
-def word_encoder(path: str) -> WordEncoder:
+@functools.lru_cache(1)
+def word_encoder(path: str, words: int = CACHE_WORDS) -> WordEncoder:
     """One encoder a worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, words)

@@ -83,11 +83,38 @@ def test_top_k(spark):
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
     assert by_rows(topk.nearest(df)) == sorted(brute_top(whole), key=repr)
     vectors = topk.whole_numbers(df.select(F.col("vec_id").alias("id"), "embedding"), "embedding", 256.0)
-    small = topk.top_k(vectors, vectors.where("id % 50 = 0"), 5, shard=40, query_group=2)
-    assert by_rows(small) == sorted(brute_top(whole), key=repr)
+    for sample in (1, 3, 200):
+        small = topk.top_k(vectors, vectors.where("id % 50 = 0"), 5, shard=40, query_group=2, sample=sample)
+        assert by_rows(small) == sorted(brute_top(whole), key=repr)
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+def test_top_k_of_empty_and_repeated_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (50, []), (50, [0.5]), (1, [3.0, -1.0]), (1, [3.0, -1.0]), (2, []), (100, [-1.0, 0.25]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(256 * x) for x in v] + [0] * (2 - len(v))) for i, v in rows]
+    asked = {i: max(v for j, v in whole if j == i) for i in (0, 50, 100)}
+    want = []
+    for q, v in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i is not None and i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert by_rows(topk.nearest(df)) == sorted(want, key=repr)
+
+
+def test_blocks_of_clusters_are_left_out():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64)) * 200
+    vectors = np.floor(centres[rng.integers(0, 60, 8000)] + rng.normal(size=(8000, 64)) * 20).astype(np.int64)
+    ids = np.arange(8000)
+    index = topk.Shard(vectors, ids)
+    got = index.search(vectors[::50], ids[::50], 5)
+    scores = vectors[::50] @ vectors.T
+    want = []
+    for q, row in zip(ids[::50].tolist(), scores.tolist(), strict=True):
+        want += [(q, i, s) for s, i in sorted(((s, i) for i, s in enumerate(row) if i != q), key=lambda x: (-x[0], x[1]))[:5]]
+    assert got == want and index.scored < 0.2 * index.blocks
+
+
 # 2
 
 
@@ -477,6 +504,16 @@ def test_token_files(spark, docs):
     assert tokenfile.round_trip(docs.limit(0), BYTE_BPE).count() == 0
 
 
+def test_occurrences(spark, docs, tmp_path):
+    path = str(tmp_path / "tokens")
+    tokenfile.write_tokens(docs, BYTE_BPE, path, shard_ids=500)
+    library, order = Tokenizer.from_file(BYTE_BPE), sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    ids = [i for _, t in order for i in [*library.encode(t or "", add_special_tokens=False).ids, 0]]
+    for value in (0, 262, 50255):
+        found = tokenfile.occurrences(spark, path, value).orderBy("slot", "shard").collect()
+        assert sum(r["n"] for r in found) == ids.count(value) and all(len(r["places"]) == min(100, r["n"]) for r in found)
+
+
 def test_wavelet_matrix():
     values = np.random.default_rng(4).integers(0, 40, size=3000) * 1601
     m = tokenfile.WaveletMatrix.build(values)
