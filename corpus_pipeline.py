@@ -19,6 +19,8 @@ from motley.llm.common import stored, table, tokenizer_path
 
 
 REST = "__rest"
+#: Words that a worker keeps in the last stage, after others have used its memory.
+WORDS = 250_000
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), words=WORDS)
 
 
 STAGES = [
