@@ -20,6 +20,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Odd multipliers of the hashes made of other hashes. (fixed values)
+MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(MIX_A)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(MIX_B)
+        return x ^ x >> np.uint64(31)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

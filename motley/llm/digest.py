@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import in_order, text_slices, texts_of
-from motley.llm.simhash import mixed
+from motley.llm.common import in_order, mixed, text_slices, texts_of
 
 WINDOW = 32
 NEIGHBOURS = 32

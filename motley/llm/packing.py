@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.llm.common import partitions, released, stored, text_slices, texts_of
+from motley.llm.common import partitions, released, stored, text_slices
 from motley.llm.wordcache import CACHE_WORDS, word_encoder
 
 SEQUENCE = 2048
@@ -47,14 +47,15 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, end_id: int =
     """A row per piece of each document's ids (the tokenizer's, then the end id). A null or empty text is the end id alone."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer, words), int(end_id).to_bytes(4, "little")
+        encoder = word_encoder(tokenizer, words)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                rows = defaultdict(list)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts_of(part.column("text"))), strict=True):
-                    ids += end
-                    for i, (start, length) in enumerate(cut_lengths(len(ids) // 4, most)):
-                        for k, v in zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
+                ids, bounds = encoder.encode(part.column("text"), end_id)
+                held, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), defaultdict(list)
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for i, (start, length) in enumerate(cut_lengths(b - a, most)):
+                        at = 4 * (a + start)
+                        for k, v in zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc, i, start, length, zlib.crc32(held[at : at + 4 * length])), strict=True):
                             rows[k].append(v)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"], pa.int64()), "piece": pa.array(rows["piece"], pa.int32()), **{k: pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32")}})
 
@@ -160,12 +161,29 @@ def ranked(df: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
     return df.withColumn("_own", own).join(counts, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_bucket", "_own", "_before")
 
 
+def looked_up(pieces: DataFrame, places: list[tuple], names: str) -> DataFrame:
+    """pieces (length, rank, ...) with the columns `names` of the place whose ranks hold theirs. `places`: (length, first rank, end, ...), in
+    each length without overlap.
+
+    Ranks of a length are cut into as many buckets as it has places, so a piece meets few of them, however many pieces have its
+    length. Places are fewer than configurations have sizes, some 16,000; buckets at most double them.
+    """
+    spark, by_length = pieces.sparkSession, defaultdict(list)
+    for place in places:
+        by_length[place[0]].append(place)
+    widths = {length: -(-max(p[2] for p in own) // len(own)) for length, own in by_length.items()}
+    rows = [(p[0], b, *p[1:]) for p in places for b in range(p[1] // widths[p[0]], (p[2] - 1) // widths[p[0]] + 1)]
+    known = F.broadcast(spark.createDataFrame(list(widths.items()), "length long, _width long"))
+    table = F.broadcast(spark.createDataFrame(rows, f"length long, _bucket long, _a long, _b long, {names}"))
+    met = pieces.join(known, "length").withColumn("_bucket", F.expr("rank div _width")).join(table, ["length", "_bucket"])
+    return met.where("rank >= _a and rank < _b").drop("_bucket", "_width")
+
+
 def pack(pieces: DataFrame, most: int = SEQUENCE, large_part: float = LARGE_PART, groups: int = GROUPS) -> DataFrame:
     """pieces with sequence_id and offset: no sequence over `most`, offsets gapless from 0.
 
     `pieces` needs doc_id, piece and length (1 to most); repeated rows are pieces of their own.
     """
-    spark = pieces.sparkSession
     pieces = stored(pieces, "unranked")  # else the texts are encoded twice
     keyed = stored(ranked(pieces, "length", [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns], "rank"), "pieces")
     counts = {r["length"]: r["n"] for r in keyed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `most` rows
@@ -200,9 +218,8 @@ def pack(pieces: DataFrame, most: int = SEQUENCE, large_part: float = LARGE_PART
                 # of the ranks [at, upto): rank r lies in sequence seq + (r - base - a) // k
                 places.append((length, at - starts[length], upto - starts[length], seq, at - base - a, k, slot))
                 at = upto
-    table = spark.createDataFrame(places or [(0, 0, 0, 0, 0, 1, 0)], "length long, _a long, _b long, _seq long, _skip long, _each long, _slot int")
-    large = keyed.where((F.col("length") > cut) & (F.col("length") < most)).join(F.broadcast(table), "length")  # few rows a length
-    large = large.where("rank >= _a and rank < _b").withColumn("sequence_id", F.expr("_seq + (rank - _a + _skip) div _each")).drop("_a", "_b", "_seq", "_skip", "_each")
+    large = looked_up(keyed.where((F.col("length") > cut) & (F.col("length") < most)), places, "_seq long, _skip long, _each long, _slot int")
+    large = large.withColumn("sequence_id", F.expr("_seq + (rank - _a + _skip) div _each")).drop("_a", "_b", "_seq", "_skip", "_each")
     full = keyed.where(F.col("length") == most).withColumns({"sequence_id": F.col("rank"), "_slot": F.lit(0)})
 
     # What is really left in each sequence, then the small pieces.
@@ -210,8 +227,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE, large_part: float = LARGE_PART
     room = stored(ranked(room, "left", ["sequence_id"], "nth"), "room")
     residuals = {r["left"]: r["n"] for r in room.groupBy("left").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `most` rows
     found = small_places(residuals, smalls, most, sequence)
-    table = spark.createDataFrame([(ln, a, a + n, k, r, s) for ln, a, n, k, r, s in found] or [(0, 0, 0, 1, 0, 0)], "length long, _a long, _b long, _each long, left long, _first long")
-    small = keyed.where(F.col("length") <= cut).join(F.broadcast(table), "length").where("rank >= _a and rank < _b")
+    small = looked_up(keyed.where(F.col("length") <= cut), [(ln, a, a + n, k, r, s) for ln, a, n, k, r, s in found], "_each long, left long, _first long")
     small = small.withColumn("nth", F.expr("_first + (rank - _a) div _each")).drop("_a", "_b", "_each", "_first")
     new = small.where("left = 0").withColumn("sequence_id", F.col("nth"))
     old = small.where("left > 0").join(room, ["left", "nth"])

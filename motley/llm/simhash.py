@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import released, spread, stored, streamed, text_slices, texts_of
+from motley.llm.common import MIX_A, MIX_B, STEP, mixed, released, spread, stored, streamed, text_slices, texts_of
 from motley.llm.components import components
 
 SEED = 42
@@ -40,15 +40,6 @@ SLAB = 256
 SET_CHUNK = 1 << 19
 #: Standard deviations by which differing bits may exceed what is expected before a pair is discarded.
 MARGIN = 6
-#: Odd multipliers by which further 64-bit lanes follow from a shingle's hash. (fixed values)
-MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ x >> np.uint64(30)) * np.uint64(MIX_A)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(MIX_B)
-        return x ^ x >> np.uint64(31)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:

@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motley.llm.common import in_order, partitions, released, stored, text_slices
-from motley.llm.simhash import mixed
+from motley.llm.common import in_order, mixed, partitions, released, stored, text_slices
 
 LENGTH = 100
 TRIGGER = 32

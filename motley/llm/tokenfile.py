@@ -1,6 +1,7 @@
 """Token ids on disk: a wavelet matrix per shard.
 
-A dataset is a Parquet table written by Spark with a row per shard. A shard's ids stand as 16 bit-planes,
+A dataset is a Parquet table written by Spark with a row per shard. A shard's ids stand as bit-planes (16 for ids
+up to 65,535, as many as its greatest id needs beyond),
 most significant first; below each plane its zeros come before its ones, in order. Each plane has a count
 of ones before every block of 512 bits, so access, counting and occurrence lookup look at a few bytes of each
 plane (of a shard that is in memory: a Parquet cell is read whole). A shard also has its documents' ids and lengths in order.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motley.llm.common import in_order, shared_dir, text_slices, texts_of
+from motley.llm.common import in_order, released, shared_dir, text_slices
 from motley.llm.wordcache import word_encoder
 
 PLANES = 16
@@ -29,18 +30,20 @@ SHARDS = "slot int, shard int, n_ids long, doc_ids binary, missing binary, lengt
 
 
 class WaveletMatrix:
-    """Rank and select over a sequence of unsigned 16-bit values."""
+    """Rank and select over a sequence of unsigned values of up to 32 bits."""
 
     def __init__(self, n: int, zeros: list[int], planes: list[bytes], ranks: list[bytes]):
-        self.n, self.zeros = n, zeros
+        self.n, self.zeros, self.height = n, zeros, len(zeros)
         self.planes = [np.frombuffer(x, np.uint8) for x in planes]
         self.ranks = [np.frombuffer(x, "<u4") for x in ranks]
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
-        now, planes, zeros, ranks = np.ascontiguousarray(values, np.uint16), [], [], []
-        for k in range(PLANES - 1, -1, -1):
-            ones = (now & np.uint16(1 << k)) != 0
+        height = max(PLANES, int(values.max(initial=0)).bit_length())
+        kind = np.uint16 if height <= 16 else np.uint32
+        now, planes, zeros, ranks = np.ascontiguousarray(values, kind), [], [], []
+        for k in range(height - 1, -1, -1):
+            ones = (now & kind(1 << k)) != 0
             bits = np.packbits(ones)
             low, high = now[~ones], now[ones]
             sums = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.uint32) if len(bits) else np.zeros(0, np.uint32)
@@ -68,7 +71,7 @@ class WaveletMatrix:
 
     def access(self, i: int) -> int:
         value = 0
-        for p in range(PLANES):
+        for p in range(self.height):
             bit = self._bit(p, i)
             value, i = value << 1 | int(bit), self._place(p, i, bit)
         return value
@@ -76,8 +79,10 @@ class WaveletMatrix:
     def rank(self, value: int, i: int) -> int:
         """How often the value stands before i."""
         a = 0
-        for p in range(PLANES):
-            bit = value >> (PLANES - 1 - p) & 1
+        if value >> self.height:
+            return 0
+        for p in range(self.height):
+            bit = value >> (self.height - 1 - p) & 1
             a, i = self._place(p, a, bit), self._place(p, i, bit)
         return i - a
 
@@ -89,11 +94,11 @@ class WaveletMatrix:
         if not 0 <= k < self.count(value):
             return -1
         a = 0
-        for p in range(PLANES):
-            a = self._place(p, a, value >> (PLANES - 1 - p) & 1)
+        for p in range(self.height):
+            a = self._place(p, a, value >> (self.height - 1 - p) & 1)
         i = a + k
-        for p in range(PLANES - 1, -1, -1):
-            bit = value >> (PLANES - 1 - p) & 1
+        for p in range(self.height - 1, -1, -1):
+            bit = value >> (self.height - 1 - p) & 1
             want = i - self.zeros[p] if bit else i
             low, high = 0, self.n - 1
             while low < high:
@@ -105,13 +110,14 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        now = np.zeros(self.n, np.uint16)
-        for k in range(PLANES):
-            p = PLANES - 1 - k
+        kind = np.uint16 if self.height <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
+        for k in range(self.height):
+            p = self.height - 1 - k
             ones = np.unpackbits(self.planes[p], count=self.n).view(bool)
             above = np.empty_like(now)
             above[np.flatnonzero(~ones)] = now[: self.zeros[p]]
-            above[np.flatnonzero(ones)] = now[self.zeros[p] :] | np.uint16(1 << k)
+            above[np.flatnonzero(ones)] = now[self.zeros[p] :] | kind(1 << k)
             now = above
         return now
 
@@ -124,13 +130,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder = word_encoder(tokenizer)
         slot, number, held, docs, lengths = None, 0, [], [], []
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            if len(ids) and int(ids.max()) >= 1 << PLANES:
-                raise ValueError(f"an id of {PLANES} bits at most is needed: {ids.max()}")
+            ids = np.concatenate(held)
             m = WaveletMatrix.build(ids)
             missing = np.array([x is None for x in docs])
             row = {"slot": slot, "shard": number, "n_ids": m.n, "doc_ids": np.array([x or 0 for x in docs], "<i8").tobytes(), "missing": np.packbits(missing).tobytes(), "lengths": np.array(lengths, "<i8").tobytes(), "zeros": np.array(m.zeros, "<i8").tobytes(), "planes": [x.tobytes() for x in m.planes], "ranks": [x.tobytes() for x in m.ranks]}
@@ -139,20 +143,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
         n = 0
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for s, doc, ids in zip(part.column("slot").to_pylist(), part.column("doc_id").to_pylist(), encoder.encode(texts_of(part.column("text"))), strict=True):
+                found, bounds = encoder.encode(part.column("text"), end_id)
+                for s, doc, a, b in zip(part.column("slot").to_pylist(), part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if docs and (s != slot or n >= shard_ids):
                         yield shard()
                         number, n, held, docs, lengths = (number + 1 if s == slot else 0), 0, [], [], []
                     slot = s
-                    held.append(ids + end)
+                    held.append(found[a:b])
                     docs.append(doc)
-                    lengths.append(len(ids) // 4 + 1)
+                    lengths.append(b - a)
                     n += lengths[-1]
         if docs:
             yield shard()
 
     ordered = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
-    ordered.select("slot", "doc_id", "text").mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.select("slot", "doc_id", "text").mapInArrow(released(shards), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

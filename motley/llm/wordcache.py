@@ -4,46 +4,40 @@ A byte-level BPE splits a text before it merges, and always splits before a sing
 stands between two characters that are no white space. Texts are cut there and nowhere else, so the ids of the
 words, joined, are the ids of the text. For the same reason many new words are learnt as one text: each id that
 begins with a space or a line feed begins a word. Texts with the string of a special token go to the library whole.
+
+Words are known by a 64-bit hash of their bytes, worked out for all words of a piece at once, and looked up in order of their hashes.
+Two of the million words that a worker keeps have the same hash with a chance of about 10^-7.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words kept by a worker in each of two generations.
-CACHE_WORDS = 1_000_000
-#: Characters of text encoded in one go: few enough that its words stay in a core's cache.
-TURN_CHARS = 200_000
-#: Longer words are encoded but not kept.
+from motley.llm.common import mixed  # noqa: E402
+
+#: Words kept by a worker; with more it begins anew.
+CACHE_WORDS = 1_500_000
+#: Longer words (in characters) are encoded but not kept; so are words of more bytes.
 KEPT_CHARS = 64
-#: White space that some table knows, but for the space and the line feed. (fixed values)
-OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-SAFE_CUT = re.compile(r"(?<=[!-~¡-ᙿ])(?=[ \n][!-~¡-ᙿ])")
+KEPT_BYTES = KEPT_CHARS
+#: Bytes of text hashed in one go, so that what is made of them stays in a core's cache.
+PIECE = 1 << 19
 #: New words learnt as one text.
 LEARNT_TOGETHER = 2000
 #: What a space and a line feed are in the vocabulary. (fixed values)
 SPACE, LINE_FEED = "Ġ", "Ċ"
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut before single spaces and line feeds between two characters that are no white space."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or "\0" in text or any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE)):
-        return SAFE_CUT.split(text)
-    cut = text.replace(" ", "\0 ")
-    if "\n" in text and "\n\n" not in text and text[0] != "\n" != text[-1]:
-        cut = cut.replace("\n", "\0\n")
-    return cut.split("\0")
-
-
 def stands_apart(word: str) -> bool:
     """Whether its only white space is one space or line feed in front."""
     return word[:1] in (" ", "\n") and [word[1:]] == word.split()
@@ -88,14 +82,82 @@ def turns(texts: list[str], cut: Callable[[str], list[str]], chars: int) -> Iter
     yield out
 
 
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where words begin in texts data[bounds[i]:bounds[i + 1]]: at a text's begin, and before a single space or line feed between two
+    characters that are visible ASCII signs or two-byte characters from U+00A1 on."""
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    a, b, c, d = data[np.maximum(at - 2, 0)], data[at - 1], data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    before = (b > 0x20) & (b < 0x7F) | (b >= 0x80) & (b < 0xC0) & (a >= 0xC2) & (a < 0xE0) & ~((a == 0xC2) & (b <= 0xA0))
+    after = (c > 0x20) & (c < 0x7F) | (c >= 0xC3) & (c < 0xE0) | (c == 0xC2) & (d > 0xA0)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at[before & after]] = True
+    begins[bounds[1:-1] - 1] &= np.diff(bounds)[:-1] == 1  # a text's last byte begins no word unless it is the text
+    begins[bounds] = True
+    return np.flatnonzero(begins[:-1])
+
+
+class Grown:
+    """A numpy array that is added to at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.zeros(max(len(more), self.n), self.held.dtype)))
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Places:
+    """The number of each known hash: two sorted arrays, a large one and one of what came since."""
+
+    def __init__(self):
+        self.large = self.late = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of ascending hashes, -1 where unknown."""
+        out = np.full(len(hashes), -1)
+        for keys, numbers in (self.large, self.late):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, numbers[at], out)
+        return out
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        self.late = self._merged(self.late, (hashes, numbers))
+        if len(self.late[0]) > max(1 << 15, len(self.large[0]) // 8):
+            self.large, self.late = self._merged(self.large, self.late), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = (np.concatenate(x) for x in zip(a, b, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
+
+
+#: A random number for each byte value, and powers of an odd number for its place in a word.
+VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.full(KEPT_BYTES, 0x9E3779B97F4A7C15, np.uint64))
+
+
 class WordEncoder:
     def __init__(self, path: str, words: int = CACHE_WORDS):
-        self.library = Tokenizer.from_file(path)
+        self.library, self.words = Tokenizer.from_file(path), words
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.memory = WordMemory(self._learn, words)
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token[0] in (SPACE, LINE_FEED)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.start, self.length, self.ids = Places(), Grown(np.int64), Grown(np.int64), Grown(np.uint32)
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -114,14 +176,82 @@ class WordEncoder:
         known.update(zip(rest, self._alone(rest), strict=True))
         return [known[x] for x in words]
 
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Each text's ids and the end, as little-endian unsigned 32-bit integers."""
-        whole = [i for i, x in enumerate(texts) if any(s in x for s in self.special)]  # the library cuts these out before words are cut
-        if whole:
-            known = dict(zip(whole, self._alone([texts[i] for i in whole]), strict=True))
-            rest = iter(self.encode([x for i, x in enumerate(texts) if i not in known], end))
-            return [known[i] + end if i in known else next(rest) for i in range(len(texts))]
-        return [x for turn in turns(texts, words_of, TURN_CHARS) for x in self.memory.joined(turn, end)]
+    def _kept(self, words: list[str]) -> np.ndarray:
+        """The words learnt and stored: their numbers."""
+        found = self._learn(words)
+        length = np.array([len(x) // 4 for x in found], np.int64)
+        first = self.start.n
+        self.start.add(self.ids.n + np.cumsum(length) - length)
+        self.length.add(length)
+        self.ids.add(np.frombuffer(b"".join(found), "<u4"))
+        return np.arange(first, self.start.n)
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word of a piece, from data[starts] to data[ends]; the words follow each other."""
+        size = ends - starts
+        short = size <= KEPT_BYTES
+        out = np.empty(len(starts), np.int64)
+        text = data[starts[0] : ends[-1]]
+        within = np.arange(len(text)) - np.repeat(starts - starts[0], size)
+        with np.errstate(over="ignore"):
+            hashes = mixed(np.add.reduceat(VALUES[text] * POWERS[np.minimum(within, KEPT_BYTES - 1)], starts - starts[0]) + size.astype(np.uint64))
+        known, first, which = np.unique(hashes[short], return_index=True, return_inverse=True)
+        numbers = self.places.get(known)
+        new = np.flatnonzero(numbers < 0)
+        said = lambda at: [bytes(data[a:b]).decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if len(new):
+            numbers[new] = self._kept(said(np.flatnonzero(short)[first[new]]))
+            self.places.add(known[new], numbers[new])
+        out[short] = numbers[which]
+        if not short.all():
+            out[~short] = self._kept(said(np.flatnonzero(~short)))  # without a place: not found again
+        return out
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, and their number), each text's end id last if there is one. Nulls are empty texts."""
+        if self.start.n > self.words or self.ids.n > 8 * self.words:
+            self._forget()
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        n, ends = len(column), 0 if end_id is None else 1
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        bounds = offsets - offsets[0]
+        counts, numbers, owner = np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        whole: dict[int, np.ndarray] = {}
+        if len(data):
+            special = np.zeros(n, bool)
+            for x in self.special:
+                special |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+            starts = word_starts(data, bounds)
+            stops = np.append(starts[1:], len(data))
+            owner = np.searchsorted(bounds, starts, side="right") - 1
+            if special.any():
+                whole = {int(i): np.frombuffer(x, "<u4") for i, x in zip(np.flatnonzero(special), self._alone([column[int(i)].as_py() for i in np.flatnonzero(special)]), strict=True)}
+            cuts = np.searchsorted(starts, np.arange(PIECE, len(data), PIECE))
+            groups = np.unique(np.concatenate(([0], cuts, [len(starts)])))
+            numbers = np.concatenate([self._numbers(data, starts[a:b], stops[a:b]) for a, b in zip(groups[:-1], groups[1:], strict=True)])
+            if whole:
+                kept = ~special[owner]
+                numbers, owner = numbers[kept], owner[kept]
+        size = self.length.values[numbers]
+        np.add.at(counts, owner, size)
+        for i, x in whole.items():
+            counts[i] = len(x)
+        ids_bounds = np.concatenate(([0], np.cumsum(counts + ends)))
+        out = np.empty(int(ids_bounds[-1]), np.uint32)
+        # each word's ids stand after those of the words before it in its text
+        before = np.cumsum(size) - size
+        first = np.full(n + 1, 0)
+        texts, index = np.unique(owner, return_index=True)
+        first[texts] = before[index]
+        to = ids_bounds[owner] + before - first[owner]
+        step = np.arange(int(size.sum())) - np.repeat(before, size)
+        out[step + np.repeat(to, size)] = self.ids.values[step + np.repeat(self.start.values[numbers], size)]
+        for i, x in whole.items():
+            out[ids_bounds[i] : ids_bounds[i] + len(x)] = x
+        if ends:
+            out[ids_bounds[1:] - 1] = end_id
+        return out, ids_bounds
 
 
 @functools.lru_cache(1)

@@ -9,12 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motley.llm import components, digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity
+from motley.llm import components, digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity, wordcache
 from motley.llm.common import least_hashed, tokenizer_path
 from motley.llm.wordcache import WordEncoder
 
@@ -150,8 +152,6 @@ def test_pages_with_several_or_small_articles():
 
 
 def test_pages_without_tags_of_articles():
-    import pyarrow.parquet as pq
-
     found = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
     bare = lambda x: re.sub(r"(</?)(article|main)\b", r"\1div", x or "")
     assert all(pages.main_text(x or "") == pages.main_text(bare(x)) for x in found) and any("<article" in (x or "") for x in found)
@@ -216,11 +216,44 @@ def test_digests(spark, docs):
     assert len(digest.edits(docs).collect()) == len(TEXTS) and digest.edits(docs.limit(0)).count() == 0
 
 
+def brute_chain(blob, ranks):
+    """The filters of one text by the definition: sets of bits."""
+    mask, chain = (1 << 64) - 1, []
+
+    def mixed(x):
+        x = (x ^ x >> 30) * simhash.MIX_A & mask
+        x = (x ^ x >> 27) * simhash.MIX_B & mask
+        return x ^ x >> 31
+
+    for n, at in enumerate(brute_features(blob, ranks)):
+        h = 0
+        for i in range(digest.WINDOW // 8):
+            h = mixed((h * 31 + int.from_bytes(blob[at + 8 * i : at + 8 * i + 8], "little") + i + 1) & mask)
+        if n % digest.FILTER_FEATURES == 0:
+            chain.append(set())
+        chain[-1] |= {(h >> 11 * k) % digest.FILTER_BITS for k in range(digest.HASHES)}
+    return chain
+
+
 def test_features_by_definition(monkeypatch):
     ranks = digest.rarity({})
-    blob = words(120, 3).encode()
-    hashes = digest.features([blob], ranks)[1]
-    assert len(hashes) == len(brute_features(blob, ranks)) > 5
+    texts = [words(120, 3), words(60, 3) + " " + words(60, 8), words(900, 4)]
+    chains = [brute_chain(t.encode(), ranks) for t in texts]
+    got = digest.digests(texts, ranks)
+    assert [[set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in c] for c in got] == chains and len(chains[2]) > 1
+    for i in range(3):
+        for j in range(3):
+            a, b = sorted((chains[i], chains[j]), key=len)
+            if len(a) == len(b) and got[i].tobytes() > got[j].tobytes():
+                a, b = chains[j], chains[i]
+            total = 0.0
+            for own in a:
+                best = 0.0
+                for other in b:
+                    chance, most = len(own) * len(other) / digest.FILTER_BITS, min(len(own), len(other))
+                    best = max(best, min(1.0, max(0.0, (len(own & other) - chance) / (most - chance))))
+                total += len(own) * best
+            assert abs(digest.likeness(got[i], got[j]) - total / sum(map(len, a))) < 1e-12
     whole = digest.digests([words(3000, 9)], ranks)[0].tobytes()
     monkeypatch.setattr(digest, "STRIDE", 700)
     assert digest.digests([words(3000, 9)], ranks)[0].tobytes() == whole
@@ -325,7 +358,13 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), BYTE_BPE).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[1] * 500, [60] * 50 + [40] * 50, [51] * 20 + [10] * 30, list(range(1, 101)) * 3, [100] * 7, [34, 33, 33] * 40])
+def test_packing_a_corpus_wastes_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, BYTE_BPE).collect()
+    assert check_packing(rows, 2048) <= -(-sum(r["length"] for r in rows) // 2048) * 1.01 + 1
+
+
+@pytest.mark.parametrize("lengths", [[1] * 500, [60] * 50 + [40] * 50, [51] * 20 + [10] * 30, list(range(1, 101)) * 3, [100] * 7, [34, 33, 33] * 40, [*range(20, 100)] * 2 + [25] * 400])
 def test_few_sequences(spark, lengths):
     df = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
     rows = packing.pack(df, 100, 0.1).collect()
@@ -334,6 +373,17 @@ def test_few_sequences(spark, lengths):
     assert check_packing(rows, 100) <= max(over, -(-sum(lengths) // 100)) * 1.03 + 1
 
 
+def test_one_length_of_many_places(spark):
+    df = spark.createDataFrame([(i, i % 300, 5) for i in range(1000)], "id long, rank long, length long")
+    places = [(5, a, min(300, a + 1 + a % 7), a) for a in [0]]
+    while places[-1][2] < 300:
+        a = places[-1][2]
+        places.append((5, a, min(300, a + 1 + a % 7), a))
+    got = {r["id"]: r["_at"] for r in packing.looked_up(df, places, "_at long").collect()}
+    assert got == {i: next(p[3] for p in places if p[1] <= i % 300 < p[2]) for i in range(1000)}
+    assert packing.looked_up(df.limit(0), [], "_at long").count() == 0
+
+
 # 6
 
 
@@ -440,7 +490,9 @@ def test_pieces(spark, docs):
 def test_encoders_equal_the_libraries(text):
     merge = sentencepieces.merge_encoder(PIECE_BPE)
     assert merge.encode([text])[0].tolist() == merge.library.encode(text, add_eos=True)
-    assert np.frombuffer(WordEncoder(BYTE_BPE).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+    ids, bounds = WordEncoder(BYTE_BPE).encode(pa.array(["x", None, text, "", text]), 7)
+    want = Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[87, 7], [7], [*want, 7], [7], [*want, 7]]
 
 
 def test_ids_are_those_of_the_library_as_it_is_loaded():
@@ -449,7 +501,22 @@ def test_ids_are_those_of_the_library_as_it_is_loaded():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(20_000)]
     want = library.encode_batch(texts, add_special_tokens=False)
     assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
-    assert all(np.frombuffer(a, "<u4").tolist() == b.ids for a, b in zip(encoder.encode(texts), want, strict=True))
+    for step in (20_000, 700):
+        for at in range(0, len(texts), step):
+            ids, bounds = encoder.encode(pa.array(["?", *texts[at : at + step]]).slice(1))
+            assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(bounds[:-1], bounds[1:], want[at : at + step], strict=True))
+
+
+def test_ids_of_the_documents(monkeypatch):
+    monkeypatch.setattr(wordcache, "PIECE", 10_000)
+    found = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    library, encoder = Tokenizer.from_file(BYTE_BPE), WordEncoder(BYTE_BPE, words=2000)  # begins anew now and then
+    want = library.encode_batch([x or "" for x in found.to_pylist()], add_special_tokens=False)
+    for at in range(0, len(found), 100):
+        ids, bounds = encoder.encode(found.slice(at, 100))
+        assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(bounds[:-1], bounds[1:], want[at : at + 100], strict=True))
+    long = "ab" * 400_000 + " " + "word " * 300_000
+    assert encoder.encode(pa.array([long]))[0].tolist() == library.encode(long, add_special_tokens=False).ids
 
 
 # 8
@@ -476,6 +543,40 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_scores_are_calibrated(spark):
+    # a third of the rows with the word have the label, and one in twenty of the others: noise that the votes of neighbours keep
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(3000):
+        kind = rng.choice(["vile", "odd", ""])
+        rows.append((i, words(20, i) + f" {kind} {kind}"))
+        labels.append((i, int(rng.random() < {"vile": 0.9, "odd": 0.35, "": 0.05}[kind])))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [(r["score"], truth[r["doc_id"]]) for r in toxicity.toxicity(docs, known).collect() if r["held_out"]]
+    for low, high in ((0.0, 0.2), (0.2, 0.6), (0.6, 1.0)):
+        own = [(s, y) for s, y in held if low <= s <= high]
+        if len(own) >= 50:
+            assert abs(sum(s for s, _ in own) - sum(y for _, y in own)) / len(own) < 0.12
+    assert sum((s - y) ** 2 for s, y in held) / len(held) < 0.17
+
+
+def test_own_label_is_no_input(spark):
+    rows = [(i, words(30, i) + (" vile vilest" if i % 3 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(400)]
+    one = next(i for i in range(400) if i % 3 == 0 and zlib.crc32(str(i).encode()) % 5)
+    for flipped in (False, True):
+        known = spark.createDataFrame([(i, 1 - y if flipped and i == one else y) for i, y in labels], "doc_id long, toxic int")
+        evidence = next(r["evidence"] for r in toxicity.toxicity(docs, known).where(f"doc_id = {one}").collect())
+        assert evidence and all(e["doc_id"] != one for e in evidence)
+
+
+def test_rising_curve():
+    x, y = toxicity.rising([(0.1, 10, 1), (0.3, 10, 5), (0.5, 10, 3), (0.9, 10, 10)], 0.5)
+    assert list(y) == sorted(y) and np.allclose(np.interp([0.1, 0.4, 0.9], x, y), [1.5 / 11, 9 / 22, 10.5 / 11])
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(3)
     terms = {f"t{i}": i for i in range(12)}
@@ -522,7 +623,10 @@ def test_wavelet_matrix():
         places = np.flatnonzero(values == v)
         assert m.count(v) == len(places) and m.rank(v, 1500) == (places < 1500).sum()
         assert [m.select(v, k) for k in range(0, len(places), 13)] == places[::13].tolist() and m.select(v, len(places)) == -1
-    assert len(tokenfile.WaveletMatrix.build(np.zeros(0)).values()) == 0
+    assert len(tokenfile.WaveletMatrix.build(np.zeros(0, int)).values()) == 0
+    wide = values * 3000  # ids beyond 16 bits
+    m = tokenfile.WaveletMatrix.build(wide)
+    assert (m.values() == wide).all() and m.access(77) == wide[77] and m.count(int(wide[5])) == (wide == wide[5]).sum() and m.count(1 << 40) == 0
 
 
 # 10
@@ -585,6 +689,24 @@ def test_random_parts_beside_base_spans(spark, monkeypatch):
         assert [(s["start"], s["end"]) for s in r["s"]] == brute_tokens(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
+def test_markov_spans_by_definition(spark):
+    rng = random.Random(3)
+    table = [rng.uniform(-4, 4) for _ in range(len(secrets.ALPHABET) ** 2)]
+    texts = [" ".join("".join(rng.choice(secrets.ALPHABET[rng.randrange(40) :]) for _ in range(rng.randrange(1, 40))) for _ in range(12)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", secrets.markov_spans(F.col("text"), table).alias("s"))
+    hits = 0
+    for r in df.collect():
+        text, want = texts[r["doc_id"]], []
+        for a, b in brute_tokens(text):
+            at = [secrets.ALPHABET.index(c) for c in text[a:b]]
+            total = sum(table[x * len(secrets.ALPHABET) + y] for x, y in zip(at, at[1:], strict=False))
+            if total >= secrets.LEAST_RATIO and total >= secrets.LEAST_MEAN * (b - a - 1):
+                want.append((a, b))
+        assert [(s["start"], s["end"]) for s in r["s"]] == want
+        hits += len(want)
+    assert hits > 3
+
+
 def test_many_secrets_in_a_long_text(spark):
     text = "".join(f"row {i} é deadbeefdeadbeef token=abcdefghijkl{i:05d} end. " for i in range(20_000))
     docs = spark.createDataFrame([(1, text), (2, "no such thing " * 50_000)], "doc_id long, text string")
