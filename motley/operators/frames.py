@@ -40,6 +40,19 @@ def sanitized(frames: DataFrame, sizes: list[int], policy: str = "drop_frames")
     return frames.withColumn("labels", labels), [n + (g or 0) for n, g in zip(sizes, gaps, strict=True)]
 
 
+def valid_only(frames: DataFrame) -> DataFrame:
+    """Frames that are not marked invalid; a missing mark is none."""
+    return frames.where(~F.coalesce("invalid", F.lit(False))).drop("invalid")
+
+
+def paired(left: DataFrame, right: DataFrame, column: str, left_name: str, right_name: str) -> DataFrame:
+    """Every left id beside every right one (J4): ids of samples, a few (a thousand at most), not their frames."""
+    ids = [r[0] for r in right.select(column).distinct().limit(1001).collect()]
+    if len(ids) > 1000:
+        raise ValueError("too many samples to compare each with each")
+    return left.select(F.col(column).alias(left_name), F.explode(F.array(*[F.lit(x) for x in ids])).alias(right_name))
+
+
 def out_of_range(frames: DataFrame, sizes: list[int]) -> DataFrame:
     """sample_id, frame_id, site, label of labels beyond their alphabet (F3); an empty result is a sound table."""
     k = F.array(*[F.lit(x) for x in sizes])
@@ -191,16 +204,15 @@ def vote(neighbours: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def contact_edges(sites: DataFrame, cutoff: float) -> DataFrame:
-    """r, s of sites (site, x, y, z) nearer than the cutoff (J8): sites meet through cells of that width, not all with all."""
-    cells = [F.floor(F.col(c) / cutoff).cast("long") for c in "xyz"]
-    near = F.sequence(F.lit(-1), F.lit(1))
-    own = sites.select("site", "x", "y", "z", *[c.alias(f"c{a}") for a, c in zip("xyz", cells, strict=True)])
-    other = own.select(F.col("site").alias("s"), *[F.col(a).alias(f"{a}2") for a in "xyz"], "cx", "cy", "cz")
-    for a in "xyz":
-        other = other.withColumn("_d", F.explode(near)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_d")).drop("_d")
-    met = own.join(other, ["cx", "cy", "cz"]).where("site < s")
+    """r, s of sites (site, x, y, z) nearer than the cutoff (J8): sites meet through cells of that width, not all with all. Each
+    pair of neighbouring cells meets once: a site goes to its own cell and to the 13 that come after it."""
+    after = [(0, 0, 0), *[(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]]
+    own = sites.select("site", "x", "y", "z", *[F.floor(F.col(c) / cutoff).cast("long").alias(f"c{c}") for c in "xyz"])
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", d, strict=True)]) for d in after]))
+    other = own.withColumn("_d", step).select(F.col("site").alias("s"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"_d.d{c}")).alias(f"c{c}") for c in "xyz"], (F.col("_d.dx") == 0).alias("_x"), (F.col("_d.dy") == 0).alias("_y"), (F.col("_d.dz") == 0).alias("_z"))
+    met = own.join(other, ["cx", "cy", "cz"]).where("site < s or not (_x and _y and _z)").where("site != s")
     d2 = sum((F.col(a) - F.col(f"{a}2")) * (F.col(a) - F.col(f"{a}2")) for a in "xyz")
-    return met.where(d2 < cutoff * cutoff).select(F.col("site").alias("r"), "s").distinct()
+    return met.where(d2 < cutoff * cutoff).select(F.least("site", "s").alias("r"), F.greatest("site", "s").alias("s")).distinct()
 
 
 def edge_set(edges: DataFrame) -> DataFrame:

@@ -227,3 +227,20 @@ def flips(relaxation: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
     first = long.groupBy("frame_id", "site").agg(F.coalesce(F.min(F.when(F.col("differs") == 1, F.col("sweep"))), F.lit(sweeps + 1)).alias("t"))
     means = first.groupBy("site").agg(F.avg("t").alias("mean_first_flip")).withColumn("_all", F.lit(0))
     return share, percentile_rank(means, ["_all"], "mean_first_flip", "site").drop("_all", "slow")
+
+
+def greedy_state(h: DataFrame) -> DataFrame:
+    """site, label of the least field of each site, ties to the smaller label (G10). `h`: site, k, value."""
+    return h.groupBy("site").agg(F.min_by("k", F.struct("value", "k")).alias("label"))
+
+
+def noisy_frames(state: DataFrame, sizes: list[int], n: int, chance: float, seed: int = 0) -> DataFrame:
+    """frame_id, site, label: n copies of a state (site, label) of which each label moves on by one with the given chance.
+
+    Chance is a digest of seed, frame and site, so the frames are the same each time.
+    """
+    k = F.array(*[F.lit(x) for x in sizes])
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("frame_id").cast("string"), F.col("site").cast("string"))), 1, 8)
+    moved = F.when(drawn < F.lit(f"{int(chance * (1 << 32)):08x}"), (F.col("label") + 1) % k[F.col("site")]).otherwise(F.col("label"))
+    each = F.inline(F.array(*[F.struct(F.lit(r["site"]).alias("site"), F.lit(r["label"]).alias("label")) for r in state.collect()]))  # a row a site
+    return state.sparkSession.range(n).select(F.col("id").alias("frame_id"), each).select("frame_id", "site", moved.alias("label"))

@@ -225,3 +225,20 @@ def a21g(spark: SparkSession, d: str) -> DataFrame:
 @query("a3_pooled_joints", WITH + POOLED + "SELECT side, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, k, l, round(p, 6) AS p FROM pjoint")
 def a3j(spark: SparkSession, d: str) -> DataFrame:
     return D.pooled_joints(lineitem_frames(spark, d), SIDES, SIZES, EDGES).withColumn("p", rounded(F.col("p")))
+
+
+@query("g10_noisy_frames", PMI + ", g AS (SELECT site, min(k) AS label FROM (SELECT site, k, value, min(value) OVER (PARTITION BY site) AS m FROM h) WHERE value <= m GROUP BY site) SELECT f AS frame_id, CAST(g.site AS INTEGER) AS site, CAST(CASE WHEN substr(md5('5:' || f || ':' || g.site), 1, 8) < '40000000' THEN (g.label + 1) % site.k ELSE g.label END AS INTEGER) AS label FROM range(2000) t(f) CROSS JOIN g JOIN site USING (site)")
+def g10(spark: SparkSession, d: str) -> DataFrame:
+    state = G.greedy_state(M.fit_pmi(lineitem_frames(spark, d), SIZES, EDGES).h)
+    return G.noisy_frames(state, SIZES, 2000, 0.25, 5)
+
+
+@query("f4_valid_frames", WITH + "SELECT sample_id, frame_id FROM wide WHERE frame_id % 8 <> 3 AND sample_id >= 1995")
+def f4(spark: SparkSession, d: str) -> DataFrame:
+    return Fr.valid_only(lineitem_frames(spark, d).withColumn("invalid", F.when(F.col("sample_id") >= 1995, F.col("frame_id") % 8 == 3).otherwise(True))).select("sample_id", "frame_id")
+
+
+@query("j4_sample_pairs", WITH + "SELECT a.sample_id AS reference, b.sample_id AS sample FROM samples a CROSS JOIN samples b WHERE a.sample_id < 1995 AND b.sample_id >= 1995")
+def j4(spark: SparkSession, d: str) -> DataFrame:
+    ids = lineitem_frames(spark, d).select("sample_id").distinct()
+    return Fr.paired(ids.where("sample_id < 1995"), ids.where("sample_id >= 1995"), "sample_id", "reference", "sample")
