@@ -14,9 +14,9 @@ from motley.operators import frames as Fr
 from motley.operators import models as M
 from motley.operators import ordered as O
 from motley.operators import sampling as G
-from motley.plans.analyses import cross_likelihood, lambda_sweep
+from motley.plans.analyses import cross_likelihood
 from motley.plans.queries import EDGE_JS, GAUGE, NODE_JS, PMI, POOLED, SIDES
-from motley.plans.registry import WITH, js_sql, query
+from motley.plans.registry import SQL, WITH, query
 from motley.sources import tables as T
 from motley.sources.tables import EDGES, SIZES, embedding_angles, lineitem_frames, table
 
@@ -189,12 +189,7 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("label").agg(cov("x", "x"), cov("x", "y"), cov("y", "y"))
 
 
-@query("n3_lambda_distances", WITH + f"""SELECT b AS sample_id, CAST(CASE b WHEN 1998 THEN 0.0 WHEN 1999 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS lambda, a AS reference, round(0.5 * n.js + 0.5 * e.js, 6) + 0 AS distance FROM (SELECT a, b, avg(js) AS js FROM ({NODE_JS}) GROUP BY ALL) n JOIN (SELECT a, b, avg(js) AS js FROM ({EDGE_JS}) GROUP BY ALL) e USING (a, b) WHERE a IN (1995, 1996, 1997) AND b IN (1998, 1999, 2000)""")
-def n3d(spark: SparkSession, d: str) -> DataFrame:
-    frames = lineitem_frames(spark, d)
-    lambdas = spark.createDataFrame([(1998, 0.0), (1999, 0.5), (2000, 1.0)], "sample_id long, lambda double")
-    found = lambda_sweep(D.marginals(frames, SIZES), D.joints(frames, SIZES, EDGES), lambdas, [1995, 1996, 1997])[0]
-    return found.withColumn("distance", rounded(F.col("distance")))
+SQL["n3_lambda_sweep"] = WITH + f"""SELECT b AS sample_id, CAST(CASE b WHEN 1998 THEN 0.0 WHEN 1999 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS lambda, a AS reference, round(0.5 * n.js + 0.5 * e.js, 6) + 0 AS distance FROM (SELECT a, b, avg(js) AS js FROM ({NODE_JS}) GROUP BY ALL) n JOIN (SELECT a, b, avg(js) AS js FROM ({EDGE_JS}) GROUP BY ALL) e USING (a, b) WHERE a IN (1995, 1996, 1997) AND b IN (1998, 1999, 2000)"""
 
 
 def _likelihood_sql(side: str) -> str:
@@ -208,6 +203,10 @@ lg{side} AS (SELECT w.labels, w.site, hp.k, -max(hp.value) - sum(nb.value) AS v
 ll{side} AS (SELECT labels, sum(ll) AS ll FROM (SELECT labels, site, max(v) FILTER (WHERE k = labels[site + 1]) - ln(sum(exp(v))) AS ll FROM lg{side} GROUP BY ALL) GROUP BY ALL)"""
 
 
+SQL["m12_cross_likelihood"] = WITH + ", " + _likelihood_sql("a") + ", " + _likelihood_sql("b") + """, x AS (SELECT round(lla.ll - llb.ll, 9) AS delta, CASE WHEN sample_id <= 1997 THEN 1 ELSE 0 END AS y FROM wide JOIN lla USING (labels) JOIN llb USING (labels) WHERE sample_id IN (1995, 1996, 1997, 1998, 1999, 2000)),
+r AS (SELECT y, rank() OVER (ORDER BY delta) + (count(*) OVER (PARTITION BY delta) - 1) / 2 AS rk FROM x) SELECT round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 4) AS auc FROM r"""
+
+
 @query("m12_log_likelihoods", WITH + ", " + _likelihood_sql("a") + ", " + _likelihood_sql("b") + " SELECT sample_id, frame_id, round(lla.ll - llb.ll, 4) + 0 AS delta FROM wide JOIN lla USING (labels) JOIN llb USING (labels) WHERE sample_id NOT IN (1995, 1996, 1997, 1998, 1999, 2000)")
 def m12d(spark: SparkSession, d: str) -> DataFrame:
     """Frames of the other samples by which side's model explains them better."""
