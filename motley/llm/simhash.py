@@ -215,10 +215,14 @@ def agreeing_keys(most: int, parts: int = 4) -> Column:
     return F.array(*keys)
 
 
-def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, n, component_id of `nodes` (id, n, least): the least `least` among the nodes that links join."""
+def named(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with root, and of each root: component_id, the least `least` among the nodes that links join, and n, their number)."""
     linked = nodes.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return linked, linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+
+
+def grouped(linked: DataFrame, names: DataFrame) -> DataFrame:
+    """id, n, component_id of nodes, from `named`."""
     return spread(linked.select("id", "root", F.col("n").alias("rows")), stored(names, "names"), "root", "id").select("id", F.col("rows").alias("n"), "component_id")
 
 
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     """
     prints = stored(fingerprints(docs, words).withColumn("id", F.col("lanes")[0]), "prints")
     nodes = stored(prints.groupBy("id").agg(F.first("lanes").alias("lanes"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = grouped(nodes, bucket_links(nodes.select("id", "lanes"), agreeing_keys(most), most))
+    found = grouped(*named(nodes, bucket_links(nodes.select("id", "lanes"), agreeing_keys(most), most)))
     found = spread(prints, stored(found, "components"), "id", "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -348,13 +352,13 @@ def verified_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: i
     return group_links(held, load, link, chunk, SET_CHUNK)
 
 
-def similar_nodes(docs: DataFrame, words: int, similarity: float, lanes: int, bands: int, rows: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key and id of every row's shingle set, id, n and component_id of every set)."""
+def similar_nodes(docs: DataFrame, words: int, similarity: float, lanes: int, bands: int, rows: int, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key and id of every row's shingle set; the sets with their roots; of each root its component_id and n)."""
     most = most_bits(similarity, lanes)
     prints = stored(set_prints(docs, words, lanes, bands, rows, key), "prints")
     nodes = stored(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "lanes", "keys")], F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     links = bucket_links(nodes.select("id", "lanes", "keys"), F.col("keys"), most)
-    return prints.select(key, "id"), grouped(nodes, verified_links(docs, nodes, links, words, most, similarity, key))
+    return prints.select(key, "id"), *named(nodes, verified_links(docs, nodes, links, words, most, similarity, key))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bands: int = 20, rows: int = 5, key: str = "doc_id") -> DataFrame:
@@ -363,10 +367,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     The similarity is exact. Pairs meet if one of the bands of `rows` least hashes agrees: of pairs of similarity
     0.8 all but 4 in ten thousand by the defaults, and fewer miss above. Texts without words are alike.
     """
-    prints, found = similar_nodes(docs, words, similarity, lanes, bands, rows, key)
-    return spread(prints, stored(found, "components"), "id", key).select(key, "component_id")
+    prints, linked, names = similar_nodes(docs, words, similarity, lanes, bands, rows, key)
+    return spread(prints, stored(grouped(linked, names), "components"), "id", key).select(key, "component_id")
 
 
 def kept_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bands: int = 20, rows: int = 5, key: str = "doc_id") -> DataFrame:
     """key: of each component of `similar_documents` the least one. `key` is distinct and never null."""
-    return similar_nodes(docs, words, similarity, lanes, bands, rows, key)[1].select(F.col("component_id").alias(key)).distinct()
+    return similar_nodes(docs, words, similarity, lanes, bands, rows, key)[2].select(F.col("component_id").alias(key))
