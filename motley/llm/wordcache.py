@@ -162,49 +162,76 @@ class WordEncoder:
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        apart = [x for x in words if x[:1] in (" ", "\n")]
-        if "".join(apart).split() != [x[1:] for x in apart]:
-            apart = list(filter(stands_apart, apart))
-        known: dict[str, bytes] = {}
-        for i in range(0, len(apart), LEARNT_TOGETHER):
-            some = apart[i : i + LEARNT_TOGETHER]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            starts, held = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
-            known.update(zip(some, map(held.__getitem__, map(slice, starts, [*starts[1:], len(held)])), strict=True))
-        rest = [x for x in words if x not in known]
-        known.update(zip(rest, self._alone(rest), strict=True))
-        return [known[x] for x in words]
-
-    def _kept(self, words: list[str]) -> np.ndarray:
-        """The words learnt and stored: their numbers."""
-        found = self._learn(words)
-        length = np.array([len(x) // 4 for x in found], np.int64)
+    def _store(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words stored by their ids, one after another: their numbers."""
         first = self.start.n
         self.start.add(self.ids.n + np.cumsum(length) - length)
         self.length.add(length)
-        self.ids.add(np.frombuffer(b"".join(found), "<u4"))
+        self.ids.add(ids)
         return np.arange(first, self.start.n)
 
+    def _kept(self, words: list[str]) -> np.ndarray:
+        """The words learnt and stored: their numbers."""
+        apart = [i for i, x in enumerate(words) if x[:1] in (" ", "\n")]
+        some = [words[i] for i in apart]
+        if "".join(some).split() != [x[1:] for x in some]:
+            apart = [i for i in apart if stands_apart(words[i])]
+            some = [words[i] for i in apart]
+        out, rest = np.full(len(words), -1), np.ones(len(words), bool)
+        rest[apart] = False
+        for i in range(0, len(some), LEARNT_TOGETHER):
+            part = some[i : i + LEARNT_TOGETHER]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(part):
+                out[apart[i : i + len(part)]] = self._store(ids, np.diff(starts, append=len(ids)))
+            else:
+                rest[apart[i : i + len(part)]] = True
+        if rest.any():
+            at = np.flatnonzero(rest)
+            found = self._alone([words[i] for i in at.tolist()])
+            out[at] = self._store(np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64))
+        return out
+
     def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each word of a piece, from data[starts] to data[ends]; the words follow each other."""
         size = ends - starts
         short = size <= KEPT_BYTES
+        every = bool(short.all())
         out = np.empty(len(starts), np.int64)
-        text = data[starts[0] : ends[-1]]
-        within = np.arange(len(text)) - np.repeat(starts - starts[0], size)
+        base = int(starts[0])
+        text = data[base : ends[-1]]
+        within = np.arange(len(text), dtype=np.int32) - np.repeat((starts - base).astype(np.int32), size)
+        if not every:
+            np.minimum(within, KEPT_BYTES - 1, out=within)
         with np.errstate(over="ignore"):
-            hashes = mixed(np.add.reduceat(VALUES[text] * POWERS[np.minimum(within, KEPT_BYTES - 1)], starts - starts[0]) + size.astype(np.uint64))
-        known, first, which = np.unique(hashes[short], return_index=True, return_inverse=True)
+            hashes = mixed(np.add.reduceat(VALUES[text] * POWERS[within], starts - base) + size.astype(np.uint64))
+        hashes = hashes if every else hashes[short]
+        order = np.argsort(hashes)
+        ascending = hashes[order]
+        new = np.ones(len(order), bool)
+        np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+        known = ascending[new]
         numbers = self.places.get(known)
-        new = np.flatnonzero(numbers < 0)
-        said = lambda at: [bytes(data[a:b]).decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if len(new):
-            numbers[new] = self._kept(said(np.flatnonzero(short)[first[new]]))
-            self.places.add(known[new], numbers[new])
-        out[short] = numbers[which]
-        if not short.all():
-            out[~short] = self._kept(said(np.flatnonzero(~short)))  # without a place: not found again
+        unseen = np.flatnonzero(numbers < 0)
+        if len(unseen) or not every:
+            raw = text.tobytes()
+            raw = raw.decode() if raw.isascii() else raw
+
+            def said(at: np.ndarray) -> list[str]:
+                cut = list(map(raw.__getitem__, map(slice, (starts[at] - base).tolist(), (ends[at] - base).tolist())))
+                return cut if isinstance(raw, str) else [x.decode() for x in cut]
+
+        if len(unseen):
+            at = order[new][unseen]
+            numbers[unseen] = self._kept(said(at if every else np.flatnonzero(short)[at]))
+            self.places.add(known[unseen], numbers[unseen])
+        which = np.empty(len(order), np.int64)
+        which[order] = numbers[np.cumsum(new) - 1]
+        if every:
+            return which
+        out[short] = which
+        out[~short] = self._kept(said(np.flatnonzero(~short)))  # without a place: not found again
         return out
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -234,19 +261,16 @@ class WordEncoder:
                 kept = ~special[owner]
                 numbers, owner = numbers[kept], owner[kept]
         size = self.length.values[numbers]
-        np.add.at(counts, owner, size)
+        counts += np.bincount(owner, weights=size, minlength=n).astype(np.int64)
         for i, x in whole.items():
             counts[i] = len(x)
         ids_bounds = np.concatenate(([0], np.cumsum(counts + ends)))
         out = np.empty(int(ids_bounds[-1]), np.uint32)
-        # each word's ids stand after those of the words before it in its text
         before = np.cumsum(size) - size
-        first = np.full(n + 1, 0)
+        got = self.ids.values[np.arange(int(size.sum())) + np.repeat(self.start.values[numbers] - before, size)]
         texts, index = np.unique(owner, return_index=True)
-        first[texts] = before[index]
-        to = ids_bounds[owner] + before - first[owner]
-        step = np.arange(int(size.sum())) - np.repeat(before, size)
-        out[step + np.repeat(to, size)] = self.ids.values[step + np.repeat(self.start.values[numbers], size)]
+        for i, a, b in zip(ids_bounds[texts].tolist(), before[index].tolist(), np.append(before[index][1:], len(got)).tolist(), strict=True):
+            out[i : i + b - a] = got[a:b]
         for i, x in whole.items():
             out[ids_bounds[i] : ids_bounds[i] + len(x)] = x
         if ends:
