@@ -240,25 +240,18 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
     return Fr.contact_edges(sites, 0.05)
 
 
-@query("j10_knn_vote", """WITH q AS (SELECT vec_id, label, embedding[1] AS x FROM embeddings WHERE vec_id % 10 = 0), r AS (SELECT vec_id, label, embedding[1] AS x FROM embeddings WHERE vec_id % 10 = 1),
-n AS (SELECT q.vec_id AS key, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(CAST(q.x AS DOUBLE) - CAST(r.x AS DOUBLE)), r.vec_id) AS rn FROM q JOIN r ON q.label % 2 = r.label % 2),
+J10 = """WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings),
+n AS (SELECT q.vec_id AS key, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.x - r.x), r.vec_id) AS rn FROM e q JOIN e r ON q.label % 2 = r.label % 2 AND q.vec_id <> r.vec_id),
 c AS (SELECT key, label, count(*) AS n FROM n WHERE rn <= 10 GROUP BY ALL)
-SELECT key, CAST(label AS INTEGER) AS label FROM (SELECT key, label, row_number() OVER (PARTITION BY key ORDER BY n DESC, label) AS o FROM c) WHERE o = 1""")
-def j10(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("label") % 2).alias("block"))
-    near = e.where("vec_id % 10 = 0").alias("q").join(e.where("vec_id % 10 = 1").alias("r"), "block")
-    return Fr.vote(near.select(F.col("q.vec_id").alias("key"), F.abs(F.col("q.x") - F.col("r.x")).alias("distance"), F.col("r.label").alias("label"), F.col("r.vec_id").alias("id")), "key", 10)
-
-
-@query("j11_nearest_hamming", WITH + """, ref AS (SELECT frame_id, labels FROM wide WHERE l_orderkey % 100 = 0)
-SELECT 0 AS block, w.frame_id, CAST(min(list_sum(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN w.labels[i] <> r.labels[i] THEN 1 ELSE 0 END))) AS INTEGER) AS distance FROM (SELECT * FROM wide WHERE l_orderkey % 100 = 1) w CROSS JOIN ref r GROUP BY w.frame_id, w.rid""")
-def j11(spark: SparkSession, d: str) -> DataFrame:
-    frames = lineitem_frames(spark, d).withColumn("order", F.floor(F.col("frame_id") / 8)).withColumn("block", F.lit(0))
-    return Fr.nearest_rows(frames.where("order % 100 = 1"), frames.where("order % 100 = 0"), "block")
+SELECT key, CAST(label AS INTEGER) AS label FROM (SELECT key, label, row_number() OVER (PARTITION BY key ORDER BY n DESC, label) AS o FROM c) WHERE o = 1"""
+J11 = WITH + """, a AS (SELECT DISTINCT labels FROM wide WHERE l_orderkey % 2 = 1), b AS (SELECT DISTINCT labels FROM wide WHERE l_orderkey % 2 = 0),
+near AS (SELECT a.labels, min(list_sum(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN a.labels[i] <> b.labels[i] THEN 1 ELSE 0 END))) AS d FROM a CROSS JOIN b GROUP BY a.labels)
+SELECT 0 AS block, frame_id, CAST(d AS INTEGER) AS distance FROM wide JOIN near USING (labels) WHERE l_orderkey % 2 = 1"""
 
 
-@query("j10_knn_vote_all")
-def j10_all(spark: SparkSession, d: str) -> DataFrame:
+@query("j10_knn_vote", J10)
+@query("j10_knn_vote_all", J10)
+def j10(spark: SparkSession, d: str) -> DataFrame:
     """The vote of each vector's ten nearest others, over all vectors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("label") % 2).alias("block"))
     near = Fr.nearest_values(e, e, "block", "x", "vec_id", "label", 11)
@@ -266,8 +259,9 @@ def j10_all(spark: SparkSession, d: str) -> DataFrame:
     return Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
 
 
-@query("j11_nearest_hamming_all")
-def j11_all(spark: SparkSession, d: str) -> DataFrame:
+@query("j11_nearest_hamming", J11)
+@query("j11_nearest_hamming_all", J11)
+def j11(spark: SparkSession, d: str) -> DataFrame:
     """Frames of odd orders against those of even orders: every frame takes part."""
     frames = lineitem_frames(spark, d).withColumn("order", F.floor(F.col("frame_id") / 8)).withColumn("block", F.lit(0))
     return Fr.nearest_rows(frames.where("order % 2 = 1"), frames.where("order % 2 = 0"), "block")
