@@ -89,7 +89,7 @@ def test_gradient_and_recovery(spark):
     step = lambda e: (Fi.loss_and_gradient(layout, theta + 1e-5 * e, rows[:50], weights)[0] - Fi.loss_and_gradient(layout, theta - 1e-5 * e, rows[:50], weights)[0]) / 2e-5
     assert np.allclose(grad, [step(e) for e in np.eye(18)], atol=1e-6)
     frames = spark.createDataFrame([(x.tolist(),) for x in rows], "labels array<int>")
-    got, losses = Fi.fit(frames, [2, 2, 2], layout.edges, Fi.Settings(steps=250, block=0.0, l2=0.0))
+    got, losses = Fi.fit(frames, [2, 2, 2], layout.edges, Fi.Settings(steps=70, rate=0.15, block=0.0, l2=0.0))
     want = Fi.centred(model)
     assert losses[-1] < losses[0] and all(np.abs(got.j[e] - want.j[e]).max() < 0.15 for e in want.j)
 
