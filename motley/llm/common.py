@@ -110,18 +110,19 @@ def spread(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """big joined with small on key. `small` has each key once, with n: how many rows of big have it.
 
     Keys of more than their share of the rows (a quarter of a task's) go to several tasks, by the hash of `by`; they are fewer than four
-    times the tasks, and only they are repeated in small. n is left out of the result; `small` is read up to three times, so give a stored table.
+    times the tasks, and only they are repeated in small, by powers of two, eight times the tasks in all at most. n is left out of
+    the result; `small` is read up to three times, so give a stored table.
     """
     total, most = small.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     share = max(1, total // (4 * partitions(big.sparkSession)))
-    if most <= share:
-        return big.join(small.drop("n"), key)
-    hot = [(r[key], -(-r["n"] // share)) for r in small.where(F.col("n") > share).select(key, "n").collect()]  # under 4 * partitions rows
-    small = small.drop("n")
-    known = F.broadcast(big.sparkSession.createDataFrame(hot, f"`{key}` {small.schema[key].dataType.simpleString()}, _copies int"))
-    copies = F.coalesce("_copies", F.lit(1))
-    a = big.join(known, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), copies)).drop("_copies")
-    b = small.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("_copies")
+    copies, tiers = F.lit(1), {}
+    if most > share:
+        for r in small.where(F.col("n") > share).select(key, "n").collect():  # under 4 * partitions rows
+            tiers.setdefault((-(-r["n"] // share) - 1).bit_length(), []).append(r[key])
+    for tier, keys in tiers.items():
+        copies = F.when(F.col(key).isin(keys), F.lit(1 << tier)).otherwise(copies)
+    a = big.withColumn("_salt", F.pmod(F.xxhash64(by), copies).cast("int"))
+    b = small.drop("n").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return a.join(b, [key, "_salt"]).drop("_salt")
 
 

@@ -36,7 +36,7 @@ from motley.llm.common import in_order, mixed, partitions, released, stored, tex
 LENGTH = 100
 TRIGGER = 32
 #: Bytes hashed at once; longer documents are taken in pieces that overlap by a string.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Phrases a task gathers before it merges equal ones and sends them on.
 GATHERED = 1 << 19
 #: The most phrases of one trigger that are put in order at once, and the bytes of several triggers' phrases.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from motley.llm import components, digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity, wordcache
-from motley.llm.common import least_hashed, tokenizer_path
+from motley.llm.common import least_hashed, spread, tokenizer_path
 from motley.llm.wordcache import WordEncoder
 
 BYTE_BPE, PIECE_BPE = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -723,6 +723,18 @@ def test_many_secrets_in_a_long_text(spark):
 # all
 
 
+def test_spread_keys(spark):
+    rows = [(i, 7 if i % 3 == 0 else 8 if i % 3 == 1 and i % 2 else i) for i in range(3000)]
+    big = spark.createDataFrame(rows, "id long, key long")
+    small = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = {r["id"]: r["least"] for r in spread(big, small, "key", "id").collect()}
+    least = {}
+    for i, k in rows:
+        least.setdefault(k, i)
+    assert got == {i: least[k] for i, k in rows} and spread(big, small, "key", "id").count() == 3000
+    assert spread(big.limit(0), small.limit(0), "key", "id").count() == 0
+
+
 def test_least_hashed(spark):
     a, b = (sorted(r[0] for r in least_hashed(spark.range(5000).repartition(n), 100, "id").collect()) for n in (1, 7))
     assert a == b and len(a) == 100
