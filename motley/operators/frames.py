@@ -47,10 +47,10 @@ def valid_only(frames: DataFrame) -> DataFrame:
 
 def paired(left: DataFrame, right: DataFrame, column: str, left_name: str, right_name: str) -> DataFrame:
     """Every left id beside every right one (J4): ids of samples, a few (a thousand at most), not their frames."""
-    ids = [r[0] for r in right.select(column).distinct().limit(1001).collect()]
+    kind, ids = right.schema[column].dataType, [r[0] for r in right.select(column).distinct().limit(1001).collect()]
     if len(ids) > 1000:
         raise ValueError("too many samples to compare each with each")
-    return left.select(F.col(column).alias(left_name), F.explode(F.array(*[F.lit(x) for x in ids])).alias(right_name))
+    return left.select(F.col(column).alias(left_name), F.explode(F.array(*[F.lit(x).cast(kind) for x in ids])).alias(right_name))
 
 
 def out_of_range(frames: DataFrame, sizes: list[int]) -> DataFrame:

@@ -310,7 +310,7 @@ def c12(spark: SparkSession, d: str) -> DataFrame:
     return _macro(spark, d)[0].select("o_orderkey", "macro")
 
 
-@query("c13_lag_frames", "SELECT DISTINCT l_quantity AS lag, l_linenumber + 0.5 AS step, CAST(greatest(1, round_even(greatest(l_quantity, l_linenumber + 0.5) / (l_linenumber + 0.5), 0)) AS INTEGER) AS frames FROM lineitem")
+@query("c13_lag_frames", "SELECT DISTINCT l_quantity AS lag, CAST(l_linenumber + 0.5 AS DOUBLE) AS step, CAST(greatest(1, round_even(greatest(l_quantity, l_linenumber + 0.5) / (l_linenumber + 0.5), 0)) AS INTEGER) AS frames FROM lineitem")
 def c13(spark: SparkSession, d: str) -> DataFrame:
     step = F.col("l_linenumber") + 0.5
     return table(spark, d, "lineitem").select(F.col("l_quantity").alias("lag"), step.alias("step"), A.lag_frames(F.col("l_quantity"), step).alias("frames")).distinct()

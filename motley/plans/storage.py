@@ -91,7 +91,7 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     path = T.scratch(spark, "runs.csv")
     T.append_csv(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), path, 2)
     T.append_csv(table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), path, 2)
-    return T.read_csv(spark, path, "key long, name string, schema_version int").where("schema_version = 2").select("key", "name")
+    return T.read_csv(spark, path, "key int, name string, schema_version int").where("schema_version = 2").select("key", "name")
 
 
 @query("f8_sampled_rows", "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500")
@@ -122,12 +122,12 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(both).alias("i", "x")).select("i", rounded(F.col("x.g")).alias("geometric"), rounded(F.col("x.l")).alias("linear"))
 
 
-@query("g8_chains", "SELECT CAST(i AS INTEGER) AS chain_index, CAST(11 + i AS BIGINT) AS seed, 1.0 AS beta FROM range(6) t(i)")
+@query("g8_chains", "SELECT CAST(i AS INTEGER) AS chain_index, CAST(11 + i AS BIGINT) AS seed, CAST(1.0 AS DOUBLE) AS beta FROM range(6) t(i)")
 def g8(spark: SparkSession, d: str) -> DataFrame:
     return G.chains(spark, 6, 11)
 
 
-@query("g9_swept_chains", "SELECT CAST(3 * b + c AS INTEGER) AS chain_index, CAST(11 + 10000 * b + c AS BIGINT) AS seed, 0.5 * (b + 1) AS beta FROM range(4) x(b), range(3) y(c)")
+@query("g9_swept_chains", "SELECT CAST(3 * b + c AS INTEGER) AS chain_index, CAST(11 + 10000 * b + c AS BIGINT) AS seed, CAST(0.5 * (b + 1) AS DOUBLE) AS beta FROM range(4) x(b), range(3) y(c)")
 def g9(spark: SparkSession, d: str) -> DataFrame:
     return G.chains(spark, 3, 11, [0.5, 1.0, 1.5, 2.0])
 
