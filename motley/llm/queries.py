@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import digest, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity
+from motley.llm import alignment, digest, exactindex, infill, packing, pages, secrets, sentencepieces, simhash, suffix, tokenfile, topk, toxicity
 from motley.llm.common import table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,6 +53,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactindex.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_pages": op2_pages,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_tokens": op9_tokens,
     "op10_secrets": op10_secrets,
+    "op11_infill": op11_infill,
+    "op12_exact": op12_exact,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": """
@@ -81,4 +96,30 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    "op11_infill": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), cut AS (
+            SELECT doc_id, t, tokens, len(tokens) AS n,
+                   CAST('0x' || h[1:8] AS BIGINT) % (len(tokens) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(tokens) + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT doc_id, t, n, form, array_to_string(tokens[1:least(c1, c2)], '') AS p, array_to_string(tokens[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                   array_to_string(tokens[greatest(c1, c2) + 1:], '') AS s
+            FROM cut
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
+    "op12_exact": r"""
+        WITH said AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM said WINDOW w AS (PARTITION BY t)
+    """,
 }
