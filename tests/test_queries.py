@@ -5,6 +5,7 @@ import pytest
 
 import motley.plans.analyses  # noqa: F401
 import motley.plans.assembly  # noqa: F401
+import motley.plans.kinetics  # noqa: F401
 import motley.plans.storage  # noqa: F401
 import motley.plans.queries  # noqa: F401
 from motley.plans.registry import QUERIES, SQL
