@@ -16,15 +16,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motley.llm.common import SLICE_BYTES, stored
-from motley.llm.sentencepieces import SPACE, MergeEncoder
+from motley.llm.sentencepieces import SPACE
 from motley.llm.wordcache import WordEncoder
 
 #: Bytes of text of a block, unless one text has more.
-BLOCK_BYTES = 2 * SLICE_BYTES
+BLOCK_BYTES = SLICE_BYTES
 #: Printed bytes of a byte-level vocabulary that stand for themselves: the ranges of visible signs. (fixed values)
 VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WITHIN, TURN, END = range(3)  # what follows a token in a text's written groups
@@ -57,8 +58,8 @@ class Pair:
     def __init__(self, byte_level: str, pieces: str):
         self.a = WordEncoder(byte_level)
         self.a.library.encode_special_tokens, self.a.special = True, []  # strings of special tokens are plain text
-        self.b = MergeEncoder(pieces)
-        values, vocabulary, library = byte_values(), self.a.library.get_vocab(), self.b.library
+        self.b = library = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        values, vocabulary = byte_values(), self.a.library.get_vocab()
         a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             a[i] = bytes(values[c] for c in token) if all(c in values for c in token) else token.encode()
@@ -73,9 +74,9 @@ class Pair:
         tokens do not give back, have none."""
         spaced = [f" {x}" if x else "" for x in texts]
         a, at_a = self.a.encode(pa.array(spaced, pa.large_string()))
-        own = [x[:-1] if text else x[:0] for x, text in zip(self.b.encode(texts), texts, strict=True)]
+        own = [np.array(x, np.uint32) for x in self.b.encode(texts, num_threads=1)]
         at_b = np.concatenate(([0], np.cumsum([len(x) for x in own], dtype=np.int64)))
-        b = np.concatenate(own).astype(np.uint32) if own else np.zeros(0, np.uint32)
+        b = np.concatenate(own) if own else np.zeros(0, np.uint32)
         raw = [x.encode() for x in spaced]
         whole = b"".join(raw)
         if self.side_a.joined(a) == whole and self.side_b.joined(b) == whole:
@@ -136,9 +137,9 @@ class Aligned:
         return found, count, number
 
 
-def aligned(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of `docs` (doc_id, text) in blocks: block, doc_id, n_a, n_b, n_groups, groups (as text: a1,a2|b1;a3|b2,b3), groups_sha256
-    (empty without tokens), linked and times (the block's numbers of the text's pairs, and how often each), and on a block's first
+def aligned(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BLOCK_BYTES, written: bool = True) -> DataFrame:
+    """Rows of `docs` (doc_id, text) in blocks: block, doc_id, n_a, n_b, n_groups, groups (as text: a1,a2|b1;a3|b2,b3; null unless
+    written is asked for), groups_sha256 (empty without tokens), linked and times (the block's numbers of the text's pairs, and how often each), and on a block's first
     row a, b and n: its pairs by number.
 
     Null and empty texts, and texts that the tokens of a side do not give back byte for byte, have no tokens. Repeated rows stay,
@@ -164,7 +165,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BL
                     "n_a": np.diff(own.at_a),
                     "n_b": np.diff(own.at_b),
                     "n_groups": np.diff(own.groups),
-                    "groups": [x.decode() for x in said],
+                    "groups": [x.decode() if written else None for x in said],
                     "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in said],
                     "linked": [x.astype(np.int32) for x, _ in each],
                     "times": [x.astype(np.int32) for _, x in each],
@@ -172,6 +173,8 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BL
                     "b": [(found % pair.side_b.n).astype(np.int32), *none],
                     "n": [count, *none],
                 })
+                del own, said, each, number
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     kinds = "block long, doc_id string, n_a long, n_b long, n_groups long, groups string, groups_sha256 string, linked array<int>, times array<int>, a array<int>, b array<int>, n array<long>"
@@ -217,5 +220,5 @@ def summed(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def digests(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of `docs` (doc_id: long)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stored(aligned(rows, byte_level, pieces, block_bytes).drop("groups"), "blocks")
+    blocks = stored(aligned(rows, byte_level, pieces, block_bytes, written=False).drop("groups"), "blocks")
     return scored(blocks, pair_counts(blocks)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
