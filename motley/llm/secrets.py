@@ -83,9 +83,10 @@ def base_spans(text: Column) -> Column:
 
 
 def pair_counts(tokens: DataFrame) -> dict[str, int]:
-    """How often each pair of neighbouring characters occurs in `tokens` (token): at most the alphabet squared."""
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))).alias("pair")
-    return {r["pair"]: r["count"] for r in tokens.where(F.length("token") > 1).select(pair).groupBy("pair").count().collect()}
+    """How often each pair of neighbouring characters occurs in `tokens` (token): at most the alphabet squared. In time linear in a token."""
+    signs = tokens.where(F.length("token") > 1).select(F.split("token", "").alias("signs"))
+    pairs = F.zip_with(F.slice("signs", 1, F.size("signs") - 1), F.slice("signs", 2, F.size("signs") - 1), lambda a, b: F.concat(a, b))
+    return {r["pair"]: r["count"] for r in signs.select(F.explode(pairs).alias("pair")).groupBy("pair").count().collect()}
 
 
 def log_chances(counts: dict[str, int]) -> dict[str, float]:

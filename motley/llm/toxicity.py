@@ -5,10 +5,11 @@ The examples with such terms stand in an inverted index whose postings are cut i
 the greatest weight of each term in each block. For a text, blocks are visited by the sum of their maxima and left out
 once that falls below the k-th cosine, so the k nearest are exact. Their votes, weighted by closeness, are calibrated by a
 rising curve: how often examples with such votes of the others have the label. Examples with the very text asked about do
-not vote, so no row's own label enters its score, and equal texts have equal scores.
+not vote, and equal texts have equal scores; a training row's label does take part in the choice of terms and in the curve.
 
-Terms that go with no label are left out: a long text has hundreds of them, and its nearest examples by all words would be
-those of its subject or language, whatever the label.
+Terms that go with no label are left out, and with them the examples that have no others: a long text has hundreds of such terms, and
+its nearest examples by all words are those of its subject or language, whatever the label (README has the figures). A text without
+any of the terms that are left has a constant score, the rate of such examples, and no evidence.
 """
 
 from __future__ import annotations

@@ -738,3 +738,19 @@ def test_spread_keys(spark):
 def test_least_hashed(spark):
     a, b = (sorted(r[0] for r in least_hashed(spark.range(5000).repartition(n), 100, "id").collect()) for n in (1, 7))
     assert a == b and len(a) == 100
+
+
+def test_secrets_in_very_long_tokens(spark):
+    rng = random.Random(11)
+    hexes = "".join(rng.choices("0123456789abcdef", k=1_000_000))
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=1_000_000))
+    df = spark.createDataFrame([(1, f"x {hexes} y"), (2, f"token={letters}"), (3, "plain words only")], "doc_id long, text string")
+    secrets.scan(df.limit(0)).collect()  # starts what is needed
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert time.time() - start < 40  # the square of a token's length would take hours
+    assert (got[1]["n_hex"], got[1]["spans"]) == (1, "hex:2:1000002")
+    assert got[2]["n_assign"] == 1 and got[2]["spans"].startswith("assign:0:1000006") and got[3]["spans"] == ""
+    assert secrets.pair_counts(df.select(F.lit("aab").alias("token"))) == {"aa": 3, "ab": 3}
+    redacted = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert redacted[1] == "x [SECRET] y" and redacted[2] == "[SECRET]"
