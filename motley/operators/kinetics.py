@@ -467,5 +467,5 @@ def metastable(df: DataFrame, keys: list[str], order: str, values: str, lag: int
     groups = {k: _nearest(centres, c) for k, c in centres_of(small, "c", [*range(least, min(most, len(centres)) + 1)], seed).items()}
     scores = {k: 0.0 if k == 1 else silhouette(centres, g) if len(set(g.tolist())) > 1 else float("-inf") for k, g in groups.items()}
     macro = groups[max(scores, key=lambda k: (scores[k], -k))]
-    named = F.element_at(F.array(*[F.lit(int(x)) for x in macro]), F.col("micro") + 1)
+    named = F.get(F.array(*[F.lit(int(x)) for x in macro]), F.col("micro"))
     return Metastable(assigned(rows, "slow", centres).withColumn("macro", named), slow, centres, macro, scores)
