@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from motley.functions.columns import dihedral, finite, mismatches
 from motley.operators.distributions import edge_divergences, joints, marginals, pooled, pooled_joints, site_divergences, weighted_mean
-from motley.operators.frames import assigned, nearest_rows
+from motley.operators.frames import assigned
+from motley.operators.neighbours import nearest_rows
 from motley.operators.ordered import deviation, quantiles
 
 
@@ -129,7 +130,7 @@ def ranked_first(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def nearest_cdfs(a: DataFrame, b: DataFrame, sites: int) -> DataFrame:
     """direction, bin, cdf of the distance of each frame to the nearest frame of the other set, both ways."""
-    one = lambda x, y, name: nearest_rows(x.withColumn("block", F.lit(0)), y.withColumn("block", F.lit(0)), "block").select(F.lit(name).alias("direction"), "distance")
+    one = lambda x, y, name: nearest_rows(x, y).select(F.lit(name).alias("direction"), "distance")
     counts = one(a, b, "a_to_b").unionByName(one(b, a, "b_to_a")).groupBy("direction", "distance").agg(F.count(F.lit(1)).alias("n"))
     per = counts.groupBy("direction").agg(F.collect_list(F.struct("distance", "n")).alias("_c"), F.sum("n").alias("_n"))  # a row per distance: the sites and one
     out = per.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(sites))))

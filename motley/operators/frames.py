@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.functions.columns import finite, mismatches
+from motley.functions.columns import finite
 from motley.operators.ordered import placed
 
 
@@ -140,62 +138,6 @@ def latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, block: str, most: int = 4096) -> DataFrame:
-    """left's frame_id with the fewest mismatches to a row of `right` in its block.
-
-    Label vectors that occur in a block are compared once each, in arrays of about `most` of them, and the distances joined back;
-    a block of more is several arrays, so none grows with the rows.
-    """
-    refs = right.select(block, "labels").distinct()
-    chunks = refs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_chunks"))  # a row per block
-    dealt = refs.join(chunks, block).withColumn("_chunk", F.pmod(F.xxhash64("labels"), F.col("_chunks")).cast("int"))
-    arrays = dealt.groupBy(block, "_chunk").agg(F.collect_list("labels").alias("_refs"))
-    asked = left.select(block, "labels").distinct().join(chunks, block).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    near = F.array_min(F.transform("_refs", lambda r: mismatches(F.col("labels"), r)))
-    found = asked.join(arrays, [block, "_chunk"]).groupBy(F.col(block).alias("_block"), F.col("labels").alias("_labels")).agg(F.min(near).alias("distance"))
-    return left.join(found, (F.col(block) == F.col("_block")) & F.col("labels").eqNullSafe(F.col("_labels"))).select(block, "frame_id", "distance")
-
-
-def nearest_values(queries: DataFrame, references: DataFrame, block: str, value: str, id_column: str, label: str, k: int, slots: int = 32) -> DataFrame:
-    """block, value, id, label, distance: for every value of `queries` its k nearest `references` of the block below and its k nearest
-    at or above it, ties to the smaller id; so the k nearest of both are among them (J10). Null values have none.
-
-    Values are cut into ranges; a range sees its own references and the k nearest of the ranges on either side.
-    """
-    cuts = F.array(*[F.lit(c) for c in sorted(set(references.approxQuantile(value, [i / slots for i in range(slots)], 0.1 / slots)))[1:]] or [F.lit(float("inf"))])
-    slot = F.size(F.filter(cuts, lambda c: c <= F.col(value))).alias("_slot")
-    same = Window.partitionBy(block, value).orderBy(id_column)
-    refs = references.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).select(block, slot, value, id_column, label)
-    wanted = queries.where(F.col(value).isNotNull()).select(block, value).distinct().select(block, slot, value)
-    targets = wanted.select(F.col(block).alias("_block"), F.col("_slot").alias("_to")).distinct()
-
-    def beyond(order: list, side: Column) -> DataFrame:
-        first = lambda df, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k)
-        edge = first(refs, [block, "_slot"]).drop("_r")
-        sent = edge.join(targets, (F.col(block) == F.col("_block")) & side)
-        return first(sent, [block, "_to"]).select(block, F.col("_to").alias("_slot"), value, id_column, label)
-
-    below = beyond([F.desc(value), F.asc(id_column)], F.col("_slot") < F.col("_to"))
-    above = beyond([F.asc(value), F.asc(id_column)], F.col("_slot") > F.col("_to"))
-    seen = refs.unionByName(below).unionByName(above).toDF("_b", "_s", "_v", "_id", "_label")
-
-    def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        x, n = q[value].to_numpy(), len(r)
-        up = r.sort_values(["_v", "_id"])
-        down = r.sort_values(["_v", "_id"], ascending=[True, False])
-        at = np.searchsorted(up["_v"].to_numpy(), x, side="left")[:, None]
-        out = []
-        for rows, place in ((down, at - np.arange(1, k + 1)), (up, at + np.arange(k))):
-            i, j = np.nonzero((place >= 0) & (place < n))
-            hit = rows.iloc[place[i, j]]
-            out.append(pd.DataFrame({block: q[block].to_numpy()[i], value: x[i], "id": hit["_id"].to_numpy(), "label": hit["_label"].to_numpy(), "distance": np.abs(x[i] - hit["_v"].to_numpy())}))
-        return pd.concat(out)
-
-    kind = {c: references.schema[c].dataType.simpleString() for c in (block, value, id_column, label)}
-    grouped = wanted.groupBy(block, "_slot").cogroup(seen.groupBy("_b", "_s"))
-    return grouped.applyInPandas(nearest, f"`{block}` {kind[block]}, `{value}` {kind[value]}, id {kind[id_column]}, label {kind[label]}, distance double")
-
-
 def vote(neighbours: DataFrame, key: str, k: int) -> DataFrame:
     """The commonest label of each key's k nearest rows, ties to the smallest label (J10). `neighbours`: key, distance, label, id."""
     near = neighbours.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("distance", "id"))).where(F.col("_r") <= k)

@@ -18,20 +18,13 @@ from pyspark.sql import functions as F
 
 from motley.operators.clustering import silhouette
 from motley.operators.ordered import placed
-from motley.sources.tables import scratch
+from motley.sources.tables import kept
 
 #: Directions with under this share of the greatest variance do not count.
 RANK = 1e-10
 SUMS, HEAD, TAIL = range(3)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sound(values: str) -> Column:
     """Whether an array is there and all of it is finite."""
     return F.col(values).isNotNull() & (F.size(values) > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))

@@ -10,6 +10,7 @@ from motley.functions.columns import rounded
 from motley.operators import distributions as D
 from motley.operators import frames as Fr
 from motley.operators import models as M
+from motley.operators import neighbours as Nb
 from motley.operators import ordered as O
 from motley.plans.registry import WITH, js_sql, query
 from motley.sources.tables import EDGES, SIZES, lineitem_frames, only_sources, sliced, table
@@ -250,21 +251,41 @@ SELECT 0 AS block, frame_id, CAST(d AS INTEGER) AS distance FROM wide JOIN near
 
 
 @query("j10_knn_vote", J10)
-@query("j10_knn_vote_all", J10)
 def j10(spark: SparkSession, d: str) -> DataFrame:
     """The vote of each vector's ten nearest others, over all vectors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("label") % 2).alias("block"))
-    near = Fr.nearest_values(e, e, "block", "x", "vec_id", "label", 11)
+    near = Nb.nearest_values(e, e, "block", "x", "vec_id", "label", 11)
     others = e.select(F.col("vec_id").alias("key"), "block", "x").join(near, ["block", "x"]).where("key != id")
     return Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
 
 
 @query("j11_nearest_hamming", J11)
-@query("j11_nearest_hamming_all", J11)
 def j11(spark: SparkSession, d: str) -> DataFrame:
     """Frames of odd orders against those of even orders: every frame takes part."""
     frames = lineitem_frames(spark, d).withColumn("order", F.floor(F.col("frame_id") / 8)).withColumn("block", F.lit(0))
-    return Fr.nearest_rows(frames.where("order % 2 = 1"), frames.where("order % 2 = 0"), "block")
+    return Nb.nearest_rows(frames.where("order % 2 = 1"), frames.where("order % 2 = 0"), "block")
+
+
+@query("j10_knn_vote_all", """WITH e AS (SELECT vec_id, label, CAST(i AS INTEGER) AS component, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) t(i)),
+n AS (SELECT q.vec_id AS key, q.component, r.label, row_number() OVER (PARTITION BY q.vec_id, q.component ORDER BY abs(q.x - r.x), r.vec_id) AS rn FROM e q JOIN e r ON q.component = r.component AND q.vec_id <> r.vec_id),
+c AS (SELECT key, component, label, count(*) AS n FROM n WHERE rn <= 10 GROUP BY ALL)
+SELECT component, CAST(label AS INTEGER) AS label, count(*) AS votes FROM (SELECT component, label, row_number() OVER (PARTITION BY key, component ORDER BY n DESC, label) AS o FROM c) WHERE o = 1 GROUP BY ALL""")
+def j10_all(spark: SparkSession, d: str) -> DataFrame:
+    """In each of the 64 components the vote of each vector's ten nearest others, and how often it falls on each label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("component", "x")).withColumn("x", F.col("x").cast("double"))
+    near = Nb.nearest_values(e, e, "component", "x", "vec_id", "label", 11)
+    others = e.select(F.struct("vec_id", "component").alias("key"), F.col("vec_id").alias("own"), "component", "x").join(near, ["component", "x"]).where("own != id")
+    votes = Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
+    return votes.groupBy(F.col("key.component").alias("component"), "label").agg(F.count(F.lit(1)).alias("votes"))
+
+
+@query("j11_nearest_hamming_all", """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 2 WHEN x < -0.05 THEN 0 ELSE 1 END) AS v FROM embeddings)
+SELECT a.vec_id AS frame_id, CAST(min(list_sum(list_transform(list_zip(a.v, b.v), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))) AS INTEGER) AS distance FROM s a JOIN s b ON a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY a.vec_id""")
+def j11_all(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of 64 labels, one of three a component: odd ids against even ones."""
+    kind = lambda x: F.when(x > 0.05, 2).when(x < -0.05, 0).otherwise(1)
+    frames = table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.transform("embedding", kind).alias("labels"))
+    return Nb.nearest_rows(frames.where("frame_id % 2 = 1"), frames.where("frame_id % 2 = 0"))
 
 
 @query("j12_label_lookup", "SELECT d.doc_id, coalesce(l.toxic, -1) AS label FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -117,6 +117,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/motley-{uuid.uuid4().hex}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read again: later jobs do not recompute it, a lost executor costs only what it was writing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Rows as JSON records, some files."""
     df.write.mode("append").json(path)
