@@ -354,45 +354,88 @@ def entropy_score(df: DataFrame, keys: list[str], chance: str, label: str, eps:
     return sums.select(*keys, F.when((F.col("_y") > 0) & (F.col("_y") < 1), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - F.col("_ce")) / h))).alias("score"))
 
 
-def alignment(a: list[str], b: list[str], match: float = 2.0, mismatch: float = -1.0, first_gap: float = -2.0, next_gap: float = -0.1) -> list[tuple[int, int]]:
-    """Places of two sequences that a best global alignment puts side by side, gaps of n costing first_gap + (n - 1) next_gap. Of equal
-    ones, that which ends in a pair, then in a gap of the second."""
-    n, m = len(a), len(b)
-    worst = float("-inf")
-    score = np.full((3, n + 1, m + 1), worst)  # ends in a pair, in a gap of b, in a gap of a
-    score[0, 0, 0] = 0.0
-    score[1, 1:, 0] = first_gap + next_gap * np.arange(n)
-    score[2, 0, 1:] = first_gap + next_gap * np.arange(m)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[0, i, j] = score[:, i - 1, j - 1].max() + (match if a[i - 1] == b[j - 1] else mismatch)
-            score[1, i, j] = max(score[0, i - 1, j] + first_gap, score[2, i - 1, j] + first_gap, score[1, i - 1, j] + next_gap)
-            score[2, i, j] = max(score[0, i, j - 1] + first_gap, score[1, i, j - 1] + first_gap, score[2, i, j - 1] + next_gap)
-    i, j, out = n, m, []
-    kind = int(score[:, n, m].argmax())
-    while i or j:
-        now = score[kind, i, j]
-        if kind == 0:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-            kind = int(score[:, i, j].argmax())
-        else:
-            i, j = (i - 1, j) if kind == 1 else (i, j - 1)
-            cost = [next_gap if k == kind else first_gap for k in range(3)]
-            kind = int(np.argmin([abs(score[k, i, j] + cost[k] - now) if score[k, i, j] > worst else np.inf for k in range(3)])) if i or j else 0
-    return out[::-1]
+#: Cells of the tables of some pairs that are aligned together.
+CELLS = 1 << 24
+
+
+def alignments(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1.0, first_gap: float = -2.0, next_gap: float = -0.1) -> list[list[tuple[int, int]]]:
+    """For each row of a (pairs x n) and b (pairs x m) the places that a best global alignment puts side by side, gaps of k costing
+    first_gap + (k - 1) next_gap. Of equal ones, that which ends in a pair, then in a gap of the second.
+
+    All pairs move along the anti-diagonals of their tables together. What stays of a cell is a byte: from which of the three ends
+    (a pair, a gap of b, a gap of a) each of its own comes.
+    """
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
+    blank = np.full((3, pairs, n + 1), -np.inf)
+    before, last = blank, blank.copy()
+    last[0, :, 0] = 0.0
+    came, ends = np.zeros((n + m + 1, pairs, n + 1), np.uint8), np.full((pairs, 3), -np.inf)
+    if n + m == 0:
+        ends = last[:, :, 0].T
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        now = blank.copy()
+        inner = i[(i > 0) & (i < d)]
+        up, left = i[i > 0], i[i < d]
+        byte = np.zeros((pairs, n + 1), np.uint8)
+        for kind, at, source, cost in (
+            (0, inner, before[:, :, inner - 1], None),
+            (1, up, last[:, :, up - 1], (first_gap, next_gap, first_gap)),
+            (2, left, last[:, :, left], (first_gap, first_gap, next_gap)),
+        ):
+            if not len(at):
+                continue
+            gain = np.where(a[:, at - 1] == b[:, d - at - 1], match, mismatch)[None] if cost is None else np.array(cost)[:, None, None]
+            options = source + gain
+            best = options.argmax(axis=0)
+            now[kind][:, at] = np.take_along_axis(options, best[None], 0)[0]
+            byte[:, at] |= (best << 2 * kind).astype(np.uint8)
+        came[d] = byte
+        before, last = last, now
+        if d == n + m:
+            ends = last[:, :, n].T
+    out = []
+    for p in range(pairs):
+        i, j, kind, found = n, m, int(ends[p].argmax()), []
+        while i or j:
+            origin = int(came[i + j, p, i]) >> 2 * kind & 3
+            if kind == 0:
+                found.append((i - 1, j - 1))
+            i, j, kind = i - (kind != 2), j - (kind != 1), origin
+        out.append(found[::-1])
+    return out
+
+
+def alignment(a: list[str], b: list[str], **costs: float) -> list[tuple[int, int]]:
+    """The alignment of one pair of sequences."""
+    number = {x: i for i, x in enumerate({*a, *b})}
+    return alignments(*(np.array([[number[x] for x in s]], np.int64).reshape(1, len(s)) for s in (a, b)), **costs)[0]
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
     """pair, mobile_place, reference_place of residues of the same name that the alignment of a pair's sequences puts side by side.
 
-    `pairs`: pair, mobile, reference (arrays of names). Pairs are rows: each is aligned where it is, its own two sequences in memory.
+    `pairs`: pair, mobile, reference (arrays of names; null: empty). Pairs are rows: each is aligned where it is, with a byte for each
+    pair of places in memory, or CELLS bytes for some short pairs together.
     """
     kind = pairs.schema["pair"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, i, j) for p, a, b in zip(batch["pair"], batch["mobile"], batch["reference"], strict=True) for i, j in alignment(list(a), list(b)) if a[i] == b[j]]
+            number: dict[str, int] = {}
+            of = lambda x: [number.setdefault(v, len(number)) for v in (x if x is not None else ())]
+            same: dict[tuple[int, int], list[tuple]] = {}
+            for p, x, y in zip(batch["pair"], batch["mobile"], batch["reference"], strict=True):
+                a, b = of(x), of(y)
+                same.setdefault((len(a), len(b)), []).append((p, a, b))
+            rows = []
+            for (n, m), own in same.items():  # pairs of equal lengths together, as far as their tables are small
+                together = max(1, CELLS // ((n + m + 1) * (n + 1)))
+                for k in range(0, len(own), together):
+                    part = own[k : k + together]
+                    a, b = (np.array([r[c] for r in part], np.int64).reshape(len(part), size) for c, size in ((1, n), (2, m)))
+                    for (p, *_), found, x, y in zip(part, alignments(a, b), a, b, strict=True):
+                        rows += [(p, i, j) for i, j in found if x[i] == y[j]]
             yield pd.DataFrame(rows, columns=["pair", "mobile_place", "reference_place"])
 
     return pairs.where("mobile is not null and reference is not null").select("pair", "mobile", "reference").mapInPandas(run, f"pair {kind}, mobile_place int, reference_place int")

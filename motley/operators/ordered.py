@@ -11,20 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.columns import interpolated
+from motley.sources.tables import kept
 
 
 def running(df: DataFrame, keys: list[str], value: str, ties: list[str], weights: dict[str, Column]) -> DataFrame:
     """df with, for each weight, `name`: its sum over the rows of the key that come before by value and ties, and `name_all`: over all.
 
-    Values are cut into as many ranges as there are shuffle partitions; sums of the ranges, a row a key and range, are added to those
-    within a range. Null values come last. Only the cut points reach the driver.
+    The order is cut into as many ranges as there are shuffle partitions; sums of the ranges, a row a key and range, are added to those
+    within a range. Null values come last. With ties the ranges are of value and ties, so equal values of most of the rows are many
+    tasks, and the rows are written once with their range; without, they are of the value, and only cut points reach the driver.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.col(value).cast("double")
-    cuts = sorted({float(x) for x in df.select(number.alias("_x")).where("_x is not null and not isnan(_x)").approxQuantile("_x", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
-    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slot", handleInvalid="keep")
-    rows = cut.transform(df.withColumn("_x", F.coalesce(number, F.lit(float("nan"))))).drop("_x")
-    rows = rows.withColumns({f"_w{i}": w for i, w in enumerate(weights.values())})
+    rows = df.withColumns({f"_w{i}": w for i, w in enumerate(weights.values())})
+    if ties:
+        rows = kept(rows.repartitionByRange(n, F.col(value).asc_nulls_last(), *ties).withColumn("_slot", F.spark_partition_id()), "order")
+    else:
+        number = F.col(value).cast("double")
+        cuts = sorted({float(x) for x in df.select(number.alias("_x")).where("_x is not null and not isnan(_x)").approxQuantile("_x", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
+        cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slot", handleInvalid="keep")
+        rows = cut.transform(rows.withColumn("_x", F.coalesce(number, F.lit(float("nan"))))).drop("_x")
     names = list(weights)
     sums = rows.groupBy(*keys, "_slot").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

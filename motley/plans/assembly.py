@@ -474,8 +474,9 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j7_aligned_residues")
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents' first words as residue names, aligned: places of the one beside places of the other."""
-    names = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 30)
-    docs = table(spark, d, "documents").select("doc_id", F.transform(names, lambda w: F.upper(F.substring(w, 1, 1))).alias("residues"))
-    pairs = docs.select(F.col("doc_id").alias("pair"), F.col("residues").alias("mobile")).join(docs.select((F.col("doc_id") - 1).alias("pair"), F.col("residues").alias("reference")), "pair")
+    """Each conversation beside the next one: turns as residues, named by their role and first letter, aligned over all turns."""
+    name = F.upper(F.concat(F.substring("role", 1, 1), F.substring(F.coalesce("text", F.lit("")), 1, 1)))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("name")))).alias("turns"))
+    rows = turns.select("conv_id", F.col("turns.name").alias("residues"))
+    pairs = rows.select(F.col("conv_id").alias("pair"), F.col("residues").alias("mobile")).join(rows.select((F.col("conv_id") - 1).alias("pair"), F.col("residues").alias("reference")), "pair")
     return A.aligned(pairs)

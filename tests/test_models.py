@@ -251,6 +251,13 @@ def test_alignment():
         assert abs(total - brute_alignment(a, b)) < 1e-9, (a, b, pairs)
 
 
+def test_alignments_of_a_table(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [str(x) for x in rng.integers(0, 3, rng.integers(0, 5))], [str(x) for x in rng.integers(0, 3, rng.integers(0, 5))]) for i in range(80)] + [(80, None, ["1"])]
+    got = {(r[0], r[1], r[2]) for r in Asm.aligned(spark.createDataFrame(rows, "pair int, mobile array<string>, reference array<string>")).collect()}
+    assert got == {(p, i, j) for p, a, b in rows for i, j in Asm.alignment(a or [], b) if (a or [])[i] == b[j]}
+
+
 def test_assembled_rows(spark):
     rows = [("p", 1, [0, 2], None, 30), ("p", 2, [1, 0], None, 31), ("q", 1, [2, 2], "s9", 40)]
     frames = spark.createDataFrame(rows, "sample_id string, frame_id long, labels array<int>, frame_state_id string, frame_index long")
