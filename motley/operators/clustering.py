@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.operators.frames import evenly_spread
-from motley.operators.ordered import auc
+from motley.operators.ordered import auc, placed
+from motley.sources.tables import kept
 
 TURN = 2 * np.pi
 
@@ -295,6 +296,20 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray
     return mean, std, w
 
 
+def stratified_folds(rows: DataFrame, keys: list[str], label: str, order: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """rows with fold: rows of each key and class dealt in turn, in the order of a hash of `order`, so a class has as many rows in each fold,
+    or one more (E15). A key has `folds` of them, or as many as its smallest class has rows, two at least; a single class counts alone.
+
+    The turn is a place in an order dealt by ranges, so a key with most of the rows is many tasks. Nulls in `order` come last.
+    """
+    sizes = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n")).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.greatest(F.lit(2), F.least(F.lit(folds), F.min("_n"))).cast("int").alias("_folds"))
+    turn = placed(rows.withColumn("_hash", F.xxhash64(F.lit(seed), order)), [*keys, label], "_hash", [order])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return turn.join(F.broadcast(sizes), on).select(*rows.columns, F.pmod("place", "_folds").cast("int").alias("fold"))  # sizes: a row per key
+
+
 def state_sensitivity(angles: DataFrame, active: str, folds: int = 5, most: int = 5000, circular: bool = False) -> DataFrame:
     """site, n, dimension, score (N1, E15, M14): how well each site's angles tell rows with `active` = 1 from the rest. Best first; no
     score counts 0.
@@ -304,14 +319,14 @@ def state_sensitivity(angles: DataFrame, active: str, folds: int = 5, most: int
     frame, so results do not vary; a site with a class of under two rows has no score.
     """
     values = F.concat(F.transform("angles", F.cos), F.transform("angles", F.sin)) if circular else F.col("angles")
-    fold = F.pmod(F.crc32(F.col("frame_index").cast("string").cast("binary")), F.lit(folds)).cast("int")
-    rows = angles.select("site", "frame_index", values.alias("angles"), F.col(active).cast("int").alias("y"), fold.alias("fold"))
+    plain = angles.select("site", "frame_index", values.alias("angles"), F.col(active).cast("int").alias("y"))
+    rows = kept(stratified_folds(plain, ["site"], "y", "frame_index", folds), "folds")
     kind = angles.schema["site"].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.array(pdf["angles"].tolist(), float), pdf["y"].to_numpy()
         out = []
-        for f in range(folds):
+        for f in sorted(set(pdf["fold"])):
             train = (pdf["fold"] != f).to_numpy()
             if 0 < y[train].sum() < train.sum():
                 mean, std, w = logistic(x[train], y[train])

@@ -233,6 +233,15 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.density_peaks(x)[0])
 
 
+@query("e15_stratified_folds", """WITH c AS (SELECT CAST(s AS INTEGER) AS site, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, count(*) AS n FROM embeddings, range(16) t(s) GROUP BY ALL),
+k AS (SELECT site, greatest(2, least(5, min(n))) AS k FROM c GROUP BY site)
+SELECT c.site, c.y, CAST(f AS INTEGER) AS fold, CAST((n - f + k - 1) // k AS BIGINT) AS n FROM c JOIN k USING (site), range(5) t(f) WHERE f < k AND (n - f + k - 1) // k > 0""")
+def e15(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each class a fold has: as many as any other, or one more."""
+    angles = embedding_angles(spark, d).select("site", "frame_index", (F.col("state_id") == 0).cast("int").alias("y"))
+    return Cl.stratified_folds(angles, ["site"], "y", "frame_index").groupBy("site", "y", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("n1_state_sensitivity")
 def n1(spark: SparkSession, d: str) -> DataFrame:
     angles = embedding_angles(spark, d).withColumn("active", (F.col("state_id") == 0).cast("int"))

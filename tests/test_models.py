@@ -214,6 +214,21 @@ def test_sensitivity_ranks_sites(spark):
     assert all(r["score"] is None for r in Cl.state_sensitivity(df.withColumn("y", (F.col("frame_index") == 5).cast("int")), "y").collect())
 
 
+def test_folds_of_a_small_class(spark):
+    rows = [("a", i, int(i < 3)) for i in range(50)] + [("b", i, 0) for i in range(7)] + [("c", 0, 1), ("c", 1, 0), (None, 0, 0), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, y int").repartition(4)
+    got = Cl.stratified_folds(df, ["k"], "y", "t", 5).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["k"], r["y"]), {}).setdefault(r["fold"], 0)
+        sizes[r["k"], r["y"]][r["fold"]] += 1
+    assert sorted(sizes["a", 0].values()) == [15, 16, 16] and sizes["a", 1] == {0: 1, 1: 1, 2: 1}
+    assert sorted(sizes["b", 0].values()) == [1, 1, 1, 2, 2] and sizes["c", 1] == {0: 1} and sizes[None, 1] == {0: 1}
+    again = Cl.stratified_folds(df.repartition(1), ["k"], "y", "t", 5)
+    assert {(r["k"], r["t"]): r["fold"] for r in again.collect()} == {(r["k"], r["t"]): r["fold"] for r in got}
+
+
 def test_number_of_states_by_silhouette(spark):
     rng = np.random.default_rng(12)
     rows = [(m, [float(x) for x in np.array([m // 4 * 5.0, m % 4 * 0.2]) + rng.normal(size=2) * 0.01]) for m in range(12) for _ in range(5)]
