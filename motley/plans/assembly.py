@@ -16,6 +16,8 @@ from motley.operators import ordered as O
 from motley.plans.analyses import DELTA, _sides, commitment, preferences
 from motley.plans.queries import D_EDGE, NODE_JS, PMI, POOLED, PREF_EDGE, PREF_NODE, SIDES
 from motley.plans.registry import WITH, js_sql, query
+from motley.sources import tables as T
+from motley.sources import versions as V
 from motley.sources.tables import EDGES, SIZES, embedding_angles, lineitem_frames, table
 
 
@@ -250,6 +252,28 @@ def n7_upsert(spark: SparkSession, d: str) -> DataFrame:
     return A.upserted(first, second, ["sample_id"]).select("sample_id").distinct()
 
 
+@query("n7_upserted_rows", f"SELECT * FROM ({_delta_js_sql('SELECT (r, s) FROM edge', 4)}) WHERE sample_id IN (1995, 1996, 1997, 1998)")
+def n7_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A stored analysis of two samples, upserted with one of three: rows of the shared sample are those of the second."""
+    frames, path = lineitem_frames(spark, d), T.scratch(spark, "delta")
+    edges = A.edges_of("all_vs_all", 5)
+    old = A.delta_js(frames, SIDES, SIZES, edges, 4, samples=[1995, 1996])[0]
+    V.upsert(old.withColumn("mixed", F.when(F.col("sample_id") == 1996, -1.0).otherwise(F.col("mixed"))), path, ["sample_id", "side"])
+    V.upsert(A.delta_js(frames, SIDES, SIZES, edges, 4, samples=[1996, 1997, 1998])[0], path, ["sample_id", "side"])
+    return V.read(spark, path).select("sample_id", "side", *[rounded(F.col(c), 5).alias(c) for c in ("node", "edge", "mixed")])
+
+
+@query("n6_upserted_rows", DELTA + "SELECT sample_id, CAST(long.site AS INTEGER) AS site, round(avg(CASE WHEN dh.value < 0 THEN 1.0 ELSE 0.0 END), 6) AS q FROM long JOIN dh ON dh.site = long.site AND dh.k = long.label WHERE sample_id IN (1994, 1995, 1996) GROUP BY sample_id, long.site")
+def n6_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Commitments of two samples stored with an older result, upserted by a run over two samples."""
+    frames, a, b = _sides(spark, d)
+    of = lambda ids: commitment(frames.where(F.col("sample_id").isin(ids)), M.blended(a, b, 1.0, -1.0, shared_only=True))
+    path = T.scratch(spark, "commitment")
+    V.upsert(of([1994, 1995]).withColumn("q", F.when(F.col("sample_id") == 1995, -1.0).otherwise(F.col("q"))), path, ["sample_id", "site"])
+    V.upsert(of([1995, 1996]), path, ["sample_id", "site"])
+    return V.read(spark, path).select("sample_id", "site", rounded(F.col("q")).alias("q"))
+
+
 @query("n2_distances", WITH + f"SELECT a AS reference, b AS sample, round(n.js, 6) + 0 AS node, round(e.js, 6) + 0 AS edge, round(n.js + e.js, 6) + 0 AS distance FROM (SELECT a, b, avg(js) AS js FROM ({NODE_JS}) GROUP BY ALL) n JOIN (SELECT a, b, avg(js) AS js FROM ({js_sql('SELECT x.sample_id AS a, y.sample_id AS b, x.r, x.s, x.p, y.p AS q FROM joint x JOIN joint y ON x.sample_id < y.sample_id AND x.r = y.r AND x.s = y.s AND x.k = y.k AND x.l = y.l', 'a, b, r, s')}) GROUP BY ALL) e USING (a, b) WHERE a IN (1992, 1993) AND b IN (1995, 1996, 1998)")
 def n2d(spark: SparkSession, d: str) -> DataFrame:
     from motley.plans.analyses import compared_samples

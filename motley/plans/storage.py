@@ -18,7 +18,9 @@ from motley.plans.analyses import cross_likelihood
 from motley.plans.queries import EDGE_JS, GAUGE, NODE_JS, PMI, POOLED, SIDES
 from motley.plans.registry import SQL, WITH, query
 from motley.sources import tables as T
+from motley.sources import versions as V
 from motley.sources.tables import EDGES, SIZES, embedding_angles, lineitem_frames, table
+from motley.streaming.incremental import counted_into
 
 
 @query("s3_descriptors_stored", "SELECT label AS state_id, vec_id AS frame_index, CAST(s AS INTEGER) AS site FROM embeddings, range(16) t(s) WHERE s <> 3")
@@ -56,6 +58,27 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return new.join(spark.read.parquet(f"{path}/version=a").withColumnRenamed("status", "before"), "o_orderkey")
 
 
+@query("s7_manifest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey % 3 = 0")
+def s7_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Two appended batches, one of them committed twice, and an upsert that replaces a third of the rows and adds as many."""
+    path, orders = T.scratch(spark, "orders"), table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    for batch in (0, 1, 1):
+        V.append(orders.where(F.col("o_orderkey") % 2 == batch), path, f"batch-{batch}")
+    changed = orders.where("o_orderkey % 3 = 0")
+    V.upsert(changed.withColumn("status", F.lit("X")).unionByName(changed.select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status"))), path, ["o_orderkey"])
+    return V.read(spark, path)
+
+
+@query("t2_counted_batches", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of events counted into one table, the second one given twice."""
+    path = T.scratch(spark, "counts")
+    sink = counted_into(path, ["event_type"])
+    for number in (0, 1, 1, 2):
+        sink(table(spark, d, "events").where(F.col("event_id") % 3 == number), number)
+    return V.read(spark, path)
+
+
 RECORDS = "record_id string, analysis_type string, created_at string, refs array<string>"
 
 
