@@ -11,12 +11,17 @@ import math
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motley.operators.distributions import joints, marginals
 
 FIT_EPS = 1e-8
+#: Of a model that goes to every task.
+MODEL_BYTES = 256 << 20
+#: Numbers looked up at once.
+CELLS = 1 << 21
 
 
 class Model(NamedTuple):
@@ -51,13 +56,36 @@ def tables(spark, model: Arrays) -> Model:
 
 
 def energy(labels: Column, model: Arrays) -> Column:
-    """h and J of a frame's labels, summed (E1, J2); null if a label is missing."""
-    h = F.from_json(F.lit(json.dumps([x.tolist() for x in model.h])), "array<array<double>>")
-    own = F.aggregate(F.zip_with(labels, h, lambda x, v: v[x]), F.lit(0.0), lambda s, x: s + x)
-    if not model.j:
-        return own
-    j = F.from_json(F.lit(json.dumps([{"r": r, "s": s, "v": v.tolist()} for (r, s), v in model.j.items()])), "array<struct<r:int,s:int,v:array<array<double>>>>")
-    return own + F.aggregate(j, F.lit(0.0), lambda total, e: total + e["v"][labels[e["r"]]][labels[e["s"]]])
+    """h and J of a frame's labels, summed (E1, J2); null where the labels are not as many as the sites, or one is missing or out of range.
+
+    The numbers go to the tasks packed in two vectors; a model of more than MODEL_BYTES is an error. A task adds up the edges of some
+    rows at a time.
+    """
+    sizes = np.array([len(x) for x in model.h], np.int64)
+    fields, starts = np.concatenate([*model.h, np.zeros(0)]), np.cumsum(sizes) - sizes
+    left, right = (np.array([e[c] for e in model.j], np.int64) for c in (0, 1))
+    couplings = np.concatenate([*(v.ravel() for v in model.j.values()), np.zeros(0)])
+    width = np.array([v.shape[1] for v in model.j.values()], np.int64)
+    cells = np.array([v.size for v in model.j.values()], np.int64)
+    begin = np.cumsum(cells) - cells
+    if fields.nbytes + couplings.nbytes > MODEL_BYTES:
+        raise ValueError(f"a model of {fields.nbytes + couplings.nbytes} bytes, {MODEL_BYTES} at most")
+
+    @F.pandas_udf("double")
+    def total(x: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        whole = np.flatnonzero([v is not None and len(v) == len(sizes) for v in x])
+        if len(whole):
+            found = np.array([x.iloc[i] for i in whole], float).reshape(len(whole), len(sizes))
+            sound = ((found >= 0) & (found < sizes)).all(axis=1)  # a missing label is not a number
+            whole, found = whole[sound], found[sound].astype(np.int64)
+        step = max(1, CELLS // max(1, len(left)))
+        for i in range(0, len(whole), step):
+            z = found[i : i + step]
+            out[whole[i : i + step]] = fields[starts + z].sum(axis=1) + couplings[begin + z[:, left] * width + z[:, right]].sum(axis=1)
+        return pd.Series(out)
+
+    return total(labels)
 
 
 def zero_sum(model: Model) -> Model:

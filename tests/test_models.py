@@ -229,6 +229,21 @@ def test_folds_of_a_small_class(spark):
     assert {(r["k"], r["t"]): r["fold"] for r in again.collect()} == {(r["k"], r["t"]): r["fold"] for r in got}
 
 
+def test_energies_of_a_large_model(spark):
+    rng = np.random.default_rng(8)
+    h = [rng.normal(size=rng.integers(2, 11)) for _ in range(300)]
+    edges = sorted({tuple(sorted(rng.choice(300, 2, replace=False).tolist())) for _ in range(5200)})[:5000]
+    model = M.Arrays(h, {(r, s): rng.normal(size=(len(h[r]), len(h[s]))) for r, s in edges})
+    frames = [[int(rng.integers(0, len(x))) for x in h] for _ in range(150)]
+    want = [sum(x[k] for x, k in zip(h, f, strict=True)) + sum(v[f[r], f[s]] for (r, s), v in model.j.items()) for f in frames]
+    odd = [None, [], frames[0][:-1], [None, *frames[0][1:]], [99, *frames[0][1:]], [-1, *frames[0][1:]]]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames + odd)], "i int, labels array<int>").repartition(3)
+    got = {r["i"]: r["e"] for r in df.select("i", M.energy(F.col("labels"), model).alias("e")).collect()}
+    assert np.allclose([got[i] for i in range(150)], want) and all(got[150 + i] is None for i in range(len(odd)))
+    alone = df.select(M.energy(F.col("labels"), M.Arrays(h, {})).alias("e")).where("e is not null")
+    assert alone.count() == 150
+
+
 def test_number_of_states_by_silhouette(spark):
     rng = np.random.default_rng(12)
     rows = [(m, [float(x) for x in np.array([m // 4 * 5.0, m % 4 * 0.2]) + rng.normal(size=2) * 0.01]) for m in range(12) for _ in range(5)]
