@@ -1,14 +1,14 @@
 """Pseudolikelihood fits of pairwise models.
 
 The objective is a sum over frames, so Spark counts equal frames first: what a step reads is a row per different frame
-with its count, kept in executors' storage over the steps. Each step is a job in which every partition sums its part of the
+with its count, written once. Each step is a job in which every partition sums its part of the
 gradient; only sums, a number per parameter, travel.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motley.operators.models import Arrays
+from motley.sources.tables import kept
 
 
 class Settings(NamedTuple):
@@ -78,7 +79,7 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
 
 
 def _objective(counted: DataFrame, layout: Layout):
-    """(frames, objective of the parameters). `counted` is read at every step; a lost part of it is counted again."""
+    """(frames, objective of the parameters). `counted`, a stored table, is read at every step."""
     total = counted.agg(F.sum("n")).first()[0]
 
     def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
@@ -115,11 +116,11 @@ def fit(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], setti
     """
     layout = Layout(sizes, edges)
     frozen = layout.pack(base) if base else 0.0
-    counted = distinct_frames(frames).persist()
+    counted = kept(distinct_frames(frames), "counted")
     total, objective = _objective(counted, layout)
     if not total:
         raise ValueError("no frames to fit")
-    other = distinct_frames(validation).persist() if validation is not None else None
+    other = kept(distinct_frames(validation), "held") if validation is not None else None
     held = _objective(other, layout) if other is not None else None
     theta = np.zeros(sum(sizes) + sum(sizes[r] * sizes[s] for r, s in edges))
     m, v, best, losses = np.zeros_like(theta), np.zeros_like(theta), (math.inf, theta), []
@@ -137,12 +138,82 @@ def fit(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], setti
         shrink = lambda x, by: x * max(0.0, 1 - by / max(float(np.linalg.norm(x)), 1e-12))
         model = Arrays([shrink(x, rate * settings.field) for x in model.h], {e: shrink(x, rate * settings.block) for e, x in model.j.items()})
         theta = layout.pack(centred(model))
-    for df in (counted, other):
-        if df is not None:
-            df.unpersist()
     return layout.unpack(best[1]), losses
 
 
+def minimised(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, tolerance: float, most: int, memory: int = 10) -> tuple[np.ndarray, list[float]]:
+    """Where a smooth convex function is least, and its values on the way, by limited-memory quasi-Newton steps; ends once no part of the
+    gradient exceeds `tolerance`. A run of `most` evaluations that does not get there is an error."""
+    value, grad = objective(theta)
+    values, pairs = [value], []
+    while np.abs(grad).max(initial=0.0) > tolerance:
+        step, kept_ = grad.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ step) / (s @ y)
+            step -= a * y
+            kept_.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            step *= (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(kept_), strict=True):
+            step += s * (a - (y @ step) / (s @ y))
+        size = 1.0 if pairs else min(1.0, 1.0 / max(float(np.abs(grad).max()), 1e-12))
+        while True:
+            if len(values) >= most:
+                raise RuntimeError(f"no optimum in {most} evaluations; the gradient is at {np.abs(grad).max():.2g}")
+            tried = theta - size * step
+            new, slope = objective(tried)
+            values.append(new)
+            if new <= value - 1e-4 * size * float(grad @ step) + 1e-13 * abs(value):
+                break
+            size /= 2
+        s, y = tried - theta, slope - grad
+        if s @ y > 1e-18:
+            pairs = [*pairs, (s, y)][-memory:]
+        theta, value, grad = tried, new, slope
+    return theta, values
+
+
+def fit_optimum(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], l2: float = 1e-6, base: Arrays | None = None, tolerance: float = 1e-7, most: int = 200) -> tuple[Arrays, list[float]]:
+    """The model of the greatest pseudolikelihood less l2 times its squares, and the loss of each evaluation (E5); with `base`, what is to
+    be added to that frozen model (E8). In the zero-sum gauge.
+
+    Different frames are counted once and stored; an evaluation is a job over them, whose sums are of the size of the model. At
+    the optimum the share of each label is what the model expects of it, given the other sites, to within l2.
+    """
+    layout = Layout(sizes, edges)
+    frozen = layout.pack(base) if base else 0.0
+    total, objective = _objective(kept(distinct_frames(frames), "counted"), layout)
+    if not total:
+        raise ValueError("no frames to fit")
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = objective(frozen + theta)
+        return value / total + l2 * float(theta @ theta), grad / total + 2 * l2 * theta
+
+    theta, losses = minimised(loss, np.zeros(sum(sizes) + sum(sizes[r] * sizes[s] for r, s in edges)), tolerance, most)
+    return centred(layout.unpack(theta)), losses
+
+
+def expected_shares(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], model: Arrays) -> DataFrame:
+    """site, label, p: the mean over all frames of a label's chance given the frame's other sites."""
+    layout = Layout(sizes, edges)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, out, n = [np.zeros(k) for k in sizes], np.zeros(sum(sizes)), 0.0
+        for b in batches:
+            rows, counts = np.array(b["labels"].tolist(), int).reshape(len(b), len(sizes)), b["n"].to_numpy(float)
+            for i, k in enumerate(sizes):
+                seen[i] += np.bincount(rows[:, i], counts, k)
+            out -= loss_and_gradient(layout, layout.pack(model), rows, counts)[1][: sum(sizes)]  # its gradient: seen less expected
+            n += counts.sum()
+        flat = np.concatenate(seen) + out
+        yield pd.DataFrame({"site": np.repeat(np.arange(len(sizes)), sizes), "label": np.concatenate([np.arange(k) for k in sizes]), "v": flat, "n": n})
+
+    sums = distinct_frames(frames).mapInPandas(part, "site int, label int, v double, n double").groupBy("site", "label").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return sums.select("site", "label", (F.col("v") / F.col("n")).alias("p"))
+
+
 def in_validation(frame_id: Column, share: float, seed: int = 0) -> Column:
     """A split that does not depend on order (E13, T9): by the first 32 bits of a digest of seed and frame."""
     return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), frame_id.cast("string"))), 1, 8) < F.lit(f"{int(share * (1 << 32)):08x}")

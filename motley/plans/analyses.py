@@ -233,6 +233,24 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.density_peaks(x)[0])
 
 
+@query("e5_moment_conditions", WITH + "SELECT CAST(site AS INTEGER) AS site, label, round(avg(p), 4) + 0 AS p FROM (SELECT site, label, sum(n) / sum(sum(n)) OVER (PARTITION BY site) AS p FROM counts GROUP BY site, label) GROUP BY ALL")
+def e5_moments(spark: SparkSession, d: str) -> DataFrame:
+    """What the fitted model expects of each label, given the other sites: at its optimum the share that the frames have."""
+    frames = lineitem_frames(spark, d)
+    model, _ = Fi.fit_optimum(frames, SIZES, EDGES)
+    return Fi.expected_shares(frames, SIZES, EDGES, model).select("site", "label", rounded(F.col("p"), 4).alias("p"))
+
+
+@query("e8_moment_conditions", WITH + "SELECT CAST(site AS INTEGER) AS site, label, round(p, 4) + 0 AS p FROM (SELECT site, label, sum(n) / sum(sum(n)) OVER (PARTITION BY site) AS p FROM counts WHERE sample_id IN (" + ", ".join(map(str, SIDES["b"])) + ") GROUP BY site, label)")
+def e8_moments(spark: SparkSession, d: str) -> DataFrame:
+    """A model of one side, and what is to be added to it for the other side's frames: together they expect the other's shares."""
+    frames, a, _ = _sides(spark, d)
+    other, base = frames.where(F.col("sample_id").isin(SIDES["b"])), M.arrays(a)
+    delta, _ = Fi.fit_optimum(other, SIZES, EDGES, base=base)
+    whole = M.Arrays([x + y for x, y in zip(base.h, delta.h, strict=True)], {e: base.j[e] + delta.j[e] for e in EDGES})
+    return Fi.expected_shares(other, SIZES, EDGES, whole).select("site", "label", rounded(F.col("p"), 4).alias("p"))
+
+
 @query("e15_stratified_folds", """WITH c AS (SELECT CAST(s AS INTEGER) AS site, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, count(*) AS n FROM embeddings, range(16) t(s) GROUP BY ALL),
 k AS (SELECT site, greatest(2, least(5, min(n))) AS k FROM c GROUP BY site)
 SELECT c.site, c.y, CAST(f AS INTEGER) AS fold, CAST((n - f + k - 1) // k AS BIGINT) AS n FROM c JOIN k USING (site), range(5) t(f) WHERE f < k AND (n - f + k - 1) // k > 0""")

@@ -229,6 +229,28 @@ def test_folds_of_a_small_class(spark):
     assert {(r["k"], r["t"]): r["fold"] for r in again.collect()} == {(r["k"], r["t"]): r["fold"] for r in got}
 
 
+def test_optimum_of_the_pseudolikelihood(spark):
+    model = small_model((2, 3, 2))
+    sizes, edges = [2, 3, 2], [(0, 1), (0, 2), (1, 2)]
+    chances = M.exact_chances(model)
+    rows = [(list(x),) for x, p in chances.items() for _ in range(round(4000 * p))]
+    frames = spark.createDataFrame(rows, "labels array<int>").repartition(3)
+    got, losses = Fi.fit_optimum(frames, sizes, edges)
+    assert len(losses) < 60 and losses[-1] <= min(losses) + 1e-9
+    want = Fi.centred(model)
+    assert all(np.allclose(a, b, atol=0.1) for a, b in zip(got.h, want.h, strict=True)) and all(np.allclose(got.j[e], want.j[e], atol=0.1) for e in edges)
+    shares = {(r["site"], r["label"]): r["p"] for r in Fi.expected_shares(frames, sizes, edges, got).collect()}
+    for i, k in enumerate(sizes):
+        for v in range(k):
+            assert abs(shares[i, v] - np.mean([r[0][i] == v for r in rows])) < 1e-5
+    delta, _ = Fi.fit_optimum(frames, sizes, edges, base=got)
+    assert max(np.abs(x).max() for x in [*delta.h, *delta.j.values()]) < 1e-2
+    with pytest.raises(RuntimeError):
+        Fi.fit_optimum(frames, sizes, edges, most=2)
+    with pytest.raises(ValueError):
+        Fi.fit_optimum(frames.limit(0), sizes, edges)
+
+
 def test_energies_of_a_large_model(spark):
     rng = np.random.default_rng(8)
     h = [rng.normal(size=rng.integers(2, 11)) for _ in range(300)]
