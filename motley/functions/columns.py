@@ -70,16 +70,17 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def linspace(start: float, stop: float, n: int) -> Column:
-    step = (stop - start) / (n - 1) if n > 1 else 0.0
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(start) + i * F.lit(step))
+def linspace(start: Column | float, stop: Column | float, n: int) -> Column:
+    first = F.lit(start)
+    step = (F.lit(stop) - first) / (n - 1) if n > 1 else F.lit(0.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i * step)
 
 
-def ladder(low: float, high: float, n: int, geometric: bool = True) -> Column:
-    """n inverse temperatures from low to high."""
+def ladder(low: Column | float, high: Column | float, n: int, geometric: bool = True) -> Column:
+    """n inverse temperatures from low to high, numbers or columns of positive ones."""
     if not geometric or n == 1:
         return linspace(low, high, n)
-    return F.transform(linspace(0.0, 1.0, n), lambda x: F.lit(low) * F.pow(F.lit(high / low), x))
+    return F.transform(linspace(0.0, 1.0, n), lambda x: F.lit(low) * F.pow(F.lit(high) / F.lit(low), x))
 
 
 def one_hot(label: Column, k: Column) -> Column:

@@ -197,6 +197,13 @@ def edges_of(mode: str, n_sites: int, given: list[tuple[int, int]] | None = None
     raise ValueError(f"unknown edges: {mode}")
 
 
+def all_edges(frames: DataFrame, labels: str = "labels") -> DataFrame:
+    """r, s: all pairs of the sites that frames have labels of (J9). As many rows as pairs of sites, however many frames there are."""
+    sites = frames.agg(F.coalesce(F.max(F.size(labels)), F.lit(0)).alias("n")).where("n > 1")
+    left = sites.select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("r"))
+    return left.select(F.col("r").cast("int").alias("r"), F.explode(F.sequence(F.col("r") + 1, F.col("n") - 1)).alias("s"))
+
+
 def delta_js(frames: DataFrame, sides: dict[str, list], sizes: list[int], edges: list[tuple[int, int]], top_edges: int, alpha: float = 0.5, samples: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """How like each side's pooled reference every sample is (N7): (sample_id, side, node, edge, mixed), (site, d), (r, s, d, rank).
 

@@ -33,6 +33,14 @@ def split_draws(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
+def split_chains(runs: DataFrame, key: str, total: str, parts: int, seed: int, betas: list[float] | None = None) -> DataFrame:
+    """key, chain_index, seed, beta, draws: the draws of each run over `parts` chains, earlier ones one more (G8); with betas, so for each of
+    them, their seeds 10,000 apart (G9). Chains without draws have no row."""
+    chain = F.explode(F.array(*[F.struct(F.lit(b * parts + c).alias("chain_index"), F.lit(seed + 10_000 * b + c).cast("long").alias("seed"), F.lit(float(beta)).alias("beta"), F.lit(c).alias("_c")) for b, beta in enumerate(betas or [1.0]) for c in range(parts)]))
+    draws = F.floor(F.col(total) / parts) + (F.col("_c") < F.pmod(total, F.lit(parts))).cast("long")
+    return runs.select(key, total, chain.alias("_chain")).select(key, total, "_chain.*").select(key, "chain_index", "seed", "beta", draws.cast("long").alias("draws")).where("draws > 0")
+
+
 def uniform(seeds: np.ndarray, *at: int) -> np.ndarray:
     """A number in [0, 1) for each seed at a step: a hash, not a stream."""
     x = np.asarray(seeds).astype(np.uint64)

@@ -361,7 +361,7 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j9_all_edges", WITH + "SELECT CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s FROM edge")
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(A.edges_of("all_vs_all", 5), "r int, s int")
+    return A.all_edges(lineitem_frames(spark, d))
 
 
 ANGLES = "WITH a AS (SELECT label AS state_id, vec_id AS frame_index, CAST((i - 1) // 4 AS INTEGER) AS site, CAST((i - 1) % 4 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) * 2 * pi() AS y FROM embeddings, range(1, 65) t(i)), angle AS (SELECT state_id, frame_index, site, dim, y - floor(y / (2 * pi())) * 2 * pi() AS x FROM a)"

@@ -139,20 +139,36 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.finite(odd).alias("value"))
 
 
-@query("g2_ladder", "SELECT CAST(i AS INTEGER) AS i, round(0.1 * pow(50.0, i / 7), 6) AS geometric, round(0.1 + i * 4.9 / 7, 6) AS linear FROM range(8) t(i)")
+@query("g2_ladder", "SELECT s_suppkey, CAST(i AS INTEGER) AS i, round(0.1 * pow(high / 0.1, i / 7), 6) AS geometric, round(0.1 + i * (high - 0.1) / 7, 6) AS linear FROM (SELECT s_suppkey, 1 + abs(s_acctbal) / 1000 AS high FROM supplier), range(8) t(i)")
 def g2(spark: SparkSession, d: str) -> DataFrame:
-    both = F.arrays_zip(C.ladder(0.1, 5.0, 8).alias("g"), C.ladder(0.1, 5.0, 8, False).alias("l"))
-    return spark.range(1).select(F.posexplode(both).alias("i", "x")).select("i", rounded(F.col("x.g")).alias("geometric"), rounded(F.col("x.l")).alias("linear"))
+    """A ladder of eight for each supplier, up to a temperature that follows its balance."""
+    high = 1 + F.abs("s_acctbal") / 1000
+    both = F.arrays_zip(C.ladder(F.lit(0.1), high, 8).alias("g"), C.ladder(F.lit(0.1), high, 8, False).alias("l"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.posexplode(both).alias("i", "x"))
+    return rows.select("s_suppkey", "i", rounded(F.col("x.g")).alias("geometric"), rounded(F.col("x.l")).alias("linear"))
 
 
-@query("g8_chains", "SELECT CAST(i AS INTEGER) AS chain_index, CAST(11 + i AS BIGINT) AS seed, CAST(1.0 AS DOUBLE) AS beta FROM range(6) t(i)")
+RUNS = "(SELECT CAST(year(l_shipdate) AS BIGINT) AS sample_id, count(*) AS total FROM lineitem GROUP BY ALL)"
+
+
+@query("g8_chains", f"SELECT sample_id, CAST(c AS INTEGER) AS chain_index, CAST(11 + c AS BIGINT) AS seed, CAST(1.0 AS DOUBLE) AS beta, CAST(total // 7 + CASE WHEN c < total % 7 THEN 1 ELSE 0 END AS BIGINT) AS draws FROM {RUNS}, range(7) y(c) WHERE total // 7 + CASE WHEN c < total % 7 THEN 1 ELSE 0 END > 0")
 def g8(spark: SparkSession, d: str) -> DataFrame:
-    return G.chains(spark, 6, 11)
+    """As many draws as a sample has frames, over seven chains."""
+    return G.split_chains(lineitem_frames(spark, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("total")), "sample_id", "total", 7, 11)
 
 
-@query("g9_swept_chains", "SELECT CAST(3 * b + c AS INTEGER) AS chain_index, CAST(11 + 10000 * b + c AS BIGINT) AS seed, CAST(0.5 * (b + 1) AS DOUBLE) AS beta FROM range(4) x(b), range(3) y(c)")
+@query("g9_swept_chains", f"SELECT sample_id, CAST(3 * b + c AS INTEGER) AS chain_index, CAST(11 + 10000 * b + c AS BIGINT) AS seed, CAST(0.5 * (b + 1) AS DOUBLE) AS beta, CAST(total // 3 + CASE WHEN c < total % 3 THEN 1 ELSE 0 END AS BIGINT) AS draws FROM {RUNS}, range(4) x(b), range(3) y(c)")
 def g9(spark: SparkSession, d: str) -> DataFrame:
-    return G.chains(spark, 3, 11, [0.5, 1.0, 1.5, 2.0])
+    runs = lineitem_frames(spark, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"))
+    return G.split_chains(runs, "sample_id", "total", 3, 11, [0.5, 1.0, 1.5, 2.0])
+
+
+@query("c5_whole_clusters", "SELECT CAST(s AS INTEGER) AS site, count(*) AS n, count(*) AS labelled, true AS in_range FROM embeddings, range(16) t(s) GROUP BY ALL")
+def c5(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of every site fitted on a sample, then all rows labelled: none is without a label, and halo labels are those or none."""
+    found = Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.linkage_labels(x, 3))
+    sound = F.col("label").between(0, 2) & (F.col("label_halo").isNull() | (F.col("label_halo") == F.col("label")))
+    return found.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.bool_and(sound).alias("in_range"))
 
 
 @query("e7_added_models", PMI + "SELECT CAST(site AS INTEGER) AS site, k, round(2 * value, 5) + 0 AS value FROM h")
