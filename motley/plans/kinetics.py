@@ -50,7 +50,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("label", "vec_id", "embedding")
 
 
-@query("c9_slow_coordinates", f"SELECT CAST(i AS INTEGER) AS component, n, 0.0 AS mean, 1.0 AS variance, 0.0 AS gap FROM range(64) t(i), {PAIRS}")
+@query("c9_slow_coordinates", f"SELECT CAST(i AS INTEGER) AS component, n, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS variance, CAST(0 AS DOUBLE) AS gap FROM range(64) t(i), {PAIRS}")
 def c9_slow(spark: SparkSession, d: str) -> DataFrame:
     """All slow coordinates of the vectors of a label: over the pairs of rows that they are made of they have mean 0, variance 1
     and their eigenvalue as covariance, which windows over the projected rows must find."""
@@ -90,7 +90,7 @@ def _transitions(spark: SparkSession, d: str) -> DataFrame:
     return K.reversible(K.transition_counts(table(spark, d, "events"), ["user_id"], "event_id", "event_type", 3))
 
 
-@query("c12_reversible", f"{STEPS}, u AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM c UNION ALL SELECT b, a, 0 FROM c) GROUP BY ALL) SELECT a, b, CAST(n AS BIGINT) AS n, 0.0 AS flow_gap, 1.0 AS row_sum, 0.0 AS optimum_gap FROM u")
+@query("c12_reversible", f"{STEPS}, u AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM c UNION ALL SELECT b, a, 0 FROM c) GROUP BY ALL) SELECT a, b, CAST(n AS BIGINT) AS n, CAST(0 AS DOUBLE) AS flow_gap, CAST(1 AS DOUBLE) AS row_sum, CAST(0 AS DOUBLE) AS optimum_gap FROM u")
 def c12_reversible(spark: SparkSession, d: str) -> DataFrame:
     """Pairs and their counts, and what the likeliest reversible matrix must have: equal flows both ways, rows that sum to 1, and at
     the optimum (n_ab + n_ba) / x_ab = c_a / x_a + c_b / x_b."""
