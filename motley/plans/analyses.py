@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motley.functions.columns import rounded
@@ -13,9 +13,9 @@ from motley.operators import fitting as Fi
 from motley.operators import models as M
 from motley.operators import ordered as O
 from motley.operators import sampling as G
-from motley.operators.frames import drop_unassigned
+from motley.operators.frames import assigned, drop_unassigned
 from motley.plans.queries import POOLED, SIDES
-from motley.plans.registry import WITH, query
+from motley.plans.registry import WITH, js_sql, query
 from motley.sources.tables import EDGES, SIZES, embedding_angles, lineitem_frames, table
 from motley.streaming.incremental import windowed_counts
 
@@ -48,6 +48,30 @@ def lambda_sweep(marginals: DataFrame, joints: DataFrame, lambdas: DataFrame, re
     return out, O.arg_min(out, ["reference"], "lambda", "distance")
 
 
+def plain_label(label: Column) -> Column:
+    """A source's label without its kind in front: lower case, without what the kinds of sources begin with."""
+    return F.trim(F.regexp_replace(F.trim(F.lower(F.coalesce(label, F.lit("")))), "^(macro:|metastable:|md cluster:)", ""))
+
+
+def augmented(sources: DataFrame, clusters: DataFrame, base: str) -> DataFrame:
+    """source_id, label, labels of all sources of a summary and of the clusters that are added to it.
+
+    `sources`: source_id, label, labels; `clusters`: position, cluster_id, name (null: its id), labels, a row per frame. The `base`
+    cluster, clusters that are sources already, and those whose name is a source's or an earlier cluster's are left out; so are
+    frames without a label, and clusters that have no others. What decides has a row per source.
+    """
+    whole = clusters.where((F.col("cluster_id") != base) & assigned(F.col("labels")))
+    named = F.coalesce("name", "cluster_id")
+    known = whole.groupBy("cluster_id").agg(F.min(F.struct(F.col("position"), named.alias("name"))).alias("_first")).select("cluster_id", F.col("_first.position").alias("position"), F.col("_first.name").alias("name"))
+    own_id, own_label = F.concat(F.lit("cluster:"), "cluster_id"), plain_label(F.col("name"))
+    ids, labels = sources.select(F.col("source_id").alias("_id")).distinct(), sources.select(plain_label(F.col("label")).alias("_label")).distinct()
+    new = known.join(ids, own_id == F.col("_id"), "left_anti").join(labels, own_label == F.col("_label"), "left_anti")
+    first = new.groupBy(own_label.alias("_label")).agg(F.min_by(F.struct("cluster_id", "name"), F.struct("position", "cluster_id")).alias("_kept")).select("_kept.*")
+    added = whole.select("cluster_id", "labels").join(F.broadcast(first), "cluster_id")  # a row per cluster
+    rows = added.select(own_id.alias("source_id"), F.concat(F.lit("MD cluster: "), "name").alias("label"), "labels")
+    return sources.select("source_id", "label", "labels").unionByName(rows)
+
+
 def preferences(frames: DataFrame, a: M.Arrays, b: M.Arrays) -> DataFrame:
     """sample_id, frame_id, e_a_minus_b: which of two models a frame prefers (N4); below 0, A."""
     return frames.select("sample_id", "frame_id", (M.energy(F.col("labels"), a) - M.energy(F.col("labels"), b)).alias("e_a_minus_b"))
@@ -233,6 +257,21 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return Cl.labelled_sites(embedding_angles(spark, d), lambda x: Cl.density_peaks(x)[0])
 
 
+@query("n11_augmented", WITH + "SELECT md, sample, CAST(site AS INTEGER) AS site, round(js, 6) + 0 AS js FROM (" + js_sql("SELECT CASE WHEN x.sample_id < 1995 THEN 'state:' ELSE 'cluster:' END || x.sample_id AS md, y.sample_id AS sample, x.site, x.p, y.p AS q FROM marginal x JOIN marginal y ON x.site = y.site AND x.label = y.label WHERE x.sample_id IN (1993, 1994, 1997, 1998) AND y.sample_id IN (1995, 1996)", "md, sample, site") + ")")
+def n11(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of two states, with four clusters on offer: one has a state's name and one an earlier cluster's; all sources against two samples."""
+    frames = lineitem_frames(spark, d)
+    year = F.col("sample_id").cast("string")
+    states = frames.where("sample_id in (1993, 1994)").select(F.concat(F.lit("state:"), year).alias("source_id"), F.concat(F.lit("Macro: "), year).alias("label"), "labels")
+    offer = frames.where("sample_id in (1992, 1996, 1997, 1998)")
+    name = F.when(F.col("sample_id") == 1992, "md cluster: 1993").when(F.col("sample_id") == 1996, "Metastable: 1997").otherwise(year)
+    clusters = offer.select((F.col("sample_id") * F.when(F.col("sample_id") == 1996, 2).otherwise(1)).alias("position"), year.alias("cluster_id"), name.alias("name"), "labels")
+    sources = augmented(states, clusters, "base").withColumnRenamed("source_id", "md")
+    samples = frames.where("sample_id in (1995, 1996)").withColumnRenamed("sample_id", "sample")
+    js = D.site_divergences(D.marginals(sources, SIZES, "md"), D.marginals(samples, SIZES, "sample"), "md", "sample")
+    return js.select("md", "sample", "site", rounded(F.col("js")).alias("js"))
+
+
 @query("e5_moment_conditions", WITH + "SELECT CAST(site AS INTEGER) AS site, label, round(avg(p), 4) + 0 AS p FROM (SELECT site, label, sum(n) / sum(sum(n)) OVER (PARTITION BY site) AS p FROM counts GROUP BY site, label) GROUP BY ALL")
 def e5_moments(spark: SparkSession, d: str) -> DataFrame:
     """What the fitted model expects of each label, given the other sites: at its optimum the share that the frames have."""
