@@ -57,8 +57,9 @@ class Model(NamedTuple):
     idf: np.ndarray
     doc_ids: np.ndarray
     toxic: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: examples, weights
-    starts: np.ndarray  # terms x (blocks + 1): where a block's postings begin
+    examples: np.ndarray  # postings, term by term: examples in order
+    weights: np.ndarray  # and their weights
+    starts: np.ndarray  # terms x (blocks + 1): where a term's postings of a block begin
     maxima: np.ndarray  # terms x blocks
     base: float  # of all examples
     silent: float  # of examples without any term
@@ -168,15 +169,18 @@ def indexed(examples: list[Example], terms: dict[str, int], idf: np.ndarray, bas
     for i, e in enumerate(examples):
         for t, w in e.weights.items():
             lists[t].append((i, w))
-    postings = [(np.array([i for i, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-    starts = np.array([np.searchsorted(i, np.arange(blocks + 1) * block) for i, _ in postings]).reshape(len(terms), blocks + 1)
-    maxima = np.zeros((len(terms), blocks))
-    for t, (i, w) in enumerate(postings):
-        np.maximum.at(maxima[t], i // block, w)
+    number = np.array([i for x in lists for i, _ in x], np.int64)
+    weight = np.array([w for x in lists for _, w in x], float)
+    sizes = np.array([len(x) for x in lists], np.int64)
+    cell = np.repeat(np.arange(len(terms)), sizes) * blocks + number // block
+    starts = np.searchsorted(cell, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1))
+    maxima = np.zeros(len(terms) * blocks)
+    np.maximum.at(maxima, cell, weight)
+    maxima = maxima.reshape(len(terms), blocks)
     same: dict[int, list[int]] = {}
     for i, e in enumerate(examples):
         same.setdefault(e.text, []).append(i)
-    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), postings, starts, maxima, base, silent, heads_of(terms), same)
+    return Model(terms, idf, np.array([e.doc_id for e in examples], np.int64), np.array([e.toxic for e in examples], np.int64), number, weight, starts, maxima, base, silent, heads_of(terms), same)
 
 
 def rising(bins: list[tuple[float, int, int]], base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -226,15 +230,16 @@ def nearest(model: Model, query: dict[int, float], k: int = NEIGHBOURS, block: i
     """(example, cosine) of the k nearest with a term in common, but for those in `out`; ties to the smaller doc_id."""
     terms, weights = list(query), np.array(list(query.values()))
     bounds = weights @ model.maxima[terms]
+    starts = model.starts[terms]
     best: list[tuple[float, int]] = []
     for b in np.argsort(-bounds, kind="stable"):
         if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
             break
-        scores = np.zeros(block)
-        for t, w in zip(terms, weights, strict=True):
-            s = slice(model.starts[t, b], model.starts[t, b + 1])
-            scores[model.postings[t][0][s] - b * block] += w * model.postings[t][1][s]
-        met = [i for i in np.flatnonzero(scores).tolist() if b * block + i not in out]
+        first, sizes = starts[:, b], starts[:, b + 1] - starts[:, b]
+        at = np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)  # the block's postings, term by term
+        scores = np.bincount(model.examples[at] - b * block, model.weights[at] * np.repeat(weights, sizes), block)
+        least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+        met = [i for i in np.flatnonzero(scores > max(least, 0.0)).tolist() if b * block + i not in out]
         best = sorted(best + [(-round(float(scores[i]), 12), int(b * block + i)) for i in met])[:k]
     return [(i, -s) for s, i in best]
 
