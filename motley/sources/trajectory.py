@@ -119,7 +119,7 @@ def frames_of(file, layout: Layout, first: int, count: int, step: int) -> Iterat
 
 @dataclass
 class FrameRange(InputPartition):
-    """Frames of one file: the first, how many and how far apart, and the trajectory's number of the file's first frame."""
+    """Frames of one file: the first, how many and how far apart, and the trajectory's number and time of the file's first frame."""
 
     path: str
     layout: Layout
@@ -127,16 +127,21 @@ class FrameRange(InputPartition):
     count: int
     step: int
     offset: int
+    begin_time: float = 0.0
 
 
 def ranges(files: list[tuple[str, Layout]], start: int, stop: int | None, step: int, most_bytes: int) -> list[FrameRange]:
-    """The frames start:stop:step of files that follow each other, in parts of at most `most_bytes` (or a frame)."""
-    out, offset = [], 0
+    """The frames start:stop:step of files that follow each other, in parts of at most `most_bytes` (or a frame). A file keeps the time
+    of its header if that comes after the files before it; otherwise, as all our own files do, it goes on where they end."""
+    out, offset, after = [], 0, float("-inf")
     for path, layout in files:
+        spacing = layout.steps_a_frame * layout.time_step
+        begin_time = max(layout.first_step * layout.time_step, after)
+        after = begin_time + layout.frames * spacing if layout.frames else after
         end = layout.frames if stop is None else min(layout.frames, stop - offset)
         first = max(start - offset, 0) if start >= offset else (start - offset) % step
         count, together = max(0, -(-(end - first) // step)), max(1, most_bytes // layout.frame.itemsize)
-        out += [FrameRange(path, layout, first + i * step, min(together, count - i), step, offset) for i in range(0, count, together)]
+        out += [FrameRange(path, layout, first + i * step, min(together, count - i), step, offset, begin_time) for i in range(0, count, together)]
         offset += layout.frames
     return out
 
@@ -176,7 +181,7 @@ class DcdReader(DataSourceReader):
                 place = np.stack([frames[c] for c in "xyz"], axis=-1).astype("f4").reshape(n, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * 3 * own.atoms), pa.array(place.ravel()))
                 cell = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * CELL_NUMBERS), pa.array(frames["cell"].astype("f8").ravel())) if own.has_cell else pa.nulls(n, pa.list_(pa.float64()))
-                time = (own.first_step + local * own.steps_a_frame) * own.time_step
+                time = partition.begin_time + local * own.steps_a_frame * own.time_step
                 yield pa.RecordBatch.from_arrays([pa.array(partition.offset + local), pa.array(time.astype("f8")), cell, lists], ["frame", "time", "cell", "positions"])
 
 

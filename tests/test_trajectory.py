@@ -118,3 +118,16 @@ def test_atoms_and_topology(spark, tmp_path):
     rows = T.read_topology(spark, str(tmp_path / "a.pdb")).drop("file").orderBy("atom").collect()
     assert [tuple(r) for r in rows] == [(0, "N", "MET", "A", 1, 38.428, 13.104, -6.364), (1, "CA", "GLY", "B", 12, 1.0, 2.0, 3.0)]
     assert np.isclose(T.read_trajectory(spark, str(tmp_path)).select(F.sum(F.size("positions"))).first()[0], 30)
+
+
+def test_time_goes_on_over_files(spark, tmp_path):
+    """Two files of a writer, which both begin at 0, are one trajectory in time too; a header's later begin is kept."""
+    rows = [(i, FRAMES[i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "frame long, positions array<double>")
+    path = T.write_trajectory(df.where("frame < 25"), str(tmp_path / "t"), time_step=2.0)
+    T.write_trajectory(df.where("frame >= 25"), path, time_step=2.0)
+    assert [r["time"] for r in T.read_trajectory(spark, path).orderBy("frame").collect()] == [2.0 * i for i in range(40)]
+    assert [(r["frame"], r["time"]) for r in T.read_trajectory(spark, path, "7::3", 200).orderBy("frame").collect()] == [(i, 2.0 * i) for i in range(7, 40, 3)]
+    one = T.Layout("<", 5, False, 0, 4, 0, 2, 0.5)
+    later = T.Layout("<", 5, False, 0, 4, 100, 2, 0.5)
+    assert [x.begin_time for x in T.ranges([("a", one), ("b", one), ("c", later), ("d", one)], 0, None, 1, 1 << 20)] == [0.0, 4.0, 50.0, 54.0]
