@@ -11,7 +11,8 @@ import math
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,14 @@ def tables(spark, model: Arrays) -> Model:
     return Model(spark.createDataFrame(h, "site int, k int, value double"), spark.createDataFrame(j, "r int, s int, k int, l int, value double"))
 
 
+def _sound(x: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have as many labels as there are sites, and their labels; -1 where one is missing or out of range."""
+    whole = np.flatnonzero(pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) == len(sizes))
+    flat = pc.fill_null((x if len(whole) == len(x) else x.take(pa.array(whole))).flatten(), -1).to_numpy(zero_copy_only=False)
+    found = flat.reshape(len(whole), len(sizes))
+    return whole, np.where((found >= 0) & (found < sizes), found, -1).astype(np.int64)
+
+
 def energy(labels: Column, model: Arrays) -> Column:
     """h and J of a frame's labels, summed (E1, J2); null where the labels are not as many as the sites, or one is missing or out of range.
 
@@ -71,19 +80,17 @@ def energy(labels: Column, model: Arrays) -> Column:
     if fields.nbytes + couplings.nbytes > MODEL_BYTES:
         raise ValueError(f"a model of {fields.nbytes + couplings.nbytes} bytes, {MODEL_BYTES} at most")
 
-    @F.pandas_udf("double")
-    def total(x: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def total(x: pa.Array) -> pa.Array:
         out = np.full(len(x), np.nan)
-        whole = np.flatnonzero([v is not None and len(v) == len(sizes) for v in x])
-        if len(whole):
-            found = np.array([x.iloc[i] for i in whole], float).reshape(len(whole), len(sizes))
-            sound = ((found >= 0) & (found < sizes)).all(axis=1)  # a missing label is not a number
-            whole, found = whole[sound], found[sound].astype(np.int64)
+        whole, found = _sound(x, sizes)
+        good = (found >= 0).all(axis=1)
+        whole, found = whole[good], found[good]
         step = max(1, CELLS // max(1, len(left)))
         for i in range(0, len(whole), step):
             z = found[i : i + step]
             out[whole[i : i + step]] = fields[starts + z].sum(axis=1) + couplings[begin + z[:, left] * width + z[:, right]].sum(axis=1)
-        return pd.Series(out)
+        return pa.array(out, mask=np.isnan(out))
 
     return total(labels)
 
@@ -180,18 +187,36 @@ def qubo_energy(bit_array: Column, linear: DataFrame, quadratic: DataFrame, offs
 
 
 def pseudolikelihood(labels: Column, model: Arrays) -> Column:
-    """ln p(label | all others) of each site of a frame (E4): logits are -(h + J of the neighbours)."""
-    spec = [{"site": i, "h": v.tolist(), "n": [{"s": (s if r == i else r), "v": (m if r == i else m.T).tolist()} for (r, s), m in model.j.items() if i in (r, s)]} for i, v in enumerate(model.h)]
-    sites = F.from_json(F.lit(json.dumps(spec)), "array<struct<site:int,h:array<double>,n:array<struct<s:int,v:array<array<double>>>>>>")
-
-    def score(e: Column) -> Column:
-        logits = F.transform(e["h"], lambda h, k: -h - F.aggregate(e["n"], F.lit(0.0), lambda t, n: t + n["v"][k][labels[n["s"]]]))
-        top = F.array_max(logits)
-        return logits[labels[e["site"]]] - top - F.ln(F.aggregate(logits, F.lit(0.0), lambda t, x: t + F.exp(x - top)))
-
-    return F.transform(sites, score)
-
-
+    """ln p(label | all others) of each site of a frame (E4): logits are -(h + J of the neighbours). Null at a site that has no label of
+    its alphabet, or a neighbour without one; null where the labels are not as many as the sites."""
+    sizes = np.array([len(x) for x in model.h], np.int64)
+    near = [[(s, m) if r == i else (r, m.T) for (r, s), m in model.j.items() if i in (r, s)] for i in range(len(sizes))]
+    widest = max(1, int(sizes.max(initial=1)))
+
+    @F.arrow_udf("array<double>")
+    def scores(x: pa.Array) -> pa.Array:
+        whole, found = _sound(x, sizes)
+        out = np.full(found.shape, np.nan)
+        step = max(1, CELLS // widest)
+        for begin in range(0, len(found), step):
+            z = found[begin : begin + step]
+            every = np.arange(len(z))
+            for i, h in enumerate(model.h):
+                logits, known = np.tile(-np.asarray(h, float), (len(z), 1)), z[:, i] >= 0
+                for other, m in near[i]:
+                    logits -= m.T[z[:, other]]
+                    known = known & (z[:, other] >= 0)
+                logits -= logits.max(axis=1, keepdims=True)
+                score = logits[every, z[:, i]] - np.log(np.exp(logits).sum(axis=1))
+                out[begin : begin + step, i] = np.where(known, score, np.nan)
+        n = np.zeros(len(x) + 1, np.int32)
+        n[whole + 1] = len(sizes)
+        values, offsets = pa.array(out.ravel(), mask=np.isnan(out.ravel())), np.cumsum(n, dtype=np.int32)
+        gone = np.ones(len(x), bool)
+        gone[whole] = False
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(gone)) if gone.any() else pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return scores(labels)
 
 
 def exact_chances(model: Arrays, beta: float = 1.0) -> dict[tuple[int, ...], float]:

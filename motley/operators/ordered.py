@@ -72,8 +72,8 @@ def mean_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """keys, auc by rank sums (W4); null if a class is empty. Scores are counted per value first, so ranks run over values, not rows."""
-    counts = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    """keys, auc by rank sums (W4); null if a class is empty. Scores are counted per value first, once, so ranks run over values, not rows."""
+    counts = kept(df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), "scores")
     ranked = running(counts, keys, score, [], {"_before": F.col("n")}).withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"), F.sum(F.col("rank") * F.col("pos")).alias("sum"))
     value = (F.col("sum") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))

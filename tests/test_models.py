@@ -345,3 +345,21 @@ def test_orders_dealt_by_ranges(spark):
     for k in range(3):
         own = [r[2] for r in rows if r[1] == k and r[2] is not None]
         assert np.allclose(quart[k], np.quantile(own, [0.25, 0.5, 0.75]))
+
+
+def test_pseudolikelihood_of_many_rows_and_gaps(spark):
+    """A batch at a time, as fast as the energies; a missing label has no chance and gives its neighbours none."""
+    rng = np.random.default_rng(3)
+    model = M.Arrays([rng.normal(size=k) for k in (3, 2, 4)], {(0, 1): rng.normal(size=(3, 2)), (1, 2): rng.normal(size=(2, 4))})
+    chances = M.exact_chances(model)
+    rows = [*chances] * 2
+    frames = spark.createDataFrame([(i, list(x)) for i, x in enumerate(rows)] + [(100, [None, 0, 1]), (101, [0, 1]), (102, None), (103, [1, 7, 0])], "i int, labels array<int>")
+    plan = frames.select("i", M.pseudolikelihood(F.col("labels"), model).alias("ll"))
+    got = {r["i"]: r["ll"] for r in plan.collect()}
+    for i, x in enumerate(rows):
+        for site in range(3):
+            same = sum(p for y, p in chances.items() if all(a == b for j, (a, b) in enumerate(zip(x, y)) if j != site))
+            assert math.isclose(got[i][site], math.log(chances[x] / same), abs_tol=1e-12)
+    assert got[100][:2] == [None, None] and got[100][2] is not None
+    assert got[101] is None and got[102] is None and got[103] == [None] * 3
+    assert "lambdafunction" not in plan._jdf.queryExecution().executedPlan().toString()  # no interpreted lambdas a row
