@@ -6,6 +6,9 @@ Windows run within keys of few rows, or over counts.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,17 @@ from pyspark.sql import functions as F
 from motley.functions.columns import interpolated
 from motley.sources.tables import kept
 
+#: Ranges that quantiles are narrowed down to.
+SLOTS = 128
+
+
+def _slotted(df: DataFrame, value: str, n: int) -> DataFrame:
+    """df with _slot: which of about n ranges of like many rows the value lies in; those without a number come last."""
+    number = F.col(value).cast("double")
+    cuts = sorted({float(x) for x in df.select(number.alias("_x")).where("_x is not null and not isnan(_x)").approxQuantile("_x", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slot", handleInvalid="keep")
+    return cut.transform(df.withColumn("_x", F.coalesce(number, F.lit(float("nan"))))).drop("_x")
+
 
 def running(df: DataFrame, keys: list[str], value: str, ties: list[str], weights: dict[str, Column]) -> DataFrame:
     """df with, for each weight, `name`: its sum over the rows of the key that come before by value and ties, and `name_all`: over all.
@@ -26,10 +40,7 @@ def running(df: DataFrame, keys: list[str], value: str, ties: list[str], weights
     if ties:
         rows = kept(rows.repartitionByRange(n, F.col(value).asc_nulls_last(), *ties).withColumn("_slot", F.spark_partition_id()), "order")
     else:
-        number = F.col(value).cast("double")
-        cuts = sorted({float(x) for x in df.select(number.alias("_x")).where("_x is not null and not isnan(_x)").approxQuantile("_x", [i / n for i in range(1, n)], 0.1 / n)}) or [0.0]
-        cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_slot", handleInvalid="keep")
-        rows = cut.transform(rows.withColumn("_x", F.coalesce(number, F.lit(float("nan"))))).drop("_x")
+        rows = _slotted(rows, value, n)
     names = list(weights)
     sums = rows.groupBy(*keys, "_slot").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))])
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -188,11 +199,26 @@ def deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """keys, q25, q50, ...: by linear interpolation (A7); nulls do not count. From running counts of values, so no task holds a key's values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = running(counts, keys, value, [], {"_before": F.col("_n")})
-    place = lambda q: F.lit(q) * (F.col("_before_all") - 1)
+    """keys, q25, q50, ...: by linear interpolation (A7); nulls do not count.
+
+    Rows are counted by SLOTS ranges of the value first; only those of the ranges that hold a place asked for are exchanged, counted by
+    value and put in order. So what a task holds is a small part of the rows, however many there are.
+    """
+    rows = _slotted(df.where(F.col(value).isNotNull()).select(*keys, value), value, SLOTS)
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_q_in"))
+    sums = sums.withColumn("_q_first", F.coalesce(F.sum("_q_in").over(by.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_q_all", F.sum("_q_in").over(by))
+    place = lambda q: F.lit(q) * (F.col("_q_all") - 1)
+    ends = [f(place(q)) for q in at for f in (F.floor, F.ceil)]
+    asked = reduce(or_, [(F.col("_q_first") <= i) & (i < F.col("_q_first") + F.col("_q_in")) for i in ends])
+    wanted = kept(sums.where(asked).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_asked"), "_q_first", "_q_all"), "ranges")
+    on = F.col("_slot") == F.col("_asked")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    counts = rows.join(wanted, on).groupBy(*keys, "_slot", value, "_q_first", "_q_all").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*keys, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.withColumn("_before", F.col("_q_first") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
     held = lambda i: F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_n")), F.col(value)))
-    ends = [x.alias(f"_{k}{j}") for j, q in enumerate(at) for k, x in (("low", held(F.floor(place(q)))), ("high", held(F.ceil(place(q)))), ("part", F.max(place(q) - F.floor(place(q)))))]
-    out = run.groupBy(*keys).agg(*ends)
+    found = [x.alias(f"_{k}{j}") for j, q in enumerate(at) for k, x in (("low", held(F.floor(place(q)))), ("high", held(F.ceil(place(q)))), ("part", F.max(place(q) - F.floor(place(q)))))]
+    out = run.groupBy(*keys).agg(*found)
     return out.select(*keys, *[(F.col(f"_low{j}") + (F.col(f"_high{j}") - F.col(f"_low{j}")) * F.col(f"_part{j}")).alias(f"q{round(q * 100):02d}") for j, q in enumerate(at)])
