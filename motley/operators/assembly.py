@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.columns import dihedral, finite, mismatches
-from motley.operators.distributions import edge_divergences, joints, marginals, pooled, pooled_joints, site_divergences, weighted_mean
+from motley.operators.distributions import edge_divergences, joints, pair_counts, pair_shares, pooled_counts, site_counts, site_divergences, site_shares, weighted_mean
 from motley.operators.frames import assigned
 from motley.operators.neighbours import nearest_rows
 from motley.operators.ordered import deviation, quantiles
+from motley.sources.tables import kept
 
 
 def assembled(frames: DataFrame, samples: DataFrame, wanted: list) -> DataFrame:
@@ -212,19 +213,22 @@ def delta_js(frames: DataFrame, sides: dict[str, list], sizes: list[int], edges:
     once a sample and side; all that follows has a row per label. With `samples`, only those are compared.
     """
     a, b = list(sides)[:2]
-    pool = pooled(frames, sides, sizes)
-    asked = frames.where(F.col("sample_id").isin(samples)) if samples is not None else frames
+    asked = lambda df: df.where(F.col("sample_id").isin(samples)) if samples is not None else df
+    frames = frames.where(F.col("sample_id").isin([*samples, *sum(sides.values(), [])])) if samples is not None else frames
+    counts = kept(site_counts(frames), "site_counts")  # frames are read once for the sites, once for the edges
+    pool = kept(site_shares(pooled_counts(counts, sides), sizes, "side"), "pooled")
     part = lambda df, name: df.where(F.col("side") == name).withColumn("side", F.lit(0))
     site_d = site_divergences(part(pool, a), part(pool, b).withColumnRenamed("side", "other"), "side", "other").select("site", F.col("js").alias("d"))
-    nodes = site_divergences(marginals(asked, sizes), pool, "sample_id", "side").join(F.broadcast(site_d), "site")  # a row per site
+    nodes = site_divergences(site_shares(asked(counts), sizes), pool, "sample_id", "side").join(F.broadcast(site_d), "site")  # a row per site
     node = nodes.groupBy("sample_id", "side").agg(weighted_mean(F.col("js"), F.col("d")).alias("node"))
     if not edges or top_edges < 1:
         empty = frames.sparkSession.createDataFrame([], "r int, s int, d double, rank int")
         return node.withColumn("edge", F.col("node")).withColumn("mixed", F.col("node")), site_d, empty
-    pair = pooled_joints(frames, sides, sizes, edges)
+    both = kept(pair_counts(frames, edges), "pair_counts")
+    pair = kept(pair_shares(pooled_counts(both, sides), sizes, "side"), "pooled")
     edge_d = edge_divergences(part(pair, a), part(pair, b).withColumnRenamed("side", "other"), "side", "other").select("r", "s", F.col("js").alias("d"))
     top = ranked_first(edge_d, [F.desc(F.round("d", 9)), F.asc("r"), F.asc("s")], top_edges)
-    met = edge_divergences(joints(asked, sizes, edges), pair, "sample_id", "side").join(F.broadcast(top.select("r", "s", "d")), ["r", "s"])  # `top_edges` rows
+    met = edge_divergences(pair_shares(asked(both), sizes), pair, "sample_id", "side").join(F.broadcast(top.select("r", "s", "d")), ["r", "s"])  # `top_edges` rows
     edge = met.groupBy("sample_id", "side").agg(weighted_mean(F.col("js"), F.col("d")).alias("edge"))
     out = node.join(edge, ["sample_id", "side"], "left").withColumn("edge", F.coalesce("edge", "node"))
     return out.withColumn("mixed", F.lit(1 - alpha) * F.col("node") + F.lit(alpha) * F.col("edge")), site_d, top
@@ -236,12 +240,13 @@ def transition(preference: DataFrame, training: list, band: float, eps: float =
 
     tau is the `band` quantile of |z| over the training frames; enrichment is ln((p + eps) / (p_train + eps)).
     """
-    train = preference.where(F.col("sample_id").isin(training)).withColumn("_all", F.lit(0))
+    known = kept(preference.select("sample_id", "e_a_minus_b"), "preference")  # read several times
+    train = known.where(F.col("sample_id").isin(training)).withColumn("_all", F.lit(0))
     scale = deviation(train, ["_all"], "e_a_minus_b").first()
     z = (F.col("e_a_minus_b") - F.lit(scale["median"])) / F.lit(scale["mad"])
     tau = quantiles(train.withColumn("_z", F.abs(z)), ["_all"], "_z", (band,)).first()[1]
-    rows = preference.withColumn("z", z).withColumn("in_band", F.abs("z") <= F.lit(tau))
-    share = rows.groupBy("sample_id").agg(F.sum(F.col("in_band").cast("long")).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    marked = lambda df: df.withColumn("z", z).withColumn("in_band", F.abs("z") <= F.lit(tau))
+    rows, share = marked(preference), kept(marked(known).groupBy("sample_id").agg(F.sum(F.col("in_band").cast("long")).alias("_k"), F.count(F.lit(1)).alias("_n")), "shares")
     of = F.col("sample_id").isin(training)
     whole = share.where(of).agg((F.sum("_k") / F.sum("_n")).alias("p")).first()["p"]
     p = F.col("_k") / F.col("_n")

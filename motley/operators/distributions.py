@@ -23,33 +23,59 @@ def _filled(counts: DataFrame, keys: list[str], label: Column, cells: Column, na
     return out.select(*keys, *cell, p.alias("p"))
 
 
-def marginals(frames: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
-    """by, site, label, p: a row for every label of the alphabet (A1). Gaps (null) are no label."""
+def site_counts(frames: DataFrame, by: str = "sample_id") -> DataFrame:
+    """by, site, label, n: how often each label occurs. Gaps (null) are no label."""
     long = frames.select(by, F.posexplode("labels").alias("site", "label")).where("label is not null")
-    counts = long.groupBy(by, "site", "label").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(by, "site", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def site_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
     k = F.array(*[F.lit(x) for x in sizes])
     return _filled(counts, [by, "site"], F.col("label"), F.sequence(F.lit(0), k[F.col("site")] - 1), ["label"])
 
 
-def joints(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], by: str = "sample_id") -> DataFrame:
-    """by, r, s, k, l, p: a row for every pair of labels of each edge (A2)."""
+def marginals(frames: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
+    """by, site, label, p: a row for every label of the alphabet (A1). Gaps (null) are no label."""
+    return site_shares(site_counts(frames, by), sizes, by)
+
+
+def pair_counts(frames: DataFrame, edges: list[tuple[int, int]], by: str = "sample_id") -> DataFrame:
+    """by, r, s, k, l, n: how often each pair of labels of an edge occurs."""
     long = frames.select(by, F.inline(pairs(F.col("labels"), edges))).where("k is not null and l is not null")
-    counts = long.groupBy(by, "r", "s", "k", "l").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(by, "r", "s", "k", "l").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
     n = F.array(*[F.lit(x) for x in sizes])
     row = lambda k: F.transform(F.sequence(F.lit(0), n[F.col("s")] - 1), lambda x: F.struct(k.alias("k"), x.alias("l")))
     cells = F.flatten(F.transform(F.sequence(F.lit(0), n[F.col("r")] - 1), row))
     return _filled(counts, [by, "r", "s"], F.struct("k", "l"), cells, ["k", "l"])
 
 
+def joints(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], by: str = "sample_id") -> DataFrame:
+    """by, r, s, k, l, p: a row for every pair of labels of each edge (A2)."""
+    return pair_shares(pair_counts(frames, edges, by), sizes, by)
+
+
+def sided(df: DataFrame, sides: dict[str, list]) -> DataFrame:
+    """Rows of the sides' samples with their side, once for each that a sample serves."""
+    of = F.array_compact(F.array(*[F.when(F.col("sample_id").isin(ids), F.lit(name)) for name, ids in sides.items()]))
+    return df.where(F.size(of) > 0).withColumn("side", F.explode(of))
+
+
+def pooled_counts(counts: DataFrame, sides: dict[str, list]) -> DataFrame:
+    """Counts by sample, summed over each side's samples."""
+    cell = [c for c in counts.columns if c not in ("sample_id", "n")]
+    return sided(counts, sides).groupBy("side", *cell).agg(F.sum("n").alias("n"))
+
+
 def pooled(frames: DataFrame, sides: dict[str, list], sizes: list[int]) -> DataFrame:
     """side, site, label, p over all frames of each side's samples (A3): every frame counts alike. A sample may serve both sides."""
-    of = F.array_compact(F.array(*[F.when(F.col("sample_id").isin(ids), F.lit(name)) for name, ids in sides.items()]))
-    return marginals(frames.where(F.size(of) > 0).withColumn("side", F.explode(of)), sizes, "side")
+    return marginals(sided(frames, sides), sizes, "side")
 
 
 def pooled_joints(frames: DataFrame, sides: dict[str, list], sizes: list[int], edges: list[tuple[int, int]]) -> DataFrame:
-    of = F.array_compact(F.array(*[F.when(F.col("sample_id").isin(ids), F.lit(name)) for name, ids in sides.items()]))
-    return joints(frames.where(F.size(of) > 0).withColumn("side", F.explode(of)), sizes, edges, "side")
+    return joints(sided(frames, sides), sizes, edges, "side")
 
 
 def divergences(df: DataFrame, keys: list[str], p: str = "p", q: str = "q") -> DataFrame:
