@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from motley.operators.models import Arrays
 from motley.operators.ordered import percentile_rank
+from motley.sources.tables import kept
 
 SAMPLES = "chain_index int, draw int, labels array<int>, energy double"
 #: Odd multipliers of the hash that random numbers are made of. (fixed values)
@@ -237,6 +238,31 @@ def flips(relaxation: DataFrame, sweeps: int) -> tuple[DataFrame, DataFrame]:
     return share, percentile_rank(means, ["_all"], "mean_first_flip", "site").drop("_all", "slow")
 
 
+def relaxation_flips(frames: DataFrame, model: Arrays, sweeps: int, beta: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """`flips` of `relaxed` start frames (each id once), without their rows: a batch makes its own sweeps and sums them up, so what is
+    exchanged is a row per site and sweep of a batch."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler = Sampler(model)
+        for rows in batches:
+            if not len(rows):
+                continue
+            start, seeds = np.array(rows["labels"].tolist(), int), rows["frame_id"].to_numpy() * 1_000_003 + seed
+            x, first = start.copy(), np.full(start.shape, sweeps + 1)
+            for t in range(sweeps + 1):
+                if t:
+                    sampler.sweep(x, beta, seeds, t)
+                differs = x != start
+                first = np.where(differs, np.minimum(first, t), first)
+                yield pd.DataFrame({"site": np.arange(x.shape[1]), "sweep": t, "k": differs.sum(0), "n": len(x)})
+            yield pd.DataFrame({"site": np.arange(x.shape[1]), "sweep": -1, "k": first.sum(0), "n": len(x)})
+
+    sums = frames.select("frame_id", "labels").mapInPandas(part, "site int, sweep int, k long, n long").groupBy("site", "sweep").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    sums, mean = kept(sums, "flips"), F.col("k") / F.col("n")  # a row per site and sweep
+    means = sums.where("sweep < 0").select("site", mean.alias("mean_first_flip"), F.lit(0).alias("_all"))
+    return sums.where("sweep >= 0").select("site", "sweep", mean.alias("frac_differs_from_start")), percentile_rank(means, ["_all"], "mean_first_flip", "site").drop("_all", "slow")
+
+
 def greedy_state(h: DataFrame) -> DataFrame:
     """site, label of the least field of each site, ties to the smaller label (G10). `h`: site, k, value."""
     return h.groupBy("site").agg(F.min_by("k", F.struct("value", "k")).alias("label"))

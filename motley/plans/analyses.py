@@ -16,7 +16,7 @@ from motley.operators import sampling as G
 from motley.operators.frames import assigned, drop_unassigned
 from motley.plans.queries import POOLED, SIDES
 from motley.plans.registry import WITH, js_sql, query
-from motley.sources.tables import EDGES, SIZES, embedding_angles, lineitem_frames, table
+from motley.sources.tables import EDGES, SIZES, embedding_angles, kept, lineitem_frames, table
 from motley.streaming.incremental import windowed_counts
 
 
@@ -87,6 +87,7 @@ def commitment(frames: DataFrame, difference: M.Model) -> DataFrame:
 
 def transition_band(preference: DataFrame, width: float = 0.5) -> DataFrame:
     """sample_id, share of frames within `width` robust deviations of no preference, over that of all frames (N5), as a logarithm."""
+    preference = kept(preference.select("sample_id", "e_a_minus_b"), "preference")  # read several times
     one = preference.withColumn("_all", F.lit(0))
     scale = O.deviation(one, ["_all"], "e_a_minus_b").first()
     near = F.abs(F.col("e_a_minus_b") - F.lit(scale["median"])) <= width * F.lit(scale["mad"])
@@ -233,10 +234,19 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return G.annealed(G.chains(spark, 4, 7), model, 50, penalty=8.0)
 
 
+def _one_a_frame(frames: DataFrame) -> DataFrame:
+    """frame_id, labels: each frame once, the least labels of those that share an id. Labels meet as one number each, which a hash aggregate can keep."""
+    code, rest, labels = F.lit(0).cast("long"), F.col("_code"), []
+    for i, k in enumerate(SIZES):
+        code = code * k + F.col("labels")[i]
+    for k in reversed(SIZES):
+        labels, rest = [F.pmod(rest, F.lit(k)).cast("int"), *labels], F.floor(rest / k)
+    return frames.groupBy("frame_id").agg(F.min(code).alias("_code")).select("frame_id", F.array(*labels).alias("labels"))
+
+
 @query("n8_relaxation")
 def n8(spark: SparkSession, d: str) -> DataFrame:
-    starts = lineitem_frames(spark, d).dropDuplicates(["frame_id"])
-    return G.flips(G.relaxed(starts, _small_model(spark, d), 10), 10)[1]
+    return G.relaxation_flips(_one_a_frame(lineitem_frames(spark, d)), _small_model(spark, d), 10)[1]
 
 
 @query("n9_completion")

@@ -363,3 +363,28 @@ def test_pseudolikelihood_of_many_rows_and_gaps(spark):
     assert got[100][:2] == [None, None] and got[100][2] is not None
     assert got[101] is None and got[102] is None and got[103] == [None] * 3
     assert "lambdafunction" not in plan._jdf.queryExecution().executedPlan().toString()  # no interpreted lambdas a row
+
+
+def test_flips_of_a_batch_are_those_of_its_rows(spark):
+    model = small_model()
+    starts = spark.createDataFrame([(i, [i % 2, i % 3, i % 4]) for i in range(300)], "frame_id long, labels array<int>").repartition(3)
+    shares, means = G.flips(G.relaxed(starts, model, 6), 6)
+    got_shares, got_means = G.relaxation_flips(starts, model, 6)
+    key = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    assert np.allclose(key(got_shares, "site", "sweep", "frac_differs_from_start"), key(shares, "site", "sweep", "frac_differs_from_start"))
+    assert np.allclose(key(got_means, "site", "mean_first_flip", "fast"), key(means, "site", "mean_first_flip", "fast"))
+    same = spark.createDataFrame([(1, [2, 1, 4, 3, 2]), (1, [0, 0, 1, 0, 0]), (2, [2, 1, 4, 3, 2])], "frame_id long, labels array<int>")
+    assert {r["frame_id"]: r["labels"] for r in A._one_a_frame(same).collect()} == {1: [0, 0, 1, 0, 0], 2: [2, 1, 4, 3, 2]}
+
+
+def test_quantiles_order_only_the_ranges_that_hold_them(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=4000), "b": np.repeat(7.0, 50), None: np.array([1.0, 2.0]), "c": np.concatenate([np.zeros(900), rng.exponential(size=100)])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None)], "k string, x double").repartition(3)
+    got = {r["k"]: r for r in O.quantiles(df, ["k"], "x", (0.1, 0.5, 0.95)).collect()}
+    for k, v in values.items():
+        assert np.allclose([got[k]["q10"], got[k]["q50"], got[k]["q95"]], np.quantile(v, (0.1, 0.5, 0.95)))
+    written = []
+    monkeypatch.setattr(O, "kept", lambda d, name: written.append(d.collect()) or spark.createDataFrame(written[-1], d.schema))
+    O.quantiles(df, ["k"], "x", (0.5,)).collect()
+    assert sum(r["_asked"] is not None for r in written[0]) <= 8  # two ranges a key at most, of O.SLOTS
