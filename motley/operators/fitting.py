@@ -48,18 +48,24 @@ class Layout(NamedTuple):
         return np.concatenate([*model.h, *[model.j[e].ravel() for e in self.edges]])
 
 
+def _log_chances(layout: Layout, model: Arrays, rows: np.ndarray, i: int) -> np.ndarray:
+    """ln p of each label of site i in each frame, given the frame's other sites."""
+    logits = np.tile(-model.h[i], (len(rows), 1))
+    for e in layout.edges:
+        if i in e:
+            block, other = (model.j[e], e[1]) if e[0] == i else (model.j[e].T, e[0])
+            logits -= block[:, rows[:, other]].T
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
 def loss_and_gradient(layout: Layout, theta: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
     """Sum over frames and sites of -ln p(label | others), and its gradient."""
     model, out = layout.unpack(theta), layout.unpack(np.zeros_like(theta))
     loss, every = 0.0, np.arange(len(rows))
     for i in range(len(layout.sizes)):
-        logits = np.tile(-model.h[i], (len(rows), 1))
         near = [(e, e[1] if e[0] == i else e[0]) for e in layout.edges if i in e]
-        for e, other in near:
-            block = model.j[e] if e[0] == i else model.j[e].T
-            logits -= block[:, rows[:, other]].T
-        logits -= logits.max(axis=1, keepdims=True)
-        logp = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logp = _log_chances(layout, model, rows, i)
         loss -= float(counts @ logp[every, rows[:, i]])
         pull = -np.exp(logp)  # d loss / d(h of each label) is the seen share less the expected one
         pull[every, rows[:, i]] += 1
@@ -174,16 +180,48 @@ def minimised(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], theta
     return theta, values
 
 
-def fit_optimum(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], l2: float = 1e-6, base: Arrays | None = None, tolerance: float = 1e-7, most: int = 200) -> tuple[Arrays, list[float]]:
+def _matched_fields(counted: DataFrame, layout: Layout, total: float, model: Arrays, tolerance: float, rounds: int = 60) -> Arrays:
+    """The model with fields under which each label is expected as often as it is seen, to within `tolerance`; couplings stay.
+
+    Given the couplings the sites are apart, so a Newton step is one of each site, whose slopes and curvatures a job sums. No field
+    moves by more than 2 in a step, for labels that are rare or not seen.
+    """
+    ends = np.cumsum([k * (k + 1) for k in layout.sizes])
+    for _ in range(rounds):
+
+        def part(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            out = np.zeros(ends[-1])
+            for b in batches:
+                rows, counts = np.array(b["labels"].tolist(), int).reshape(len(b), len(layout.sizes)), b["n"].to_numpy(float)
+                for i, k in enumerate(layout.sizes):
+                    p = np.exp(_log_chances(layout, model, rows, i))
+                    slope = np.eye(k)[rows[:, i]] - p
+                    out[ends[i] - k * (k + 1) : ends[i]] += np.concatenate((counts @ slope, (np.diag(counts @ p) - (p * counts[:, None]).T @ p).ravel()))
+            yield pd.DataFrame({"i": range(len(out)), "v": out})
+
+        flat = np.zeros(ends[-1])
+        for r in counted.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # a site's labels squared
+            flat[r["i"]] = r["v"] / total
+        slopes = [(x[:k], x[k:].reshape(k, k)) for x, k in zip(np.split(flat, ends[:-1]), layout.sizes, strict=True)]
+        if max((np.abs(g).max(initial=0.0) for g, _ in slopes), default=0.0) <= tolerance:
+            return model
+        steps = [np.linalg.lstsq(c + np.ones_like(c) / len(c), g)[0] for g, c in slopes]  # a shift of a site's fields changes nothing
+        model = model._replace(h=[h - s * min(1.0, 2 / max(float(np.abs(s).max(initial=0.0)), 1e-300)) for h, s in zip(model.h, steps, strict=True)])
+    raise RuntimeError(f"no fields to within {tolerance:.2g} in {rounds} rounds")
+
+
+def fit_optimum(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], l2: float = 1e-6, base: Arrays | None = None, tolerance: float = 1e-7, most: int = 200, exact: float = 1e-13) -> tuple[Arrays, list[float]]:
     """The model of the greatest pseudolikelihood less l2 times its squares, and the loss of each evaluation (E5); with `base`, what is to
     be added to that frozen model (E8). In the zero-sum gauge.
 
-    Different frames are counted once and stored; an evaluation is a job over them, whose sums are of the size of the model. At
-    the optimum the share of each label is what the model expects of it, given the other sites, to within l2.
+    Different frames are counted once and stored; an evaluation is a job over them, whose sums are of the size of the model. The fields
+    are then freed of the penalty, the couplings as they are: the share of each label is what the model expects of it, given the other
+    sites, to within `exact`.
     """
     layout = Layout(sizes, edges)
     frozen = layout.pack(base) if base else 0.0
-    total, objective = _objective(kept(distinct_frames(frames), "counted"), layout)
+    counted = kept(distinct_frames(frames), "counted")
+    total, objective = _objective(counted, layout)
     if not total:
         raise ValueError("no frames to fit")
 
@@ -192,7 +230,8 @@ def fit_optimum(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]
         return value / total + l2 * float(theta @ theta), grad / total + 2 * l2 * theta
 
     theta, losses = minimised(loss, np.zeros(sum(sizes) + sum(sizes[r] * sizes[s] for r, s in edges)), tolerance, most)
-    return centred(layout.unpack(theta)), losses
+    whole = _matched_fields(counted, layout, total, layout.unpack(frozen + theta), exact)
+    return centred(layout.unpack(layout.pack(whole) - frozen)), losses
 
 
 def expected_shares(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], model: Arrays) -> DataFrame:

@@ -283,12 +283,17 @@ def n11(spark: SparkSession, d: str) -> DataFrame:
     return js.select("md", "sample", "site", rounded(F.col("js")).alias("js"))
 
 
+def _share(p: Column) -> Column:
+    """Four digits of a share that is known to twelve: one halfway between two is a share of the frames, and goes up as in SQL."""
+    return F.round(F.round(p, 12) * 10_000) / 10_000 + F.lit(0.0)
+
+
 @query("e5_moment_conditions", WITH + "SELECT CAST(site AS INTEGER) AS site, label, round(avg(p), 4) + 0 AS p FROM (SELECT site, label, sum(n) / sum(sum(n)) OVER (PARTITION BY site) AS p FROM counts GROUP BY site, label) GROUP BY ALL")
 def e5_moments(spark: SparkSession, d: str) -> DataFrame:
     """What the fitted model expects of each label, given the other sites: at its optimum the share that the frames have."""
     frames = lineitem_frames(spark, d)
     model, _ = Fi.fit_optimum(frames, SIZES, EDGES)
-    return Fi.expected_shares(frames, SIZES, EDGES, model).select("site", "label", rounded(F.col("p"), 4).alias("p"))
+    return Fi.expected_shares(frames, SIZES, EDGES, model).select("site", "label", _share(F.col("p")).alias("p"))
 
 
 @query("e8_moment_conditions", WITH + "SELECT CAST(site AS INTEGER) AS site, label, round(p, 4) + 0 AS p FROM (SELECT site, label, sum(n) / sum(sum(n)) OVER (PARTITION BY site) AS p FROM counts WHERE sample_id IN (" + ", ".join(map(str, SIDES["b"])) + ") GROUP BY site, label)")
@@ -298,7 +303,7 @@ def e8_moments(spark: SparkSession, d: str) -> DataFrame:
     other, base = frames.where(F.col("sample_id").isin(SIDES["b"])), M.arrays(a)
     delta, _ = Fi.fit_optimum(other, SIZES, EDGES, base=base)
     whole = M.Arrays([x + y for x, y in zip(base.h, delta.h, strict=True)], {e: base.j[e] + delta.j[e] for e in EDGES})
-    return Fi.expected_shares(other, SIZES, EDGES, whole).select("site", "label", rounded(F.col("p"), 4).alias("p"))
+    return Fi.expected_shares(other, SIZES, EDGES, whole).select("site", "label", _share(F.col("p")).alias("p"))
 
 
 @query("e15_stratified_folds", """WITH c AS (SELECT CAST(s AS INTEGER) AS site, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, count(*) AS n FROM embeddings, range(16) t(s) GROUP BY ALL),

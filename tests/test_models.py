@@ -251,6 +251,22 @@ def test_optimum_of_the_pseudolikelihood(spark):
         Fi.fit_optimum(frames.limit(0), sizes, edges)
 
 
+def test_shares_halfway_between_two_roundings(spark):
+    """4,991 of 20,000 frames are 0.24955, which goes up; a penalty of the fields left the optimum expect less, and so did its tolerance."""
+    i = F.col("id")
+    frames = spark.range(20_000).select(F.array((i >= 4991).cast("int") + (i >= 19_990).cast("int"), (i * 7 % 20_000 < 900).cast("int"), F.lit(0)).alias("labels"))
+    sizes, edges = [3, 2, 2], [(0, 1), (1, 2)]
+    seen = [[0.24955, 0.74995, 0.0005], [0.955, 0.045], [1.0, 0.0]]
+    model, _ = Fi.fit_optimum(frames, sizes, edges)
+    base = M.Arrays([x + 0.3 * k for x in model.h for k in [np.arange(len(x))]], {e: 0.5 * v for e, v in model.j.items()})
+    delta, _ = Fi.fit_optimum(frames, sizes, edges, base=base)
+    both = M.Arrays([x + y for x, y in zip(base.h, delta.h, strict=True)], {e: base.j[e] + delta.j[e] for e in edges})
+    for m in (model, both):
+        got = {(r["site"], r["label"]): r for r in Fi.expected_shares(frames, sizes, edges, m).select("*", A._share(F.col("p")).alias("four")).collect()}
+        assert all(abs(got[i, k]["p"] - p) < 1e-12 for i, ps in enumerate(seen) for k, p in enumerate(ps))
+        assert got[0, 0]["four"] == 0.2496 and got[0, 1]["four"] == 0.75
+
+
 def test_energies_of_a_large_model(spark):
     rng = np.random.default_rng(8)
     h = [rng.normal(size=rng.integers(2, 11)) for _ in range(300)]
