@@ -23,10 +23,19 @@ def _filled(counts: DataFrame, keys: list[str], label: Column, cells: Column, na
     return out.select(*keys, *cell, p.alias("p"))
 
 
-def site_counts(frames: DataFrame, by: str = "sample_id") -> DataFrame:
-    """by, site, label, n: how often each label occurs. Gaps (null) are no label."""
-    long = frames.select(by, F.posexplode("labels").alias("site", "label")).where("label is not null")
-    return long.groupBy(by, "site", "label").agg(F.count(F.lit(1)).alias("n"))
+def counted_frames(frames: DataFrame, *by: str) -> DataFrame:
+    """by, labels, n: each different frame once, with how often it occurs."""
+    return frames.groupBy(*by, "labels").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _times(n: str | None) -> Column:
+    return (F.col(n) if n else F.lit(1).cast("long")).alias("n")
+
+
+def site_counts(frames: DataFrame, by: str = "sample_id", n: str | None = None) -> DataFrame:
+    """by, site, label, n: how often each label occurs; a frame counts as often as its column `n` says. Gaps (null) are no label."""
+    long = frames.select(by, _times(n), F.posexplode("labels").alias("site", "label")).where("label is not null")
+    return long.groupBy(by, "site", "label").agg(F.sum("n").alias("n"))
 
 
 def site_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
@@ -34,15 +43,15 @@ def site_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> D
     return _filled(counts, [by, "site"], F.col("label"), F.sequence(F.lit(0), k[F.col("site")] - 1), ["label"])
 
 
-def marginals(frames: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
+def marginals(frames: DataFrame, sizes: list[int], by: str = "sample_id", n: str | None = None) -> DataFrame:
     """by, site, label, p: a row for every label of the alphabet (A1). Gaps (null) are no label."""
-    return site_shares(site_counts(frames, by), sizes, by)
+    return site_shares(site_counts(frames, by, n), sizes, by)
 
 
-def pair_counts(frames: DataFrame, edges: list[tuple[int, int]], by: str = "sample_id") -> DataFrame:
-    """by, r, s, k, l, n: how often each pair of labels of an edge occurs."""
-    long = frames.select(by, F.inline(pairs(F.col("labels"), edges))).where("k is not null and l is not null")
-    return long.groupBy(by, "r", "s", "k", "l").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(frames: DataFrame, edges: list[tuple[int, int]], by: str = "sample_id", n: str | None = None) -> DataFrame:
+    """by, r, s, k, l, n: how often each pair of labels of an edge occurs; a frame counts as often as its column `n` says."""
+    long = frames.select(by, _times(n), F.inline(pairs(F.col("labels"), edges))).where("k is not null and l is not null")
+    return long.groupBy(by, "r", "s", "k", "l").agg(F.sum("n").alias("n"))
 
 
 def pair_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> DataFrame:
@@ -52,9 +61,9 @@ def pair_shares(counts: DataFrame, sizes: list[int], by: str = "sample_id") -> D
     return _filled(counts, [by, "r", "s"], F.struct("k", "l"), cells, ["k", "l"])
 
 
-def joints(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], by: str = "sample_id") -> DataFrame:
+def joints(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], by: str = "sample_id", n: str | None = None) -> DataFrame:
     """by, r, s, k, l, p: a row for every pair of labels of each edge (A2)."""
-    return pair_shares(pair_counts(frames, edges, by), sizes, by)
+    return pair_shares(pair_counts(frames, edges, by, n), sizes, by)
 
 
 def sided(df: DataFrame, sides: dict[str, list]) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motley.operators.distributions import counted_frames
 from motley.operators.models import Arrays
 from motley.sources.tables import kept
 
@@ -79,11 +80,6 @@ def loss_and_gradient(layout: Layout, theta: np.ndarray, rows: np.ndarray, count
     return loss, layout.pack(out)
 
 
-def distinct_frames(frames: DataFrame) -> DataFrame:
-    """labels, n: each different frame once, with how often it occurs."""
-    return frames.groupBy("labels").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _objective(counted: DataFrame, layout: Layout):
     """(frames, objective of the parameters). `counted`, a stored table, is read at every step."""
     total = counted.agg(F.sum("n")).first()[0]
@@ -122,11 +118,11 @@ def fit(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], setti
     """
     layout = Layout(sizes, edges)
     frozen = layout.pack(base) if base else 0.0
-    counted = kept(distinct_frames(frames), "counted")
+    counted = kept(counted_frames(frames), "counted")
     total, objective = _objective(counted, layout)
     if not total:
         raise ValueError("no frames to fit")
-    other = kept(distinct_frames(validation), "held") if validation is not None else None
+    other = kept(counted_frames(validation), "held") if validation is not None else None
     held = _objective(other, layout) if other is not None else None
     theta = np.zeros(sum(sizes) + sum(sizes[r] * sizes[s] for r, s in edges))
     m, v, best, losses = np.zeros_like(theta), np.zeros_like(theta), (math.inf, theta), []
@@ -220,7 +216,7 @@ def fit_optimum(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]
     """
     layout = Layout(sizes, edges)
     frozen = layout.pack(base) if base else 0.0
-    counted = kept(distinct_frames(frames), "counted")
+    counted = kept(counted_frames(frames), "counted")
     total, objective = _objective(counted, layout)
     if not total:
         raise ValueError("no frames to fit")
@@ -249,7 +245,7 @@ def expected_shares(frames: DataFrame, sizes: list[int], edges: list[tuple[int,
         flat = np.concatenate(seen) + out
         yield pd.DataFrame({"site": np.repeat(np.arange(len(sizes)), sizes), "label": np.concatenate([np.arange(k) for k in sizes]), "v": flat, "n": n})
 
-    sums = distinct_frames(frames).mapInPandas(part, "site int, label int, v double, n double").groupBy("site", "label").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    sums = counted_frames(frames).mapInPandas(part, "site int, label int, v double, n double").groupBy("site", "label").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     return sums.select("site", "label", (F.col("v") / F.col("n")).alias("p"))
 
 

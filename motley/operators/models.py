@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motley.operators.distributions import joints, marginals
+from motley.operators.distributions import counted_frames, joints, marginals
 from motley.sources.tables import kept
 
 FIT_EPS = 1e-8
@@ -107,15 +107,16 @@ def zero_sum(model: Model) -> Model:
     return Model(h.join(centre, "site").select("site", "k", (F.col("v") - F.col("m")).alias("value")), j.select("r", "s", "k", "l", "value"))
 
 
-def fit_pmi(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]]) -> Model:
-    """h = -ln p, centred by site; J = -ln of the pointwise mutual information, centred by edge."""
-    one = frames.withColumn("_all", F.lit(0))
-    p = kept(marginals(one, sizes, "_all").drop("_all"), "marginals")  # of the size of the model; the frames are read once for each
+def fit_pmi(frames: DataFrame, sizes: list[int], edges: list[tuple[int, int]], n: str | None = None) -> Model:
+    """h = -ln p, centred by site; J = -ln of the pointwise mutual information, centred by edge (E3). Frames that are no stored
+    table of counted ones (`n` times each) are made one: they are read once, and a different frame is taken apart once."""
+    one = (frames if n else kept(counted_frames(frames), "counted")).withColumn("_all", F.lit(0))
+    p = kept(marginals(one, sizes, "_all", n or "n").drop("_all"), "marginals")  # of the size of the model, as are the joints
     raw = p.withColumn("v", -F.ln(F.col("p") + FIT_EPS))
     h = raw.join(raw.groupBy("site").agg(F.avg("v").alias("m")), "site").select("site", F.col("label").alias("k"), (F.col("v") - F.col("m")).alias("value"))
     pr = p.select(F.col("site").alias("r"), F.col("label").alias("k"), F.col("p").alias("pr"))
     ps = p.select(F.col("site").alias("s"), F.col("label").alias("l"), F.col("p").alias("ps"))
-    pair = kept(joints(one, sizes, edges, "_all").drop("_all"), "joints").join(pr, ["r", "k"]).join(ps, ["s", "l"])
+    pair = kept(joints(one, sizes, edges, "_all", n or "n").drop("_all"), "joints").join(pr, ["r", "k"]).join(ps, ["s", "l"])
     raw = pair.withColumn("v", -F.ln(F.col("p") / (F.col("pr") * F.col("ps") + FIT_EPS) + FIT_EPS))
     j = raw.join(raw.groupBy("r", "s").agg(F.avg("v").alias("m")), ["r", "s"]).select("r", "s", "k", "l", (F.col("v") - F.col("m")).alias("value"))
     return Model(h, j)

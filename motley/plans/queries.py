@@ -13,7 +13,7 @@ from motley.operators import models as M
 from motley.operators import neighbours as Nb
 from motley.operators import ordered as O
 from motley.plans.registry import WITH, js_sql, query
-from motley.sources.tables import EDGES, SIZES, lineitem_frames, only_sources, sliced, table
+from motley.sources.tables import EDGES, SIZES, kept, lineitem_frames, only_sources, sliced, table
 
 LOW = "sample_id"
 
@@ -498,9 +498,11 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
 logit AS (SELECT w.sample_id, w.rid, h.site, h.k, w.labels[h.site + 1] AS x, -max(h.value) - sum(nb.value) AS v FROM wide w JOIN h ON true JOIN nb ON nb.site = h.site AND nb.k = h.k AND nb.l = w.labels[nb.other + 1] GROUP BY w.sample_id, w.rid, h.site, h.k, w.labels)
 SELECT sample_id, CAST(site AS INTEGER) AS site, round(avg(ll), 4) + 0 AS score FROM (SELECT sample_id, rid, site, max(v) FILTER (WHERE k = x) - ln(sum(exp(v))) AS ll FROM logit GROUP BY sample_id, rid, site) GROUP BY sample_id, site""")
 def e4(spark: SparkSession, d: str) -> DataFrame:
-    model = M.arrays(_model(spark, d))
-    scores = lineitem_frames(spark, d).select("sample_id", F.posexplode(M.pseudolikelihood(F.col("labels"), model)).alias("site", "ll"))
-    return scores.groupBy("sample_id", "site").agg(rounded(F.avg("ll"), 4).alias("score"))
+    """Means over the frames of a sample; a different frame of a sample is scored once."""
+    frames = kept(D.counted_frames(lineitem_frames(spark, d), "sample_id"), "counted")
+    model = M.arrays(M.fit_pmi(frames, SIZES, EDGES, "n"))
+    scores = frames.select("sample_id", "n", F.posexplode(M.pseudolikelihood(F.col("labels"), model)).alias("site", "ll")).where("ll is not null")
+    return scores.groupBy("sample_id", "site").agg(rounded(F.sum(F.col("ll") * F.col("n")) / F.sum("n"), 4).alias("score"))
 
 
 @query("e6_interpolated", PMI + "SELECT CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, k, l, round(0.25 * value + 0.75 * value * 2, 5) + 0 AS value FROM j")

@@ -381,6 +381,20 @@ def test_pseudolikelihood_of_many_rows_and_gaps(spark):
     assert "lambdafunction" not in plan._jdf.queryExecution().executedPlan().toString()  # no interpreted lambdas a row
 
 
+def test_different_frames_are_scored_once(spark):
+    """However often the frames of a table are repeated, e4 scores and takes apart as many rows."""
+    rows = spark.read.parquet(*QUERIES["e4_pseudolikelihood"](spark, "/root/testdata/sf0.001").inputFiles())
+    frames = lineitem_frames(spark, "/root/testdata/sf0.001")
+    assert rows.count() == frames.select("sample_id", "labels").distinct().count() < frames.count() / 2
+    assert rows.agg(F.sum("n")).first()[0] == frames.count()
+    weighted = rows.groupBy("labels").agg(F.sum("n").alias("times"))
+    few = spark.createDataFrame([([0, None], 2, 7), ([1, 1], 3, 8), ([1, 0], 1, 9), (None, 4, 1)], "labels array<int>, times long, n long")
+    each = few.select("labels", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    for table, whole, sizes, edges in ((weighted, frames, [3, 2, 5, 4, 3], [(0, 1), (2, 4)]), (few, each, [2, 2], [(0, 1)])):
+        for a, b in zip(M.fit_pmi(table, sizes, edges, "times"), M.fit_pmi(whole, sizes, edges), strict=True):
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_flips_of_a_batch_are_those_of_its_rows(spark):
     model = small_model()
     starts = spark.createDataFrame([(i, [i % 2, i % 3, i % 4]) for i in range(300)], "frame_id long, labels array<int>").repartition(3)
