@@ -254,9 +254,7 @@ SELECT 0 AS block, frame_id, CAST(d AS INTEGER) AS distance FROM wide JOIN near
 def j10(spark: SparkSession, d: str) -> DataFrame:
     """The vote of each vector's ten nearest others, over all vectors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), (F.col("label") % 2).alias("block"))
-    near = Nb.nearest_values(e, e, "block", "x", "vec_id", "label", 11)
-    others = e.select(F.col("vec_id").alias("key"), "block", "x").join(near, ["block", "x"]).where("key != id")
-    return Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
+    return Nb.nearest_votes(e, e, "block", "x", "vec_id", "label", 10).select(F.col("vec_id").alias("key"), "label")
 
 
 @query("j11_nearest_hamming", J11)
@@ -273,10 +271,7 @@ SELECT component, CAST(label AS INTEGER) AS label, count(*) AS votes FROM (SELEC
 def j10_all(spark: SparkSession, d: str) -> DataFrame:
     """In each of the 64 components the vote of each vector's ten nearest others, and how often it falls on each label."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("component", "x")).withColumn("x", F.col("x").cast("double"))
-    near = Nb.nearest_values(e, e, "component", "x", "vec_id", "label", 11)
-    others = e.select(F.struct("vec_id", "component").alias("key"), F.col("vec_id").alias("own"), "component", "x").join(near, ["component", "x"]).where("own != id")
-    votes = Fr.vote(others.select("key", "distance", "label", "id"), "key", 10)
-    return votes.groupBy(F.col("key.component").alias("component"), "label").agg(F.count(F.lit(1)).alias("votes"))
+    return Nb.nearest_votes(e, e, "component", "x", "vec_id", "label", 10).groupBy("component", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
 @query("j11_nearest_hamming_all", """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 2 WHEN x < -0.05 THEN 0 ELSE 1 END) AS v FROM embeddings)

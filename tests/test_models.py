@@ -191,6 +191,26 @@ def test_nearest_values(spark, slots):
     assert got == want
 
 
+@pytest.mark.parametrize("slots", [1, 4, 32])
+def test_votes_where_neighbours_are_found(spark, slots, monkeypatch):
+    """Ties of values, ids and labels, copies, blocks of a few rows and of one; rows that no reference is, and gaps."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"l{int(rng.integers(0, 4))}", float(rng.integers(0, 60)) / 8 if i % 3 else 1.0, int(i % 2)) for i in range(400)]
+    rows += [(400, "z", 0.5, 2), (401, "l1", 0.0, 3), (402, "l2", 0.25, 3), (403, None, 1.0, 3), (406, None, 1.0, 3), (407, None, 1.5, 3), (404, "z", None, 1), (405, "z", 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, label string, x double, block int").repartition(3)
+    other = spark.createDataFrame([(-1, 1.0, 0), (7, 3.9, 1), (-2, 99.0, 1), (-3, 0.1, 2)], "id long, x double, block int")
+    monkeypatch.setattr(Nb, "HELD", 50)
+    monkeypatch.setattr(Nb, "VOTES", 7)
+    for asked, values in ((df, [(i, x, b) for i, _, x, b in rows]), (other, [tuple(r) for r in other.collect()])):
+        got = {(r["id"], r["block"]): r["label"] for r in Nb.nearest_votes(asked, df, "block", "x", "id", "label", 6, slots).collect()}
+        want = {}
+        for i, x, b in values:
+            best = [c for _, _, c in sorted((abs(x - y), j, c) for j, c, y, d in rows if j != i and d == b and y is not None)[:6]] if x is not None and b is not None else []
+            if best:
+                want[i, b] = min(best, key=lambda c: (-best.count(c), c is None, c or ""))
+        assert got == want
+
+
 def test_whole_tables_take_part(spark):
     d = "/root/testdata/sf0.001"
     assert QUERIES["j10_knn_vote"](spark, d).count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
