@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,11 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _whole(column: pa.Array, width: int) -> np.ndarray:
+    """Which arrays have that many numbers."""
+    return np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == width)
+
+
 def lagged_moments(df: DataFrame, keys: list[str], order: str, values: str, lag: int) -> Moments | None:
     """Sums over all pairs of rows `lag` apart within a key, of an array column of one length (C9, W12). None if there is no pair.
 
@@ -120,7 +126,9 @@ def lagged_moments(df: DataFrame, keys: list[str], order: str, values: str, lag:
                 yield pa.RecordBatch.from_arrays([pa.array([Moments.of(_rows(batch.column("x")), _rows(batch.column("y"))).flat().tolist()], pa.list_(pa.float64()))], ["v"])
 
     parts = found.where(F.col("kind") == SUMS).select("v").unionByName(across.mapInArrow(crossed, "v array<double>"))
-    summed = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # of a vector squared
+    # added up in an order of their own, a number a range: the last digits do not depend on which task ends first
+    in_order = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda s, x: s + x)
+    summed = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(in_order.alias("v")).collect()  # of a vector squared
     if not summed:
         return None
     flat = np.zeros(len(summed))
@@ -177,15 +185,14 @@ def _signed(found: Slow) -> Slow:
 def projected(df: DataFrame, values: str, slow: Slow, name: str = "slow") -> DataFrame:
     """df with its rows' slow coordinates, null where the array is null, not finite or of another length."""
 
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        good = np.array([v is not None and len(v) == len(slow.mean) for v in x], bool)
-        out = np.full(len(x), None, object)
-        if good.any():
-            z = (np.array(x[good].tolist(), float) - slow.mean) @ slow.components
-            for i, row in zip(np.flatnonzero(good), z, strict=True):
-                out[i] = row if np.isfinite(row).all() else None
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<double>")
+    def project(x: pa.Array) -> pa.Array:
+        whole = _whole(x, len(slow.mean))
+        z = (_rows(x.take(pa.array(whole))).reshape(len(whole), len(slow.mean)) - slow.mean) @ slow.components
+        found = np.isfinite(z).all(axis=1)
+        n, gone = np.zeros(len(x) + 1, np.int32), np.ones(len(x), bool)
+        n[whole[found] + 1], gone[whole[found]] = z.shape[1], False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(n, dtype=np.int32)), pa.array(z[found].ravel()), mask=pa.array(gone))
 
     return df.withColumn(name, project(F.when(sound(values), F.transform(values, lambda v: v.cast("double")))))
 
@@ -247,13 +254,12 @@ def centres_of(df: DataFrame, values: str, sizes: list[int], seed: int = 0, roun
 def assigned(df: DataFrame, values: str, centres: np.ndarray, name: str = "micro") -> DataFrame:
     """df with the nearest centre's number, null where the array is none of the centres' kind."""
 
-    @F.pandas_udf("int")
-    def near(x: pd.Series) -> pd.Series:
-        good = np.array([v is not None and len(v) == centres.shape[1] for v in x], bool)
-        out = np.full(len(x), None, object)
-        if good.any():
-            out[good] = _nearest(np.array(x[good].tolist(), float), centres).tolist()
-        return pd.Series(out, dtype="Int32")
+    @F.arrow_udf("int")
+    def near(x: pa.Array) -> pa.Array:
+        out, whole = np.full(len(x), -1, np.int32), _whole(x, centres.shape[1])
+        if len(whole):
+            out[whole] = _nearest(_rows(x.take(pa.array(whole))), centres)
+        return pa.array(out, mask=out < 0)
 
     return df.withColumn(name, near(F.when(sound(values), F.transform(values, lambda v: v.cast("double")))))
 
@@ -453,7 +459,7 @@ def metastable(df: DataFrame, keys: list[str], order: str, values: str, lag: int
     if moments is None:
         raise ValueError(f"no two rows of a trajectory are {lag} apart")
     slow = tica(moments).first(dims)
-    rows = projected(df, values, slow)
+    rows = kept(projected(df, values, slow), "slow")  # the passes of k-means read it: one Python worker a task, not one a step
     centres = centres_of(rows, "slow", [micro], seed)
     centres = next(iter(centres.values())) if centres else first_centres(rows, "slow", micro, seed)  # fewer different rows than microstates
     small = df.sparkSession.createDataFrame([(c.tolist(),) for c in centres], "c array<double>")  # a row per microstate

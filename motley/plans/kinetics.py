@@ -72,7 +72,8 @@ def c9_vamp(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c10_microstates")
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.projected(_vectors(spark, d), "embedding", K.tica(K.lagged_moments(_vectors(spark, d), ["label"], "vec_id", "embedding", LAG)).first(5))
+    slow = K.tica(K.lagged_moments(_vectors(spark, d), ["label"], "vec_id", "embedding", LAG)).first(5)
+    rows = T.kept(K.projected(_vectors(spark, d), "embedding", slow).select("label", "vec_id", "slow"), "slow")  # read by each pass of k-means
     return K.assigned(rows, "slow", K.centres_of(rows, "slow", [20])[20]).select("label", "vec_id", "micro")
 
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import motley.plans.kinetics  # noqa: F401
 from motley.operators import kinetics as K
+from motley.plans.registry import QUERIES
 
 
 def frame_of(spark, runs, parts):
@@ -114,6 +116,26 @@ def test_clusters_and_their_number(spark):
     assert K.centres_of(df.limit(0), "v", [2]) == {} and K.silhouettes(df.limit(0), "v", centres).count() == 0
 
 
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Slow coordinates are stored before k-means passes over them, so no pass has a worker for each step before it."""
+    plans, old = [], K.centres_of
+    monkeypatch.setattr(K, "centres_of", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or old(df, *more))
+    one = QUERIES["c10_microstates"](spark, "/root/testdata/sf0.001")
+    both = QUERIES["c14_metastable"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("ArrowEvalPython" in p for p in plans)
+    for df in (one, both):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    key = lambda df: sorted((r["label"], r["vec_id"], r["micro"]) for r in df.collect())
+    assert key(one) == key(both)
+
+
+def test_odd_rows_have_no_slow_coordinates(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [1e308, -1e308]), (5, [3.0, 5.0]), (6, [None, 1.0]), (7, [])], "i int, v array<double>").coalesce(1)
+    found = K.projected(df, "v", K.Slow(np.array([1.0, 1.0]), np.array([[1.0, 10.0], [0.0, -10.0]]), np.ones(2)))
+    near = {r["i"]: (r["slow"], r["micro"]) for r in K.assigned(found, "slow", np.array([[0.0, -10.0], [2.0, -20.0]])).collect()}
+    assert near[0] == ([0.0, -10.0], 0) and near[5] == ([2.0, -20.0], 1) and all(near[i] == (None, None) for i in (1, 2, 3, 4, 6, 7))
+
+
 def test_equal_rows_are_one_cluster(spark):
     df = spark.createDataFrame([([1.0, 2.0],)] * 9, "v array<double>")
     centres = K.centres_of(df, "v", [1, 2])
